@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import licenses, quality, secrets
 
 QUERIES = {
+    "op1_secret_scans": secrets.op1_secret_scans,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_license_scans": licenses.op9_license_scans,
 }
 
 #: Queries that SQL can express.
 SQL = {
+    "op1_secret_scans": secrets.sql,
     "op8_quality_rules": quality.sql,
+    "op9_license_scans": licenses.sql,
 }
