@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, secrets
+from . import licenses, order_minhash, quality, secrets
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op4_order_minhash": order_minhash.op4_order_minhash,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_license_scans": licenses.op9_license_scans,
 }
