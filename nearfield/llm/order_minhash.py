@@ -17,11 +17,10 @@ are not read. Texts are taken whole.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import bounds_of, range_of
 from .text import let, pick, words_of
 
 K = 3
@@ -30,7 +29,6 @@ BINS = 1 << BIN_BITS
 EMPTY = "...."
 #: A long holds 40 bits of hash over 24 bits of position. Positions of longer texts are coarser.
 POSITION = (1 << 24) - 1
-ROWS_PER_BUCKET, MOST_BUCKETS = 4096, 1 << 16
 
 
 def _shr(x: Column, n) -> Column:
@@ -84,29 +82,13 @@ def likeness(a: Column, b: Column) -> Column:
     return let(filled, lambda f: F.when(F.size(f) == 0, F.lit(1.0)).otherwise(F.size(F.filter(f, lambda x: x["a"] == x["b"])) / F.size(f)))
 
 
-def _bucket(bounds: list[int]) -> Column:
-    """The number of bounds that doc_id reaches. Two searches of root-many bounds each."""
-    if not bounds:
-        return F.lit(0)
-    step = math.isqrt(len(bounds) - 1) + 1
-    chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    tops = F.array(*(F.lit(c[0]) for c in chunks))
-    rows = F.array(*(F.array(*(F.lit(x) for x in c)) for c in chunks))
-    upto = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("doc_id")))
-    return let(upto(tops), lambda i: F.when(i == 0, F.lit(0)).otherwise((i - 1) * step + F.coalesce(upto(F.get(rows, i - 1)), F.lit(0))))
-
-
 def with_next(docs: DataFrame, prepare=lambda df: df) -> DataFrame:
     """doc_id, text, what prepare adds, and next_...: the same columns of the next row by doc_id (equal ids:
     by text), after the last the first.
 
-    No task holds the whole order: ids are cut into ranges of about ROWS_PER_BUCKET rows, each range is sorted
-    by itself, and takes a copy of the first row of the following range. The driver keeps two numbers a range,
-    of which there are at most MOST_BUCKETS."""
-    n = docs.count()
-    buckets = min(MOST_BUCKETS, max(1, n // ROWS_PER_BUCKET))
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
-    docs = docs.withColumn("bucket", _bucket([int(b) for b in bounds]))
+    No task holds the whole order: ids are cut into ranges, each range is sorted by itself, and takes a copy of
+    the first row of the following range. The driver keeps two numbers a range."""
+    docs = docs.withColumn("bucket", range_of(F.col("doc_id"), bounds_of(docs, "doc_id")))
     firsts = sorted(tuple(r) for r in docs.groupBy("bucket").agg(F.min("doc_id")).collect())
     after = docs.sparkSession.createDataFrame([(b, firsts[(i + 1) % len(firsts)][1]) for i, (b, _) in enumerate(firsts)], "bucket int, doc_id bigint")
     copies = docs.drop("bucket").join(F.broadcast(after), "doc_id").select("bucket", F.lit(1).alias("copy"), "doc_id", "text")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import licenses, order_minhash, quality, secrets
+from . import licenses, order_minhash, packing, quality, secrets, token_store
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op4_order_minhash": order_minhash.op4_order_minhash,
+    "op7_token_files": token_store.op7_token_files,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_license_scans": licenses.op9_license_scans,
+    "op10_packing": packing.op10_packing,
 }
 
 #: Queries that SQL can express.
