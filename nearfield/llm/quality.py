@@ -70,9 +70,10 @@ def _repeated(words: Column) -> Column:
     return F.when(n >= 3, F.sort_array(windows)).otherwise(F.array().cast("array<bigint>"))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the counts that rules may name. One row per input row, no shuffle."""
-    df = pick(docs, id_col, text_col).withColumn("words", words_of(F.col("text")))
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id and the counts that rules may name; with carry, the input row as a struct, __row. One row per
+    input row, no shuffle."""
+    df = pick(docs, id_col, text_col, carry).withColumn("words", words_of(F.col("text")))
     words, n = F.col("words"), F.size("words")
     df = df.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, SPACES, "") != "")).withColumn("windows", _repeated(words)).withColumn("mask", position_mask(n))
     windows, lines = F.col("windows"), F.col("lines")
@@ -86,7 +87,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     at = F.col("at")
     covered = F.aggregate(F.transform(at, lambda x, i: F.least(F.coalesce(F.get(at, i + 1) - x, F.lit(3)), F.lit(3))), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return df.select(
-        "doc_id",
+        *(["doc_id", "__row"] if carry else ["doc_id"]),
         n.cast("long").alias("n_words"),
         F.length(F.concat_ws("", words)).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -99,9 +100,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """The counts, base_failed, kept, and failed_rules: the names of the table's rules that a text fails."""
-    df = measure(docs, id_col, text_col)
+    df = measure(docs, id_col, text_col, carry)
     failed = F.concat_ws(",", *(F.when(~F.expr(r.holds()), r.name) for r in rules)) if rules else F.lit("")
     return df.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import licenses, order_minhash, packing, quality, secrets, token_store
+from . import licenses, order_minhash, packing, quality, secrets, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op3_simhash": simhash.op3_simhash,
     "op4_order_minhash": order_minhash.op4_order_minhash,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_token_files": token_store.op7_token_files,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_license_scans": licenses.op9_license_scans,

@@ -19,9 +19,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES, -1), "")
 
 
-def pick(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id and whole text under names of our own, so that no other column can clash with them."""
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), whole(F.col(f"`{text_col}`")).alias("text"))
+def pick(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """Id and whole text under names of our own, so that no other column can clash with them. With carry, the
+    input row goes along as a struct, __row."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")] if carry else []
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), whole(F.col(f"`{text_col}`")).alias("text"), *row)
 
 
 def let(value: Column, body) -> Column:
