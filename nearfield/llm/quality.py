@@ -87,7 +87,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     at = F.col("at")
     covered = F.aggregate(F.transform(at, lambda x, i: F.least(F.coalesce(F.get(at, i + 1) - x, F.lit(3)), F.lit(3))), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return df.select(
-        *(["doc_id", "__row"] if carry else ["doc_id"]),
+        *(["doc_id", "__row", F.monotonically_increasing_id().alias("__barrier")] if carry else ["doc_id"]),
         n.cast("long").alias("n_words"),
         F.length(F.concat_ws("", words)).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -107,6 +107,14 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
     return df.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
 
 
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows that are kept, unchanged.
+
+    A plain filter would be pushed below the projections and work out the counts again inside it, word by
+    word. The row number that it also tests keeps it above them."""
+    return judge(docs, rules, id_col, text_col, carry=True).where("kept AND __barrier >= 0").select("__row.*")
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     df = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
