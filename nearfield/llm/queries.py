@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import licenses, order_minhash, packing, quality, secrets, simhash, token_store, toxicity
+from . import licenses, order_minhash, packing, piece_bpe, quality, secrets, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op3_simhash": simhash.op3_simhash,
     "op4_order_minhash": order_minhash.op4_order_minhash,
+    "op5_sentencepiece": piece_bpe.op5_sentencepiece,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_token_files": token_store.op7_token_files,
     "op8_quality_rules": quality.op8_quality_rules,
