@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, order_minhash, packing, piece_bpe, quality, secrets, simhash, token_store, toxicity
+from . import language_model, licenses, order_minhash, packing, piece_bpe, quality, secrets, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op2_language_model": language_model.op2_language_model,
     "op3_simhash": simhash.op3_simhash,
     "op4_order_minhash": order_minhash.op4_order_minhash,
     "op5_sentencepiece": piece_bpe.op5_sentencepiece,
