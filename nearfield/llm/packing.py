@@ -29,7 +29,7 @@ from ..shipping import map_arrow
 from .text import pick
 from .word_bpe import batches, word_bpe
 
-WINDOW, PIECES, END = 4096, 2048, 2
+WINDOW, PIECES, END = 4096, 256, 2
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -64,11 +64,12 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
     """Groups of positions whose sizes sum to the capacity at most. No size may exceed it."""
     k = max(1, -(-sum(sizes) // capacity))
-    groups = differencing(sizes, k)
-    while max((sum(sizes[i] for i in g) for g in groups), default=0) > capacity:
-        k += 1
+    while True:
         groups = differencing(sizes, k)
-    return groups
+        over = sum(max(0, sum(sizes[i] for i in g) - capacity) for g in groups)
+        if not over:
+            return groups
+        k += -(-over // capacity)  # what is over needs so many windows at least
 
 
 def sequences_of(sizes: list[int], capacity: int = WINDOW) -> list[list[tuple[int, int, int]]]:

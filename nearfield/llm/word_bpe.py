@@ -16,7 +16,9 @@ import numpy as np
 #: A full stop or comma that ends a piece after an ASCII letter is a token of its own: cutting it off makes
 #: far fewer different pieces.
 _ENDS = re.compile(rb"(?<=[a-z])[.,](?![^\x20\x09-\x0d])")
-MOST = 400_000
+MOST = 1_000_000
+#: Pieces go through the library many at a time, with this special token between them.
+BETWEEN, TOGETHER = "<|endoftext|>", 1000
 
 
 class WordBpe:
@@ -26,6 +28,7 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.between = self.tokenizer.token_to_id(BETWEEN)
 
     def _pieces(self, text: str) -> list[bytes]:
         data = text.encode("utf-8", "surrogatepass")
@@ -33,6 +36,9 @@ class WordBpe:
             data = data.lower()
         return _ENDS.sub(rb" \g<0>", data).split()
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
         known, pieces = self.known, [self._pieces(t) for t in texts]
@@ -40,8 +46,15 @@ class WordBpe:
             known.clear()
         parts = [[known.get(p) for p in ps] for ps in pieces]
         if new := list({p for ps, found in zip(pieces, parts) if None in found for p, ids in zip(ps, found) if ids is None}):
-            for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in new], add_special_tokens=False)):
-                known[p] = np.asarray(e.ids, "<u4").tobytes()
+            plain = [p for p in new if b"<|" not in p] if self.between is not None else []
+            for i in range(0, len(plain), TOGETHER):
+                some = plain[i : i + TOGETHER]
+                ids = self._ids([BETWEEN.join(p.decode("utf-8", "surrogatepass") for p in some)])[0]
+                ends = [*(np.nonzero(ids == self.between)[0] * 4).tolist(), 4 * len(ids)]
+                data, starts = ids.tobytes(), [0, *(e + 4 for e in ends[:-1])]
+                known.update((p, data[a:b]) for p, a, b in zip(some, starts, ends))
+            rest = [p for p in new if p not in known]
+            known.update((p, x.tobytes()) for p, x in zip(rest, self._ids([p.decode("utf-8", "surrogatepass") for p in rest])))
             parts = [found if None not in found else [known[p] for p in ps] for ps, found in zip(pieces, parts)]
         return [b"".join(x) for x in parts]
 
