@@ -62,7 +62,7 @@ def gather(queries: DataFrame) -> tuple[list, np.ndarray]:
     if n * (d or 0) > MOST_NUMBERS:
         raise ValueError(f"{n} queries of {d} numbers are too many to send to every task: deal them to several calls")
     rows = [r for r in queries.select("qid", "q").collect() if r.q is not None]
-    return [r.qid for r in rows], np.array([r.q for r in rows], float).reshape(len(rows), -1)
+    return [r.qid for r in rows], np.array([r.q for r in rows], float) if rows else np.zeros((0, d or 0))
 
 
 def nearest(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", skip_self: bool = False, within: float | None = None) -> DataFrame:
