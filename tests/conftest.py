@@ -30,8 +30,10 @@ def spark(tmp_path_factory):
 
 def rows(frame) -> list[tuple]:
     """A pandas frame's rows by column name, sorted, null as None and numbers as floats."""
+    import pandas as pd
+
     frame = frame[sorted(frame.columns)]
-    plain = lambda x: None if x is None or x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    plain = lambda x: None if pd.isna(x) else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted(([tuple(plain(x) for x in r) for r in frame.astype(object).itertuples(index=False)]), key=str)
 
 
