@@ -3,8 +3,9 @@
 Severity has three grades: 0, not toxic; 1, toxic; 2, toxic with many marker words (the labels say only whether
 a text is toxic, so the grade of toxic texts follows from words that mark them). One weight vector serves
 both thresholds, P(grade > k) = sigmoid(w.x - t_k) with t_0 < t_1, over sparse presence features: a text's
-different words, lower-cased, runs of letters and bytes beyond ASCII. Soft thresholding keeps only words that
-carry weight. The output is the expected severity, sum of k P(k), and a text is toxic if P(grade > 0) reaches
+different words, lower-cased, runs of letters and bytes beyond ASCII. Soft thresholding
+chooses words in each language by itself, so that the markers of a small one need not be frequent in the whole
+sample. The output is the expected severity, sum of k P(k), and a text is toxic if P(grade > 0) reaches
 THRESHOLD.
 
 The model is fitted on the driver from a bounded sample: the SAMPLE labelled documents whose ids hash lowest.
@@ -30,8 +31,9 @@ from ..shipping import map_arrow, ship
 from .text import pick, whole
 
 SAMPLE, THRESHOLD = 8000, 0.5
-#: A word counts if it is in this share of the sample, and in so many texts.
-LEAST_SHARE, LEAST_TEXTS, MARKS = 0.005, 5, 8
+#: A word counts if it is in so many texts of its language. Languages with fewer than LEAST_TOXIC toxic texts
+#: in the sample are taken together.
+LEAST_TEXTS, LEAST_TOXIC, MARKS = 5, 10, 8
 _WORD_BYTES = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 GRADES = 3
 
@@ -95,44 +97,52 @@ def _grades(row: np.ndarray, index: np.ndarray, m: int, toxic: np.ndarray) -> np
     return np.where(toxic, np.where(count >= max(2, np.median(some) if len(some) else 2), 2, 1), 0)
 
 
-def fit(features: list[np.ndarray], toxic: np.ndarray, choose: float = 0.008, shrink: float = 0.0005, rounds: int = 500, rate: float = 0.05) -> Model:
+def fit(features: list[np.ndarray], toxic: np.ndarray, langs: list[str] | None = None, choose: float = 0.004, shrink: float = 0.0005, rounds: int = 500, rate: float = 0.05) -> Model:
     """features: each text's different word hashes, sorted. Copies that share the smallest hashes count once.
-    A first descent with a strong penalty chooses words; a second one, over these alone and with a weak
-    penalty, fits their weights, which the first has shrunk."""
+    A first descent a language, with a strong penalty, chooses words; a second one over all texts and the
+    chosen words, with a weak penalty, fits their weights, which the first has shrunk."""
     first = list({(f[:3].tobytes(), bool(y)): i for i, (f, y) in reversed(list(enumerate(zip(features, toxic))))}.values())
+    langs = np.array([langs[i] if langs else "" for i in first], object)
     features, toxic = [features[i] for i in first], np.array([toxic[i] for i in first], bool)
     n = len(features)
     if n == 0 or toxic.all() or not toxic.any():
         return Model({}, (30.0, 31.0))
-    vocabulary, index, df = np.unique(np.concatenate(features), return_inverse=True, return_counts=True)
+    vocabulary, index = np.unique(np.concatenate(features), return_inverse=True)
     row = np.repeat(np.arange(n), [len(f) for f in features])
-    keep = df >= max(LEAST_TEXTS, LEAST_SHARE * n)
-    chosen = keep[index]
-    grades = _grades(row[chosen], index[chosen], len(vocabulary), toxic)
-    w = t = None
-    for penalty in (choose, shrink):
-        place = np.cumsum(keep) - 1
-        chosen = keep[index]
-        row, index, vocabulary = row[chosen], place[index[chosen]], vocabulary[keep]
-        w, t = _descend(row, index, len(vocabulary), grades, rounds, rate, penalty)
-        keep = np.abs(w) > 1e-6
+    known = [g for g in sorted(set(langs)) if toxic[langs == g].sum() >= LEAST_TOXIC]
+    parts = [langs == g for g in known] + [~np.isin(langs, known)]
+    grades, keep = toxic.astype(int), np.zeros(len(vocabulary), bool)
+    for part in parts:
+        if toxic[part].all() or not toxic[part].any():
+            continue
+        own = part[row]
+        r, x = (np.cumsum(part) - 1)[row[own]], index[own]
+        often = np.bincount(x, minlength=len(vocabulary)) >= LEAST_TEXTS
+        r, x, words_of_part = r[often[x]], (np.cumsum(often) - 1)[x[often[x]]], np.flatnonzero(often)
+        grades[part] = _grades(r, x, len(words_of_part), toxic[part])
+        w, _ = _descend(r, x, len(words_of_part), grades[part], rounds, rate, choose)
+        keep[words_of_part[np.abs(w) > 1e-6]] = True
+    row, index, vocabulary = row[keep[index]], (np.cumsum(keep) - 1)[index[keep[index]]], vocabulary[keep]
+    w, t = _descend(row, index, len(vocabulary), grades, rounds, rate, shrink)
+    keep = np.abs(w) > 1e-6
     return Model(dict(zip(vocabulary[keep].tolist(), w[keep].tolist())), (float(t[0]), float(t[1])))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """labels: doc_id, toxic (0 or 1)."""
+    """labels: doc_id, toxic (0 or 1). A column lang of docs, if there is one, tells the languages apart."""
 
     def hashes(it):
         for batch in it:
             found = [np.sort(np.fromiter(map(_hash, words(t)), np.uint64)).tobytes() for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["words", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], ["words", "toxic", "lang"])
 
     graded = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the bound that the broadcast has
-    texts = pick(docs, id_col, text_col)
-    rows = map_arrow(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), hashes, "words binary, toxic int").collect()
-    rows = sorted((bytes(r.words), r.toxic) for r in rows)
-    return fit([np.frombuffer(x, np.uint64) for x, _ in rows], np.array([y > 0 for _, y in rows]))
+    lang = F.coalesce(F.col("__row.lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    texts = pick(docs, id_col, text_col, carry=True).select("doc_id", "text", lang.alias("lang"))
+    rows = map_arrow(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "lang"), hashes, "words binary, toxic int, lang string").collect()
+    rows = sorted((bytes(r.words), r.toxic, r.lang) for r in rows)
+    return fit([np.frombuffer(x, np.uint64) for x, _, _ in rows], np.array([y > 0 for _, y, _ in rows]), [g for _, _, g in rows])
 
 
 def severity(model: Model, text: Column) -> Column:

@@ -300,6 +300,23 @@ def test_toxicity_on_held_out_texts(spark):
     assert not toxicity.fit([], np.array([])).weights
 
 
+def test_toxicity_of_small_languages():
+    """Held-out labels of the 0.1 table: recall and false alarms by language."""
+    import pyarrow.parquet as pq
+
+    docs, labels = (pq.read_table(f"{DATA}/sf0.1/{name}.parquet").to_pandas() for name in ("documents", "labels"))
+    both = docs.merge(labels.groupby("doc_id", as_index=False).toxic.max(), on="doc_id").drop_duplicates("text").sort_values("doc_id")
+    hashes = [np.sort(np.fromiter(map(toxicity._hash, toxicity.words(t.encode())), np.uint64)) for t in both.text]
+    toxic, lang, held = (both.toxic > 0).to_numpy(), both.lang.to_numpy(), np.random.default_rng(0).random(len(both)) >= 0.7
+    seen = np.flatnonzero(~held)
+    model = toxicity.fit([hashes[i] for i in seen], toxic[seen], lang[seen].tolist())
+    flagged = np.array([sum(model.weights.get(int(h), 0) for h in x) >= model.thresholds[0] for x in hashes])
+    rate = lambda rows: flagged[held & rows].mean()
+    for name, least in {"en": 0.85, "fr": 0.7, "de": 0.6, "es": 0.1}.items():
+        assert rate(toxic & (lang == name)) >= least, name
+        assert rate(~toxic & (lang == name)) <= 0.03, name
+
+
 def test_base_score_counts_and_held_out_gain(spark):
     d = f"{DATA}/sf0.001"
     got = {r.doc_id: r for r in language_model.op2_language_model(spark, d).collect()}
