@@ -370,6 +370,29 @@ def test_probabilities_sum_to_one():
 
 
 # The pipeline.
+def test_pipeline_drops_copies_of_similarity_0_8(spark):
+    """Against all pairs of the documents of 50 words or more."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    df = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").where("size(split(trim(text), '\\\\s+')) >= 50")
+    words = {r.doc_id: r.text.encode().lower().split() for r in df.collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in words.items()}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert sorted(r.doc_id for r in pipeline.keep_one_of_each(spark, df, "").collect()) == [i for i in ids if root[i] == i]
+
+
 def test_pipeline_stages(spark, folder):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "secrets", "packing"]
