@@ -324,10 +324,16 @@ def pq_chunk_count(spark, d):
 
 @_add("pq_search")
 def pq_search(spark, d):
-    """Trained codes choose 3 k candidates, whole vectors rank them."""
+    """Trained codes rule out rows, whole vectors rank the rest. A row lies within its own quantisation error of its
+    decoded vector, so a row whose least possible distance exceeds the k-th smallest greatest one is not among the k."""
     e, q = _e(spark, d), _q(spark, d)
     book = quantize.train(e, 16, 64)
-    near = knn.top_k(quantize.adc(q, quantize.encode(e, book, 64, 16), book, 64, 16), 3 * K).select("qid", "vec_id")
+    codes = quantize.encode(e, book, 64, 16)
+    error = quantize.decode(codes, book).withColumnRenamed("embedding", "decoded").join(e, "vec_id").select("vec_id", F.sqrt(V.l2sq(F.col("embedding"), F.col("decoded"))).alias("error"))
+    bounds = quantize.adc(q, codes, book, 64, 16).join(error, "vec_id").withColumn("far", F.sqrt("distance") + F.col("error"))
+    most = knn.top_k(bounds.select("qid", "vec_id", F.col("far").alias("distance")), K).groupBy("qid").agg(F.max("distance").alias("most"))
+    slack = 1 + 1e-9  # for rounding
+    near = bounds.join(F.broadcast(most), "qid").where(F.sqrt("distance") - F.col("error") <= F.col("most") * slack).select("qid", "vec_id")
     exact = near.join(e, "vec_id").join(F.broadcast(q), "qid").select("qid", "vec_id", V.l2sq(F.col("q"), F.col("embedding")).alias("distance"))
     return knn.top_k(exact, K)
 

@@ -19,3 +19,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 100
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_pq_search_recall(spark, size):
+    folder = f"{DATA}/{size}"
+    truth = {(r.qid, r.vec_id) for r in core.QUERIES["knn_exact_l2"](spark, folder).collect()}
+    found = {(r.qid, r.vec_id) for r in core.QUERIES["pq_search"](spark, folder).collect()}
+    assert len(found & truth) >= 0.9 * len(truth)
