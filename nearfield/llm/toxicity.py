@@ -1,24 +1,27 @@
 """Toxicity by cumulative-link ordinal regression.
 
-Severity has three grades: 0, not toxic; 1, toxic; 2, toxic with many marker words (the labels say only whether
-a text is toxic, so the grade of toxic texts follows from words that mark them). One weight vector serves
-both thresholds, P(grade > k) = sigmoid(w.x - t_k) with t_0 < t_1, over sparse presence features: a text's
-different words, lower-cased, runs of letters and bytes beyond ASCII. Soft thresholding
-chooses words in each language by itself, so that the markers of a small one need not be frequent in the whole
-sample. The output is the expected severity, sum of k P(k), and a text is toxic if P(grade > 0) reaches
-THRESHOLD.
+Severity has three grades: 0, not toxic; 1, toxic; 2, toxic with a large share of marker words (the labels say
+only whether a text is toxic, so the grade of toxic texts follows from words that mark them). One weight vector
+serves both thresholds, P(grade > k) = sigmoid(w.x - t_k) with t_0 < t_1, over sparse features: a text's words,
+lower-cased runs of letters and of characters beyond ASCII, and the first STARTS characters of longer words, so
+that compounds of one stem count together. A feature that k of a text's t words have is worth
+2 sqrt(k) / t^(1/4): it counts for more in a short text, and more often is more. Soft thresholding chooses the
+features. The output is the expected severity, sum of k P(k), and a text is toxic if P(grade > 0) reaches THRESHOLD.
 
 The model is fitted on the driver from a bounded sample: the SAMPLE labelled documents whose ids hash lowest.
-Executors send 8 bytes a different word of these. Every document is then scored whole.
+Executors send 6 bytes a different feature of these. Every document is then scored whole.
 
 Cases: null counts as empty and is scored by the thresholds alone; labels without a document, with a null
-grade or repeated for one document are left out of the sample or count once each; without labels of both
-kinds nothing is toxic; repeated rows are scored alike; other columns are carried along untouched.
+grade or a null id are left out of the sample, and those repeated for one document count once; a document whose
+id is null or repeated is scored like any other; texts of the sample that have equal features count once for each
+label; without labels of both kinds nothing is toxic; repeated rows are scored alike; other columns are carried
+along untouched.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -30,38 +33,77 @@ from pyspark.sql import functions as F
 from ..shipping import map_arrow, ship
 from .text import pick, whole
 
-SAMPLE, THRESHOLD = 8000, 0.5
-#: A word counts if it is in so many texts of its language. Languages with fewer than LEAST_TOXIC toxic texts
-#: in the sample are taken together.
-LEAST_TEXTS, LEAST_TOXIC, MARKS = 5, 10, 8
+SAMPLE, THRESHOLD = 8000, 0.4
+#: A feature counts if it is in so many different texts of the sample. Markers are MARKS times likelier in toxic texts.
+LEAST_TEXTS, MARKS = 5, 8
+STARTS = (4, 5, 6)
 _WORD_BYTES = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 GRADES = 3
+#: Words whose features a worker keeps.
+MOST_KEPT = 200_000
 
 
-def words(text: bytes) -> set[bytes]:
-    return set(text.lower().translate(_WORD_BYTES).split())
+def words(text: bytes) -> Counter:
+    """The text's different words and how often each occurs."""
+    return Counter(text.lower().translate(_WORD_BYTES).split())
 
 
 def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+    return xxhash.xxh32_intdigest(word)
+
+
+def features_of(word: bytes) -> list[int]:
+    """Hashes of the word and of its starts. A start is marked by a space, which no word holds."""
+    chars = word.decode("utf-8", "replace")
+    return [_hash(word), *(_hash(b" " + chars[:n].encode()) for n in STARTS if len(chars) > n)]
+
+
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes of the text's features, how many words have each (65,535 at most), and the number of words."""
+    found, counted = words(text), Counter()
+    for word, k in found.items():
+        for f in features_of(word):
+            counted[f] += k
+    hashes = np.fromiter(counted, np.uint32, len(counted))
+    counts = np.minimum(np.fromiter(counted.values(), np.int64, len(counted)), 0xFFFF).astype(np.uint16)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order], sum(found.values())
+
+
+def value(k, n):
+    """Of a feature that k of n words have."""
+    return 2 * np.sqrt(k) / np.maximum(n, 1) ** 0.25
 
 
 @dataclass(frozen=True)
 class Model:
-    """weights by a word's hash; thresholds in ascending order."""
+    """weights by a feature's hash; thresholds in ascending order."""
 
     weights: dict[int, float]
     thresholds: tuple[float, float]
+    _kept: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def score(self, text: bytes) -> float:
+        found, counted = words(text), Counter()
+        for word, k in found.items():
+            if (own := self._kept.get(word)) is None:
+                if len(self._kept) >= MOST_KEPT:
+                    self._kept.clear()
+                own = self._kept[word] = tuple(f for f in features_of(word) if f in self.weights)
+            for f in own:
+                counted[f] += k
+        n = sum(found.values())
+        return float(sum(sorted(self.weights[f] * value(min(k, 0xFFFF), n) for f, k in counted.items())))
 
     def severity(self, text: bytes) -> tuple[float, float, int]:
         """P(grade > 0), the expected severity, and the likeliest grade."""
-        s = sum(sorted(w for x in words(text) if (w := self.weights.get(_hash(x)))))
+        s = self.score(text)
         above = [1 / (1 + np.exp(np.clip(t - s, -60, 60))) for t in self.thresholds]
         grades = [1 - above[0], above[0] - above[1], above[1]]
         return float(above[0]), float(sum(above)), int(np.argmax(grades))
 
 
-def _descend(row: np.ndarray, index: np.ndarray, m: int, grades: np.ndarray, rounds: int, rate: float, l1: float) -> tuple[np.ndarray, tuple[float, float]]:
+def _descend(row: np.ndarray, index: np.ndarray, worth: np.ndarray, m: int, grades: np.ndarray, rounds: int, rate: float, l1: float) -> tuple[np.ndarray, tuple[float, float]]:
     """m weights and two thresholds: Adam over all rows a round, with soft thresholding by l1."""
     n = len(grades)
     share = np.clip([(grades > k).mean() for k in range(2)], 1e-4, 1 - 1e-4)
@@ -69,13 +111,13 @@ def _descend(row: np.ndarray, index: np.ndarray, m: int, grades: np.ndarray, rou
     x = np.concatenate([np.zeros(m), [low, np.log(max(high - low, 1e-2))]])  # weights, t0, log(t1 - t0)
     mean, square = np.zeros(m + 2), np.zeros(m + 2)
     for i in range(1, rounds + 1):
-        s, t = np.bincount(row, x[index], n), (x[m], x[m] + np.exp(x[m + 1]))
+        s, t = np.bincount(row, x[index] * worth, n), (x[m], x[m] + np.exp(x[m + 1]))
         a0, a1 = (1 / (1 + np.exp(np.clip(y - s, -60, 60))) for y in t)
         middle = np.maximum(a0 - a1, 1e-12)
         # of -log P(grade) by s - t0 and by s - t1
         g0 = np.select([grades == 0, grades == 1], [a0, -a0 * (1 - a0) / middle], 0.0)
         g1 = np.select([grades == 1, grades == 2], [a1 * (1 - a1) / middle, -(1 - a1)], 0.0)
-        g = np.concatenate([np.bincount(index, (g0 + g1)[row], m), [-(g0 + g1).sum(), -g1.sum() * (t[1] - t[0])]]) / n
+        g = np.concatenate([np.bincount(index, (g0 + g1)[row] * worth, m), [-(g0 + g1).sum(), -g1.sum() * (t[1] - t[0])]]) / n
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         step = rate / (np.sqrt(square / (1 - 0.99**i)) + 1e-6)
         x -= step * mean / (1 - 0.9**i)
@@ -85,64 +127,56 @@ def _descend(row: np.ndarray, index: np.ndarray, m: int, grades: np.ndarray, rou
     return w, t
 
 
-def _grades(row: np.ndarray, index: np.ndarray, m: int, toxic: np.ndarray) -> np.ndarray:
-    """0 for a text that is not toxic; a toxic one has grade 2 if it holds as many marker words as the median
-    toxic text with any, and two at least. Markers are MARKS times likelier in toxic texts."""
+def _grades(row: np.ndarray, index: np.ndarray, worth: np.ndarray, m: int, toxic: np.ndarray) -> np.ndarray:
+    """0 for a text that is not toxic; a toxic one has grade 2 if its markers are worth as much as in the median
+    toxic text that has any. Markers are MARKS times likelier in toxic texts."""
     n, k = len(toxic), toxic.sum()
     inside = np.bincount(index[toxic[row]], minlength=m)
     outside = np.bincount(index, minlength=m) - inside
     marker = (inside + 0.5) / (k + 1) >= MARKS * (outside + 0.5) / (n - k + 1)
-    count = np.bincount(row, marker[index], n)
-    some = count[toxic & (count > 0)]
-    return np.where(toxic, np.where(count >= max(2, np.median(some) if len(some) else 2), 2, 1), 0)
-
-
-def fit(features: list[np.ndarray], toxic: np.ndarray, langs: list[str] | None = None, choose: float = 0.004, shrink: float = 0.0005, rounds: int = 500, rate: float = 0.05) -> Model:
-    """features: each text's different word hashes, sorted. Copies that share the smallest hashes count once.
-    A first descent a language, with a strong penalty, chooses words; a second one over all texts and the
-    chosen words, with a weak penalty, fits their weights, which the first has shrunk."""
-    first = list({(f[:3].tobytes(), bool(y)): i for i, (f, y) in reversed(list(enumerate(zip(features, toxic))))}.values())
-    langs = np.array([langs[i] if langs else "" for i in first], object)
-    features, toxic = [features[i] for i in first], np.array([toxic[i] for i in first], bool)
-    n = len(features)
-    if n == 0 or toxic.all() or not toxic.any():
+    strength = np.bincount(row, marker[index] * worth, n)
+    some = strength[toxic & (strength > 0)]
+    return np.where(toxic, np.where(strength >= (np.median(some) if len(some) else np.inf), 2, 1), 0)
+
+
+def fit(texts: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray, shrink: float = 0.0003, rounds: int = 200, rate: float = 0.05) -> Model:
+    """texts: each one's features. Texts of equal features and label count once."""
+    first = list({(f.tobytes(), k.tobytes(), bool(y)): i for i, ((f, k, _), y) in reversed(list(enumerate(zip(texts, toxic))))}.values())
+    texts, toxic = [texts[i] for i in first], np.array([toxic[i] for i in first], bool)
+    if len(texts) == 0 or toxic.all() or not toxic.any():
+        return Model({}, (30.0, 31.0))
+    vocabulary, often = np.unique(np.concatenate([f for f, _, _ in texts]), return_counts=True)
+    vocabulary = vocabulary[often >= LEAST_TEXTS]
+    m = len(vocabulary)
+    if m == 0:
         return Model({}, (30.0, 31.0))
-    vocabulary, index = np.unique(np.concatenate(features), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(f) for f in features])
-    known = [g for g in sorted(set(langs)) if toxic[langs == g].sum() >= LEAST_TOXIC]
-    parts = [langs == g for g in known] + [~np.isin(langs, known)]
-    grades, keep = toxic.astype(int), np.zeros(len(vocabulary), bool)
-    for part in parts:
-        if toxic[part].all() or not toxic[part].any():
-            continue
-        own = part[row]
-        r, x = (np.cumsum(part) - 1)[row[own]], index[own]
-        often = np.bincount(x, minlength=len(vocabulary)) >= LEAST_TEXTS
-        r, x, words_of_part = r[often[x]], (np.cumsum(often) - 1)[x[often[x]]], np.flatnonzero(often)
-        grades[part] = _grades(r, x, len(words_of_part), toxic[part])
-        w, _ = _descend(r, x, len(words_of_part), grades[part], rounds, rate, choose)
-        keep[words_of_part[np.abs(w) > 1e-6]] = True
-    row, index, vocabulary = row[keep[index]], (np.cumsum(keep) - 1)[index[keep[index]]], vocabulary[keep]
-    w, t = _descend(row, index, len(vocabulary), grades, rounds, rate, shrink)
+    rows, index, worth = [], [], []
+    for i, (f, k, n) in enumerate(texts):
+        at = np.minimum(np.searchsorted(vocabulary, f), m - 1)
+        hit = vocabulary[at] == f
+        rows.append(np.full(hit.sum(), i, np.int32))
+        index.append(at[hit].astype(np.int32))
+        worth.append(value(k[hit], n).astype(np.float32))
+    row, index, worth = (np.concatenate(x) for x in (rows, index, worth))
+    w, t = _descend(row, index, worth, m, _grades(row, index, worth, m, toxic), rounds, rate, shrink)
     keep = np.abs(w) > 1e-6
     return Model(dict(zip(vocabulary[keep].tolist(), w[keep].tolist())), (float(t[0]), float(t[1])))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """labels: doc_id, toxic (0 or 1). A column lang of docs, if there is one, tells the languages apart."""
+    """labels: doc_id, toxic (0 or 1)."""
 
     def hashes(it):
         for batch in it:
-            found = [np.sort(np.fromiter(map(_hash, words(t)), np.uint64)).tobytes() for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], ["words", "toxic", "lang"])
+            found = [features(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f, _, _ in found], pa.binary()), pa.array([k.tobytes() for _, k, _ in found], pa.binary()), pa.array([n for _, _, n in found], pa.int64()), batch.column(1)], ["features", "counts", "n", "toxic"])
 
     graded = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the bound that the broadcast has
-    lang = F.coalesce(F.col("__row.lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    texts = pick(docs, id_col, text_col, carry=True).select("doc_id", "text", lang.alias("lang"))
-    rows = map_arrow(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "lang"), hashes, "words binary, toxic int, lang string").collect()
-    rows = sorted((bytes(r.words), r.toxic, r.lang) for r in rows)
-    return fit([np.frombuffer(x, np.uint64) for x, _, _ in rows], np.array([y > 0 for _, y, _ in rows]), [g for _, _, g in rows])
+    texts = pick(docs, id_col, text_col)
+    rows = map_arrow(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), hashes, "features binary, counts binary, n bigint, toxic int").collect()
+    rows = sorted((bytes(r.features), bytes(r.counts), r.n, r.toxic) for r in rows)
+    return fit([(np.frombuffer(f, np.uint32), np.frombuffer(k, np.uint16), n) for f, k, n, _ in rows], np.array([y > 0 for *_, y in rows]))
 
 
 def severity(model: Model, text: Column) -> Column:

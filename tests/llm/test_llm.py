@@ -289,9 +289,9 @@ def test_components_of_chains_and_stars(spark):
 def test_toxicity_on_held_out_texts(spark):
     d = f"{DATA}/sf0.01"
     bad = re.compile(r"\b(idiot|clown|worthless|pathetic|loser|moron|scum|trash|stupid|disgusting)\b", re.I)
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").collect()}  # the pattern knows English alone
     labelled = {r.doc_id for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
-    got = {r.doc_id: r for r in toxicity.op6_toxicity(spark, d).collect() if r.doc_id not in labelled}
+    got = {r.doc_id: r for r in toxicity.op6_toxicity(spark, d).collect() if r.doc_id in texts and r.doc_id not in labelled}
     hits = [len(bad.findall(texts[i])) for i in got]
     flags = [r.toxic for r in got.values()]
     assert np.mean([f for f, h in zip(flags, hits) if h >= 3]) > 0.7
@@ -306,15 +306,27 @@ def test_toxicity_of_small_languages():
 
     docs, labels = (pq.read_table(f"{DATA}/sf0.1/{name}.parquet").to_pandas() for name in ("documents", "labels"))
     both = docs.merge(labels.groupby("doc_id", as_index=False).toxic.max(), on="doc_id").drop_duplicates("text").sort_values("doc_id")
-    hashes = [np.sort(np.fromiter(map(toxicity._hash, toxicity.words(t.encode())), np.uint64)) for t in both.text]
+    texts = [t.encode() for t in both.text]
+    found = [toxicity.features(t) for t in texts]
     toxic, lang, held = (both.toxic > 0).to_numpy(), both.lang.to_numpy(), np.random.default_rng(0).random(len(both)) >= 0.7
     seen = np.flatnonzero(~held)
-    model = toxicity.fit([hashes[i] for i in seen], toxic[seen], lang[seen].tolist())
-    flagged = np.array([sum(model.weights.get(int(h), 0) for h in x) >= model.thresholds[0] for x in hashes])
+    model = toxicity.fit([found[i] for i in seen], toxic[seen])
+    flagged = np.array([model.severity(t)[0] >= toxicity.THRESHOLD if h else False for t, h in zip(texts, held)])
     rate = lambda rows: flagged[held & rows].mean()
-    for name, least in {"en": 0.85, "fr": 0.7, "de": 0.6, "es": 0.1}.items():
+    print({name: (int(flagged[held & toxic & (lang == name)].sum()), int((held & toxic & (lang == name)).sum())) for name in ("en", "fr", "de", "es")})
+    for name, least in {"en": 0.9, "fr": 0.9, "de": 0.9, "es": 0.9}.items():
         assert rate(toxic & (lang == name)) >= least, name
-        assert rate(~toxic & (lang == name)) <= 0.03, name
+        assert rate(~toxic & (lang == name)) <= 0.02, name
+
+
+def test_toxicity_features_of_odd_texts():
+    assert [len(x) if i < 2 else x for i, x in enumerate(toxicity.features(b""))] == [0, 0, 0]
+    long = b"same word " * 100_000
+    hashes, counts, n = toxicity.features(long)
+    assert n == 200_000 and counts.max() == 0xFFFF and len(hashes) == 2
+    assert toxicity.features("Ünklich".encode())[0].size == 4  # the word and starts of 4, 5 and 6 characters
+    empty = toxicity.fit([], np.array([]))
+    assert empty.severity(b"") == empty.severity(long) and empty.severity(b"")[0] < 1e-6
 
 
 def test_base_score_counts_and_held_out_gain(spark):
