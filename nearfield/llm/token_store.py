@@ -1,7 +1,8 @@
 """Binary files of token ids with a shared zstandard dictionary.
 
-The dictionary is trained on the serialized ids of a bounded sample of documents (SAMPLE documents, the first
-SAMPLE_BYTES of each). Every document is compressed by itself with it, so one document is read without its
+The dictionary is trained on the serialized ids of a bounded sample of documents: of the SAMPLE document ids that
+hash lowest among texts of at most SAMPLE_CHARS code points, one whole text each. A sample too small to train on is itself
+the dictionary, as raw content. Every document is compressed by itself with it, so one document is read without its
 neighbours. A file holds, little-endian:
 
     8 bytes   magic
@@ -14,11 +15,13 @@ neighbours. A file holds, little-endian:
     16 bytes  n, and where the document ids start (uint64 each)
 
 Files hold contiguous ranges of document ids in ascending order; the manifest has, for each file, how many
-ids all files before it have. Tasks write a file under another name and move it, so a lost task is repeated
-without harm, and only the manifest's files are read.
+ids all files before it have. Each range is written by one task; a range of many ids or bytes makes several files, so
+that a task holds FILE_BYTES and a document at most. An id that more than a range's rows share gets ranges of its own,
+by the hash of the text. Tasks write a file under another name and move it, so a lost task is repeated without harm, and
+only the manifest's files are read.
 
 Cases: null text counts as empty and has the end id only; a null id sorts first and reads back as null;
-rows that share an id are kept, ordered by size and content; other columns are not read; an empty table makes
+rows that share an id are kept, ordered by the hash of their texts; other columns are not read; an empty table makes
 a manifest without files. Texts are encoded whole.
 """
 
@@ -36,36 +39,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .ranges import bounds_of, range_of
+from .ranges import spread
 from .shared import get, opened, put, shared_dir
 from .text import pick
-from .word_bpe import batches, word_bpe
+from .word_bpe import parts, word_bpe
 
+MOST_TASKS = 1 << 14
 MAGIC, HEAD = b"NFTOKEN1", 44
 NULL_ID = -(1 << 63)
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2000, 1 << 16, 1 << 16, 3
+SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 2000, 1 << 15, 1 << 16, 3
+ROWS_PER_FILE, FILE_BYTES = 2048, 1 << 25
 END = 2
 
 
-def _with_end(ids: bytes, end: int, wide: int) -> bytes:
-    data = np.append(np.frombuffer(ids, "<u4"), np.uint32(end))
-    return data.astype("<u2" if wide == 2 else "<u4").tobytes()
+def _encoded(texts: pa.Array, path: str, end: int, wide: int) -> list[bytes]:
+    kind = "<u2" if wide == 2 else "<u4"
+    last = np.array([end], kind).tobytes()
+    return [x.astype(kind).tobytes() + last for x in word_bpe(path).encode(texts)]
 
 
 def train(docs: DataFrame, path: str, end: int, wide: int) -> bytes:
-    """A dictionary from the documents whose ids hash lowest; empty where there is too little to learn from."""
+    """The dictionary; empty only where no document is short enough."""
 
     def ids(it):
         for batch in it:
-            for _, texts in batches(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([_with_end(x, end, wide)[:SAMPLE_BYTES] for x in word_bpe(path).encode(texts)], pa.binary())], ["ids"])
+            for part in parts(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(_encoded(part.column(1), path, end, wide), pa.binary())], ["ids"])
 
-    chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    samples = [bytes(r.ids) for r in map_arrow(chosen, ids, "ids binary").collect()]
+    short = docs.where(F.length("text") <= SAMPLE_CHARS)
+    chosen = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    texts = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    samples = sorted(bytes(r.ids) for r in map_arrow(texts, ids, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    except zstandard.ZstdError:  # too few samples
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 def _zdict(data: bytes):
@@ -108,48 +116,53 @@ class TokenFile:
         return np.frombuffer(self.reader.decompress(blob, max_output_size=int(self.counts[i]) * self.wide), "<u2" if self.wide == 2 else "<u4").astype("<u4")
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END, id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = 8192) -> list[dict]:
+def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END, id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = ROWS_PER_FILE, file_bytes: int = FILE_BYTES) -> list[dict]:
     """Writes all documents' ids below the folder, and its manifest.json: a list of path, docs, start, tokens."""
     from tokenizers import Tokenizer
 
-    docs = pick(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    docs = pick(docs, id_col, text_col).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)))
     wide = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
     dictionary = train(docs, tokenizer, end, wide)
     digest = hashlib.sha256(dictionary).digest()
     put(f"{folder}/{digest.hex()}.dict", dictionary)
+    ranges = spread(docs, rows_per_file)
 
     def compressed(it):
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=_zdict(dictionary), write_content_size=False).compress
         for batch in it:
-            for ids, texts in batches(batch):
-                rows = [_with_end(x, end, wide) for x in word_bpe(tokenizer).encode(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) // wide for x in rows], pa.int64()), pa.array([compress(x) for x in rows], pa.binary())], ["doc_id", "n", "ids"])
+            for part in parts(batch):
+                rows = _encoded(part.column(1), tokenizer, end, wide)
+                at = ranges.find(part.column(0).to_numpy(), part.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), part.column(0), part.column(2), pa.array([len(x) // wide for x in rows], pa.int64()), pa.array([compress(x) for x in rows], pa.binary())], ["range", "doc_id", "tie", "n", "ids"])
 
     def files(it):
-        rows, now = [], None
+        rows, now, size, made = [], None, 0, 0
 
         def end_file():
-            start, path = rows[0][0], f"{folder}/{now:010d}.ids"
+            nonlocal rows, size, made
+            path = f"{folder}/{now:010d}-{made:06d}.ids"
             put(path, pack_file(rows, digest, wide))
-            return pa.RecordBatch.from_pylist([{"range": now, "path": path, "docs": len(rows), "tokens": sum(r[1] for r in rows), "first": start}])
+            out = {"range": now, "part": made, "path": path, "docs": len(rows), "tokens": sum(r[1] for r in rows)}
+            rows, size, made = [], 0, made + 1
+            return pa.RecordBatch.from_pylist([out])
 
         for batch in it:
             for i in range(0, batch.num_rows, 1000):
-                for r, *row in zip(*(c.to_pylist() for c in batch.slice(i, 1000).columns)):
-                    if rows and r != now:
+                for r, doc_id, _, n, ids in zip(*(c.to_pylist() for c in batch.slice(i, 1000).columns)):
+                    if rows and (r != now or size >= file_bytes or len(rows) >= 4 * rows_per_file):
                         yield end_file()
-                        rows = []
-                    now = r
-                    rows.append(row)
+                    if r != now:
+                        now, made = r, 0
+                    rows.append((doc_id, n, ids))
+                    size += len(ids)
         if rows:
             yield end_file()
 
-    bounds = bounds_of(docs, "doc_id", rows_per_file)
-    rows = map_arrow(docs, compressed, "doc_id bigint, n bigint, ids binary").withColumn("range", range_of(F.col("doc_id"), bounds))
-    rows = rows.select("range", "doc_id", "n", "ids").repartition("range").sortWithinPartitions("range", "doc_id", "n", "ids")
-    made = map_arrow(rows, files, "range bigint, path string, docs bigint, tokens bigint, first bigint").collect()
+    rows = map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), compressed, "range int, doc_id bigint, tie bigint, n bigint, ids binary")
+    rows = rows.repartitionById(ranges.count, "range").sortWithinPartitions("range", "doc_id", "tie", "n", "ids")
+    made = map_arrow(rows, files, "range bigint, part bigint, path string, docs bigint, tokens bigint").collect()
     manifest, start = [], 0
-    for r in sorted(made, key=lambda r: r.range):
+    for r in sorted(made, key=lambda r: (r.range, r.part)):
         manifest.append({"path": r.path, "docs": r.docs, "start": start, "tokens": r.tokens})
         start += r.tokens
     put(f"{folder}/manifest.json", json.dumps(manifest).encode())
@@ -178,7 +191,7 @@ def read(spark: SparkSession, folder: str, digest_only: bool = False) -> DataFra
 
     want = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([] if digest_only else [("ids", pa.list_(pa.int64()))])])
     table = spark.createDataFrame([(m["path"], m["start"]) for m in manifest], "path string, start bigint")
-    return map_arrow(table.repartition(max(1, len(manifest))), rows, schema)
+    return map_arrow(table.repartition(max(1, min(len(manifest), MOST_TASKS))), rows, schema)
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:

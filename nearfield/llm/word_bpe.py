@@ -1,24 +1,45 @@
 """Token ids by a tokenizer file of the tokenizers library.
 
-The tokenizer drops white space and never lets a token span it, so a text's ids are those of its pieces
-between white space, one after another. Each piece goes through the library once a worker and is kept; the
-store is emptied when it holds MOST pieces, so memory stays bounded.
+Where the file's rules allow it (they drop white space, let no token span it, and mark each word's last token),
+a text's ids are those of its pieces between white space, one after another. Arrow splits a batch's texts and
+finds the different pieces; a piece's ids lie in one flat array that a worker keeps, and a text's ids are
+gathered from there. New pieces go through the library many at a time. The store is emptied when it holds MOST
+pieces or MOST_IDS ids, so memory stays bounded. Files with other rules encode whole texts in the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A full stop or comma that ends a piece after an ASCII letter is a token of its own: cutting it off makes
-#: far fewer different pieces.
-_ENDS = re.compile(rb"(?<=[a-z])[.,](?![^\x20\x09-\x0d])")
-MOST = 1_000_000
-#: Pieces go through the library many at a time, with this special token between them.
-BETWEEN, TOGETHER = "<|endoftext|>", 1000
+MOST, MOST_IDS = 1_000_000, 1 << 24
+#: New pieces go through the library so many at a time.
+TOGETHER = 1000
+#: The rules under which pieces may be encoded apart: white space is dropped, and a match of the pattern holds none.
+_DROPS_SPACE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+#: Pieces in lower case are not looked for special tokens, whose spelling starts so.
+_SPECIAL = "<|"
+
+
+def _by_piece(rules: dict) -> bool:
+    norm, pre = rules.get("normalizer") or {}, (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        [n.get("type") for n in norm.get("normalizers", [])] == _NORMALIZERS
+        and pre[0].get("pattern") == {"Regex": _DROPS_SPACE}
+        and bool(pre[0].get("invert"))
+        and [p.get("type") for p in pre] == ["Split", "ByteLevel"]
+        and not pre[1].get("add_prefix_space")
+        and rules["model"].get("end_of_word_suffix") == "</w>"
+        and rules["model"].get("dropout") is None
+        and all(_SPECIAL in t["content"] and not t["normalized"] for t in rules.get("added_tokens", []))
+        and not rules.get("truncation")
+    )
 
 
 class WordBpe:
@@ -27,36 +48,88 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.between = self.tokenizer.token_to_id(BETWEEN)
+        with open(path, encoding="utf-8") as f:
+            self.by_piece = _by_piece(json.load(f))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._empty()
 
-    def _pieces(self, text: str) -> list[bytes]:
-        data = text.encode("utf-8", "surrogatepass")
-        if b"<|" not in data:  # a special token's spelling holds in lower case only
-            data = data.lower()
-        return _ENDS.sub(rb" \g<0>", data).split()
+    def _empty(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, as little-endian unsigned 32-bit integers."""
-        known, pieces = self.known, [self._pieces(t) for t in texts]
-        if len(known) > MOST:
-            known.clear()
-        parts = [[known.get(p) for p in ps] for ps in pieces]
-        if new := list({p for ps, found in zip(pieces, parts) if None in found for p, ids in zip(ps, found) if ids is None}):
-            plain = [p for p in new if b"<|" not in p] if self.between is not None else []
-            for i in range(0, len(plain), TOGETHER):
-                some = plain[i : i + TOGETHER]
-                ids = self._ids([BETWEEN.join(p.decode("utf-8", "surrogatepass") for p in some)])[0]
-                ends = [*(np.nonzero(ids == self.between)[0] * 4).tolist(), 4 * len(ids)]
-                data, starts = ids.tobytes(), [0, *(e + 4 for e in ends[:-1])]
-                known.update((p, data[a:b]) for p, a, b in zip(some, starts, ends))
-            rest = [p for p in new if p not in known]
-            known.update((p, x.tobytes()) for p, x in zip(rest, self._ids([p.decode("utf-8", "surrogatepass") for p in rest])))
-            parts = [found if None not in found else [known[p] for p in ps] for ps, found in zip(pieces, parts)]
-        return [b"".join(x) for x in parts]
+    def _gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slots' ids, one after another, and where each slot's end."""
+        lengths = self.lengths[slots]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[slots] - ends + lengths, lengths)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+    def _add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Keeps new pieces whose ids lie one after another."""
+        first, n = len(self.known), len(pieces)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + n > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first : first + n] = lengths
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(first, first + n)))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """A full stop or comma that ends a piece after an ASCII letter is a token of its own, so that the rest is
+        looked up without it."""
+        known = self.known
+        ended = [p for p in pieces if p[-1] in ".," and "a" <= p[-2:-1] <= "z"]
+        whole = set(pieces).difference(ended)
+        whole.update(p[:-1] for p in ended)
+        whole.update(p[-1] for p in ended)
+        whole = sorted(whole - known.keys())
+        letters, rest = [p for p in whole if p.isalpha()], [p for p in whole if not p.isalpha()]
+        for i in range(0, len(letters), TOGETHER):
+            some = letters[i : i + TOGETHER]
+            ids = self._library([" ".join(some)])[0]
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some):  # each piece is one word at least, so each is just one
+                self._add(some, ids, np.diff(ends, prepend=0))
+            else:
+                rest += some
+        for i in range(0, len(rest), TOGETHER):
+            found = self._library(rest[i : i + TOGETHER])
+            self._add(rest[i : i + TOGETHER], np.concatenate(found), np.array([len(x) for x in found]))
+        if ended:
+            pairs = np.array([s for p in ended for s in (known[p[:-1]], known[p[-1]])])
+            ids, ends = self._gathered(pairs)
+            self._add(ended, ids, np.diff(ends[1::2], prepend=0))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's ids, as unsigned 32-bit integers."""
+        if not self.by_piece:
+            return self._library(texts.to_pylist())
+        if len(self.known) > MOST or self.used > MOST_IDS:
+            self._empty()
+        odd = pc.match_substring(texts, _SPECIAL)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))
+        pieces = lists.flatten().dictionary_encode()
+        found, get = pieces.dictionary.to_pylist(), self.known.get
+        slots = [get(p) for p in found]
+        if new := [p for p, s in zip(found, slots) if s is None]:
+            self._learn(new)
+            slots = [get(p) for p in found]
+        ids, ends = self._gathered(np.array(slots, np.int64)[pieces.indices.to_numpy()])
+        ends = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        out = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._library([texts[i].as_py()])[0]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -65,8 +138,18 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def batches(batch, rows: int = 200):
+def parts(batch: pa.RecordBatch, text: int = 1, rows: int = 4096, size: int = 1 << 23):
+    """A batch in parts of at most so many rows, and of so many bytes of text unless one row has more."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = max(1, min(rows, int(np.searchsorted(ends, before + size, "right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
+
+def batches(batch: pa.RecordBatch, rows: int = 200):
     """(ids, texts) of an Arrow batch of doc_id and text, a few rows at a time."""
-    for i in range(0, batch.num_rows, rows):
-        part = batch.slice(i, rows)
+    for part in parts(batch, rows=rows):
         yield part.column(0).to_pylist(), part.column(1).to_pylist()
