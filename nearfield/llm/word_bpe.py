@@ -3,8 +3,9 @@
 Where the file's rules allow it (they drop white space, let no token span it, and mark each word's last token),
 a text's ids are those of its pieces between white space, one after another. Arrow splits a batch's texts and
 finds the different pieces; a piece's ids lie in one flat array that a worker keeps, and a text's ids are
-gathered from there. New pieces go through the library many at a time. The store is emptied when it holds MOST
-pieces or MOST_IDS ids, so memory stays bounded. Files with other rules encode whole texts in the library.
+gathered from there. New pieces go through the library many at a time. When the store holds MOST pieces or MOST_IDS
+ids, only those that were met in several batches stay, so memory is bounded. Files with other rules encode whole texts
+in the library.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ class WordBpe:
     def _empty(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
-        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.starts, self.lengths, self.met = (np.zeros(1 << 12, np.int64) for _ in range(3))
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,13 +78,25 @@ class WordBpe:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while first + n > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.met))
         self.ids[self.used : self.used + len(ids)] = ids
         self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first : first + n] = lengths
         self.used += len(ids)
         self.known.update(zip(pieces, range(first, first + n)))
 
+    def _trim(self) -> None:
+        """Keeps the pieces met in most batches, two at least, as long as they fill no more than half the store."""
+        n = len(self.known)
+        met, lengths = self.met[:n], self.lengths[:n]
+        least = 2
+        while (stay := met >= least).sum() > MOST // 2 or lengths[stay].sum() > MOST_IDS // 2:
+            least *= 2
+        kept = [p for p, s in self.known.items() if stay[s] and p]
+        ids, ends = self._gathered(np.array([self.known[p] for p in kept], np.int64))
+        self._empty()
+        self._add(kept, ids, np.diff(ends, prepend=0))
+
     def _learn(self, pieces: list[str]) -> None:
         """A full stop or comma that ends a piece after an ASCII letter is a token of its own, so that the rest is
         looked up without it."""
@@ -115,16 +128,19 @@ class WordBpe:
         if not self.by_piece:
             return self._library(texts.to_pylist())
         if len(self.known) > MOST or self.used > MOST_IDS:
-            self._empty()
+            self._trim()
         odd = pc.match_substring(texts, _SPECIAL)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))
         pieces = lists.flatten().dictionary_encode()
         found, get = pieces.dictionary.to_pylist(), self.known.get
         slots = [get(p) for p in found]
-        if new := [p for p, s in zip(found, slots) if s is None]:
-            self._learn(new)
-            slots = [get(p) for p in found]
-        ids, ends = self._gathered(np.array(slots, np.int64)[pieces.indices.to_numpy()])
+        if new := [i for i, s in enumerate(slots) if s is None]:
+            self._learn([found[i] for i in new])
+            for i in new:
+                slots[i] = get(found[i])
+        slots = np.array(slots, np.int64)
+        self.met[slots] += 1
+        ids, ends = self._gathered(slots[pieces.indices.to_numpy()])
         ends = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
         out = [ids[a:b] for a, b in zip(ends, ends[1:])]
         for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
