@@ -8,18 +8,21 @@ left without overlap, and drops the merged symbols from the arrays; rounds go on
 
 The library merges one pair at a time. Merging all occurrences at once gives the same unless a merge makes a
 pair that ranks before the one just merged, in a part where that pair occurred more than once; such a part is
-encoded again one merge at a time. So is one where several pairs merge by a score that different pieces share.
+encoded again one merge at a time, as is one where several pairs merge by a score that different pieces share and one
+of more than LONG characters, which would hold up the rounds of all others: a heap of pairs over linked neighbours, so
+n log n in its length.
 
-Parts that were encoded are kept by a worker, up to MOST, so a frequent word is worked out once.
+Parts that were encoded are kept by a worker, up to MOST of MOST_CHARS characters, so a frequent word is worked out once.
 
-Cases: null counts as empty, which has no ids and decodes to the empty text; repeated rows give a row each;
-other columns are not read. Texts are taken whole. A literal space mark decodes to a space, as in the library.
+Cases: null counts as empty, which has no ids and decodes to the empty text; a null id is carried along; repeated
+rows give a row each; other columns are not read. Texts are taken whole. A literal space mark decodes to a space, as in the library.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 import re
 from functools import lru_cache
 
@@ -32,7 +35,7 @@ from ..shipping import map_arrow
 from .text import pick
 from .word_bpe import batches
 
-MARK, MOST, NONE = "▁", 400_000, np.iinfo(np.int64).max
+MARK, MOST, MOST_CHARS, LONG, NONE = "▁", 400_000, 1 << 24, 200, np.iinfo(np.int64).max
 codecs.register_error("nearfield_bytes", lambda e: ("�", e.start + 1))  # one mark for each byte
 
 
@@ -60,6 +63,7 @@ class PieceBpe:
                 a, b = self.ids.get(p[:cut]), self.ids.get(p[cut:])
                 if a is not None and b is not None:
                     pairs[a * n + b] = i
+        self.pairs = pairs
         keys = np.array(sorted(pairs), np.int64)
         self.keys, self.merged = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
         self.shared = np.append(shared, False)  # by rank; the last stands for none
@@ -73,7 +77,7 @@ class PieceBpe:
         for b, i in enumerate(self.byte):
             text[i] = bytes([b])
         text[self.unknown] = " ⁇ ".encode()
-        self.text, self.known = text, {}
+        self.text, self.known, self.chars = text, {}, 0
 
     def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair; NONE where it does not merge."""
@@ -84,6 +88,9 @@ class PieceBpe:
 
     def merge(self, parts: list[str]) -> list[list[int]]:
         """Each part's symbols after all merges."""
+        if any(len(p) > LONG for p in parts):
+            short = iter(self.merge([p for p in parts if len(p) <= LONG]))
+            return [self._one_by_one(p) if len(p) > LONG else next(short) for p in parts]
         chars = "".join(parts)
         codes = {c: self.ids.get(c, self.n + ord(c)) for c in set(chars)}
         symbols = np.fromiter((codes[c] for c in chars), np.int64, len(chars))
@@ -123,15 +130,29 @@ class PieceBpe:
         return [self._one_by_one(p) if again[i] else flat[bounds[i] : bounds[i + 1]] for i, p in enumerate(parts)]
 
     def _one_by_one(self, part: str) -> list[int]:
-        s = [self.ids.get(c, self.n + ord(c)) for c in part]
-        while len(s) > 1:
-            x = np.array(s)
-            rank, result = self._lookup(x[:-1], x[1:])
-            i = int(rank.argmin())
-            if rank[i] == NONE:
-                break
-            s[i : i + 2] = [int(result[i])]
-        return s
+        """The lowest rank first, of equal ones the leftmost."""
+        n, pairs, rank = self.n, self.pairs, self.rank
+        s = [self.ids.get(c, n + ord(c)) for c in part]
+        after, before = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
+        heap: list[tuple] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and (j := after[i]) < len(s) and s[i] < n and s[j] < n and (m := pairs.get(s[i] * n + s[j])) is not None:
+                heapq.heappush(heap, (rank[m], i, s[i], s[j], m))
+
+        for i in range(len(s) - 1):
+            offer(i)
+        while heap:
+            _, i, a, b, m = heapq.heappop(heap)
+            j = after[i]
+            if s[i] != a or j >= len(s) or s[j] != b:
+                continue  # one of the two has merged with another
+            s[i], s[j], after[i] = m, -1, after[j]
+            if after[j] < len(s):
+                before[after[j]] = i
+            offer(before[i])
+            offer(i)
+        return [x for x in s if x >= 0]
 
     def _finished(self, symbols: list[int]) -> list[int]:
         out = []
@@ -141,11 +162,13 @@ class PieceBpe:
 
     def encode(self, texts: list[str]) -> list[list[list[int]]]:
         """Each text's ids, part by part."""
-        if len(self.known) > MOST:
+        if len(self.known) > MOST or self.chars > MOST_CHARS:
             self.known.clear()
+            self.chars = 0
         found = [self.parts.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if new := list({p for ps in found for p in ps} - self.known.keys()):
             self.known.update(zip(new, map(self._finished, self.merge(new))))
+            self.chars += sum(map(len, new))
         known = self.known
         return [[known[p] for p in ps] for ps in found]
 
