@@ -1,18 +1,20 @@
 """Document fingerprints by order min-hash, in built-in functions only.
 
 A text's k-mers are runs of K words. Each is numbered by its occurrence (the first "a b c" is another element
-than the second), and the numbered k-mers are hashed. The hash's top bits deal the elements into BINS bins;
-each bin selects its two smallest, puts them back into the order of the text, and hashes that tuple. So a bin
-agrees between two texts only if both select the same k-mers and hold them in the same order, which falls with
-edit distance and not just with the set of k-mers. One hash a k-mer serves all bins, and one sort selects for
-all of them, so a text costs n log n and not n times the number of hash functions.
+than the second), and the numbered k-mers are hashed. The hashes lie on a ring that is cut into BINS bins; each bin
+selects the two elements that follow its start (so in a short text neighbouring bins share elements, and every bin has
+two), puts them back into the order of the text, and hashes that tuple. So a bin agrees between two texts only if both
+select the same k-mers and hold them in the same order, which falls with edit distance and not just with the set of
+k-mers. One hash a k-mer serves all bins, and one sort selects for all of them, so a text costs n log n and not n times
+the number of hash functions.
 
-A fingerprint has four hex digits a bin, or dots for a bin without elements. The likeness of two fingerprints
-is the share of bins, among those that either fills, in which they agree.
+A fingerprint has four hex digits a bin, or dots in a text without words. The likeness of two fingerprints is the
+share of bins, among those that either fills, in which they agree.
 
 Cases: null counts as empty; a text without words fills no bin, and two such are alike (1.0); a text of fewer
-than K words is one k-mer; equal texts have equal fingerprints; repeated rows give a row each; other columns
-are not read. Texts are taken whole.
+than K words is one k-mer, and so one element, which every bin selects alone; equal texts have equal fingerprints;
+repeated rows give a row each; null ids come before all others, and equal ids are in the order of their texts' hashes;
+the only row's next one is itself; other columns are not read. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import bounds_of, range_of
+from .ranges import LEAST, ROWS_PER_RANGE, number_of, spread
 from .text import let, pick, words_of
 
 K = 3
@@ -60,17 +62,19 @@ def with_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
 
     numbered = F.transform(g, lambda x, j: mark(F.xxhash64(hash_of(x), occurrence(x, j)), x.bitwiseAND(F.lit(POSITION))))
     df = df.withColumn("__e", F.sort_array(numbered))
-    e = F.col("__e")
-    df = df.withColumn("__s", F.filter(e, lambda x, j: (j < 2) | (bin_of(F.get(e, j - 2)) != bin_of(x))))
+    e, m = F.col("__e"), F.size("__e")
+    # of the sorted elements those that come first in their bin, by place
+    df = df.withColumn("__s", F.filter(F.transform(e, lambda x, j: F.when((j == 0) | (bin_of(F.get(e, j - 1)) != bin_of(x)), j)), lambda j: j.isNotNull()))
     s = F.col("__s")
     position = lambda x: x.bitwiseAND(F.lit(POSITION))
     pair = lambda a, b: F.when(position(a) <= position(b), F.xxhash64(hash_of(a), hash_of(b))).otherwise(F.xxhash64(hash_of(b), hash_of(a)))
-    code = lambda x, j: F.when((j > 0) & (bin_of(F.get(s, j - 1)) == bin_of(x)), pair(F.get(s, j - 1), x)).otherwise(F.xxhash64(hash_of(x)))
     digits = lambda h: F.substring(F.hex(h.bitwiseAND(F.lit(0xFFFF)) + 0x10000), 2, 4)
-    last = lambda x, j: F.get(s, j + 1).isNull() | (bin_of(F.get(s, j + 1)) != bin_of(x))
-    slots = F.filter(F.transform(s, lambda x, j: F.when(last(x, j), F.struct(bin_of(x).alias("bin"), digits(code(x, j)).alias("code")))), lambda x: x.isNotNull())
-    spread = let(F.map_from_entries(slots), lambda m: F.transform(F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1)), lambda b: F.coalesce(F.element_at(m, b.cast("bigint")), F.lit(EMPTY))))
-    df = df.withColumn(name, F.lower(F.array_join(spread, "")))
+    code = lambda j: F.when(m == 1, digits(F.xxhash64(hash_of(F.get(e, j))))).otherwise(digits(pair(F.get(e, j), F.get(e, F.when(j + 1 < m, j + 1).otherwise(F.lit(0))))))
+    # such an element serves its own bin and those before it that have none; the first also those after the last
+    own = lambda j: bin_of(F.get(e, j)).cast("int")
+    codes = F.transform(s, lambda j, t: F.repeat(code(j), own(j) - F.when(t == 0, F.lit(-BINS // 2 - 1)).otherwise(own(F.get(s, t - 1)))))
+    rest = F.repeat(code(F.get(s, F.lit(0))), F.lit(BINS // 2 - 1) - own(F.element_at(s, -1)))
+    df = df.withColumn(name, F.when(m == 0, EMPTY * BINS).otherwise(F.lower(F.concat(F.array_join(codes, ""), rest))))
     return df.drop("__w", "__g", "__steps", "__e", "__s")
 
 
@@ -83,18 +87,25 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, prepare=lambda df: df) -> DataFrame:
-    """doc_id, text, what prepare adds, and next_...: the same columns of the next row by doc_id (equal ids:
-    by text), after the last the first.
-
-    No task holds the whole order: ids are cut into ranges, each range is sorted by itself, and takes a copy of
-    the first row of the following range. The driver keeps two numbers a range."""
-    docs = docs.withColumn("bucket", range_of(F.col("doc_id"), bounds_of(docs, "doc_id")))
-    firsts = sorted(tuple(r) for r in docs.groupBy("bucket").agg(F.min("doc_id")).collect())
-    after = docs.sparkSession.createDataFrame([(b, firsts[(i + 1) % len(firsts)][1]) for i, (b, _) in enumerate(firsts)], "bucket int, doc_id bigint")
-    copies = docs.drop("bucket").join(F.broadcast(after), "doc_id").select("bucket", F.lit(1).alias("copy"), "doc_id", "text")
-    both = prepare(docs.select("bucket", F.lit(0).alias("copy"), "doc_id", "text").unionByName(copies))
-    line = Window.partitionBy("bucket").orderBy("copy", "doc_id", "text")
-    more = [c for c in both.columns if c not in ("bucket", "copy")]
+    """doc_id, text, what prepare adds, and next_...: the same columns of the next row by doc_id (null first; equal ids
+    by the hash of their texts), after the last the first.
+
+    No task holds the whole order: ids are cut into ranges, and an id that a great many rows share into several. Each
+    range is sorted by itself, and takes a copy of the first row of the following range. The driver keeps two numbers
+    a range."""
+    key, tie = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)), F.xxhash64("text")
+    docs = docs.select("doc_id", "text", key.alias("key"), tie.alias("tie"))
+    docs = docs.withColumn("bucket", number_of(F.col("key"), F.col("tie"), spread(docs, ROWS_PER_RANGE, "key")))
+    firsts = sorted(tuple(r) for r in docs.groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("f")).select("bucket", "f.*").collect())
+    after = [(b, *firsts[(i + 1) % len(firsts)][1:]) for i, (b, _, _) in enumerate(firsts)]
+    after = docs.sparkSession.createDataFrame(after, "bucket int, key bigint, tie bigint")
+    # of rows with one id and hash, which are alike, one is enough
+    copies = docs.drop("bucket").join(F.broadcast(after), ["key", "tie"]).groupBy("bucket", "key", "tie").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    columns = ["doc_id", "text", "key", "tie"]
+    both = docs.select("bucket", F.lit(0).alias("copy"), *columns).unionByName(copies.select("bucket", F.lit(1).alias("copy"), *columns))
+    both = prepare(both)
+    line = Window.partitionBy("bucket").orderBy("copy", "key", "tie", "text")
+    more = [c for c in both.columns if c not in ("bucket", "copy", "key", "tie")]
     return both.select("copy", *more, *(F.lead(c).over(line).alias(f"next_{c}") for c in more)).where("copy = 0").drop("copy")
 
 

@@ -12,14 +12,8 @@ from pyspark.sql import functions as F
 from .text import let
 
 ROWS_PER_RANGE, MOST_RANGES = 4096, 1 << 16
-
-
-def bounds_of(df: DataFrame, column: str, rows: int = ROWS_PER_RANGE) -> list[int]:
-    """Bounds of ranges of about so many rows; at most MOST_RANGES, so the driver holds a bounded list."""
-    parts = min(MOST_RANGES, max(1, df.count() // rows))
-    if parts == 1:
-        return []
-    return sorted({int(b) for b in df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.2 / parts)})
+#: Stands for a null id, which comes first.
+LEAST = -(1 << 63)
 
 
 def range_of(column: Column, bounds: list[int]) -> Column:
@@ -66,3 +60,14 @@ def spread(df: DataFrame, rows: int, column: str = "doc_id") -> Ranges:
     slices = np.array([cuts[b] for b in bounds], np.int64)
     first = 1 + np.concatenate([[0], np.cumsum(slices)[:-1]]).astype(np.int64) if bounds else slices
     return Ranges(np.array(bounds, np.int64), first, slices, 1 + int(slices.sum()))
+
+
+def number_of(column: Column, tie: Column, ranges: Ranges) -> Column:
+    """Ranges.find, in built-in functions."""
+    at = range_of(column, ranges.bounds.tolist())
+    if not len(ranges.bounds) or ranges.slices.max() == 1:
+        return at
+    first = F.array(*(F.lit(int(x)) for x in [0, *ranges.first]))
+    cut = F.get(F.array(*(F.lit(int(x)) for x in [1, *ranges.slices])), at)
+    share = (tie.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    return F.get(first, at) + F.least(F.floor(share * cut).cast("int"), cut - 1)

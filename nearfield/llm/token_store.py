@@ -39,14 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .ranges import spread
+from .ranges import LEAST, spread
 from .shared import get, opened, put, shared_dir
 from .text import pick
 from .word_bpe import parts, word_bpe
 
 MOST_TASKS = 1 << 14
 MAGIC, HEAD = b"NFTOKEN1", 44
-NULL_ID = -(1 << 63)
+NULL_ID = LEAST
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 2000, 1 << 15, 1 << 16, 3
 ROWS_PER_FILE, FILE_BYTES = 2048, 1 << 25
 END = 2
