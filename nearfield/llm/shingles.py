@@ -1,14 +1,8 @@
-"""Near duplicates by the similarity of shingle sets: min-hash bands, an exact check, and components.
+"""Sets of word shingles: their hashes, min-hash bands that find similar ones, and the exact similarity.
 
-A text's shingles are its runs of WORDS words, lower-cased. Two texts link if the Jaccard similarity of their
-sets of shingles reaches SIMILARITY. Candidates agree in all ROWS min-hashes of one of BANDS bands; at similarity
-0.8 a pair fails to become one with probability 0.00007. Every candidate is confirmed by its shingles.
-
-Equal sets are one node. A band's members are first linked to two pivots; then the join looks only for links
-between different components, so a group of near copies is not expanded into pairs.
-
-Cases: null counts as empty; texts without words are alike; fewer than WORDS words are one shingle; rows without
-an id are left out; other columns are not read. Texts are taken whole.
+Two texts are similar if the Jaccard similarity of their sets of shingles (runs of WORDS words, lower-cased) reaches
+SIMILARITY. Candidates agree in all ROWS min-hashes of one of BANDS bands; at similarity 0.8 a pair fails to become
+one with probability 0.00007. Every candidate is confirmed by its shingles.
 """
 
 from __future__ import annotations
@@ -20,24 +14,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .components import components
-from .shared import written
-from .text import pick
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 24, 5, 42
 _RANDOM = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 _TIMES, _MIX = _RANDOM[0] | np.uint64(1), _RANDOM[1]
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The hashes of the text's different shingles, sorted."""
+def hashes_of(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of the text's shingles in order, repeats included. Fewer words are one shingle; no words, none."""
     parts = text.lower().split()  # both of ASCII alone, for bytes
+    if not parts:
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts], dtype=np.int64) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
-    w = min(WORDS, len(parts))
-    found = (xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - w + 1].tolist(), ends[w - 1 :].tolist())) if parts else ()
-    return np.unique(np.fromiter(found, np.uint64))
+    w = min(words, len(parts))
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - w + 1].tolist(), ends[w - 1 :].tolist())), np.uint64)
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The hashes of the text's different shingles, sorted."""
+    return np.unique(hashes_of(text, words))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -53,64 +50,23 @@ def bands(found: np.ndarray) -> list[int]:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(found), 1 << 12):
         least = np.minimum(least, ((found[i : i + (1 << 12)][None] ^ _MIX) * _TIMES).min(1))
-    return [_long(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
+    return [long_hash(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def _long(data: bytes, seed: int = SEED) -> int:
+def long_hash(data: bytes, seed: int = SEED) -> int:
     x = xxhash.xxh64_intdigest(data, seed)
     return x - (1 << 64) if x >> 63 else x
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (the text's hash), key (that of its set of shingles) and bands."""
-
-    def rows(it):
-        for batch in it:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                sets = [shingles(t) for t in part.column(2).cast(pa.binary()).to_pylist()]
-                keys, found = pa.array([_long(s.tobytes()) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), keys, found], ["doc_id", "mark", "key", "bands"])
-
-    return map_arrow(docs.select("doc_id", "mark", "text"), rows, "doc_id bigint, mark bigint, key bigint, bands array<bigint>")
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs a, b whose texts reach SIMILARITY."""
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+    """pairs: a, b; texts: node, text. The pairs whose texts are similar."""
+    schema = pairs.select("a", "b").schema
 
     def rows(it):
         for batch in it:
             a, b = (batch.column(i).cast(pa.binary()) for i in (2, 3))
-            near = [similarity(shingles(x.as_py()), shingles(y.as_py())) >= SIMILARITY for x, y in zip(a, b)]
+            near = [similarity(shingles(x.as_py(), words), shingles(y.as_py(), words)) >= least for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    left, right = (texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return map_arrow(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), rows, "a bigint, b bigint")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id, the smallest doc_id that links lead to. A row for each input row with an id."""
-    docs = pick(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint")).where("doc_id IS NOT NULL").withColumn("mark", F.xxhash64("text"))
-    signed = written(_signed(docs))
-    nodes = written(signed.groupBy("key").agg(F.min_by(F.struct("doc_id", "mark", "bands"), F.struct("doc_id", "mark")).alias("s")).select("key", "s.*"))
-    grid = nodes.select("key", F.explode("bands").alias("cell"))
-    grid = written(grid.join(grid.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cell", "left_semi"))
-    wanted = nodes.select("key", "doc_id", "mark").join(grid.select("key").distinct(), "key", "left_semi")
-    texts = written(docs.join(wanted, ["doc_id", "mark"]).dropDuplicates(["key"]).select("key", "text"))
-
-    pivots = grid.groupBy("cell").agg(F.min("key").alias("p0"), F.min_by("key", F.xxhash64("key")).alias("p1"))
-    to_pivots = grid.join(pivots, "cell").select(F.col("key").alias("a"), F.explode(F.array("p0", "p1")).alias("b")).where("a <> b")
-    first = written(components(_confirmed(to_pivots.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts)))
-
-    grid = grid.join(first.withColumnRenamed("node", "key"), "key", "left").select("cell", "key", F.coalesce("root", "key").alias("root"))
-    mixed = grid.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
-    grid = written(grid.join(mixed, "cell", "left_semi"))
-    x, y = grid.alias("x"), grid.alias("y")
-    between = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") < F.col("y.root"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    # a node of its own root stands for itself, so that components cover the nodes of both steps
-    edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_confirmed(between, texts))
-    roots = components(edges)
-
-    grouped = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-    ids = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return signed.select("doc_id", "key").join(grouped.select("key", "root").join(ids, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), rows, schema)

@@ -12,8 +12,13 @@ Equal fingerprints are one node. Since only components are wanted, dense groups
 pairs: each cell's members are first linked to a few pivots of the cell; then the join looks only for links
 between different components, in cells that still hold several. Every link is thus found or implied.
 
+near_duplicates links by the fingerprints alone. similar_texts asks for a similarity of the texts' sets of shingles:
+the grid's links are confirmed by it exactly, and since a text that is 0.8 similar has about 10 other bits, which no
+grid of 4 bits reaches, min-hash bands add the candidates beyond, between components that the grid has left apart.
+
 Cases: null counts as empty; texts without words have fingerprint zero and link like any other; fewer than
-WORDS words are one shingle; repeated rows give a row each; other columns are not read. Texts are taken whole.
+WORDS words are one shingle; repeated rows give a row each; a row without an id links like any other and lends no id to
+its component, which is null where no row has one; other columns are not read. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -22,43 +27,40 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
+from . import shingles
 from .components import components
 from .shared import written
+from .shingles import hashes_of
 from .text import pick
+from .word_bpe import parts
 
-WORDS, DISTANCE, SEED = 4, 4, 42
+WORDS, DISTANCE = 4, 4
 #: Members that a cell may hold on average before blocks are made finer.
 CROWD = 64
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Bit i is set if it is set in over half of the shingles' hashes. The result is a signed long."""
-    parts = text.lower().split()  # both of ASCII alone, for bytes
-    if not parts:
-        return 0
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    w = min(words, len(parts))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - w + 1].tolist(), ends[w - 1 :].tolist())), np.uint64)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes. The result is a signed long."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    return fingerprint_of(hashes_of(text, words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id and fp, a long."""
 
     def rows(it):
         for batch in it:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part in parts(batch, rows=500):
                 fps = [fingerprint(t, words) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -101,36 +103,88 @@ def manhattan(a: Column, b: Column, segments: int = 8) -> Column:
     return total
 
 
-def link(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """fps: distinct fp. Returns node and root for the fingerprints that link to another."""
-    fps = written(fps)
-    grid = fps.select("fp", F.posexplode(cells(F.col("fp"), blocks_for(fps.count(), distance), distance)).alias("choice", "cell"))
-    near = lambda a, b: (manhattan(a, b) <= distance) & (hamming(a, b) <= distance)
+def _pairs(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
 
-    pivots = grid.groupBy("choice", "cell").agg(F.min("fp").alias("p0"), F.max("fp").alias("p1"), F.min_by("fp", F.xxhash64("fp")).alias("p2")).where("p0 <> p1")
-    to_pivots = grid.join(pivots, ["choice", "cell"]).select(F.col("fp").alias("a"), F.explode(F.array("p0", "p1", "p2")).alias("b"))
-    first = written(components(to_pivots.where((F.col("a") != F.col("b")) & near(F.col("a"), F.col("b"))).distinct()))
+def _within_cells(grid: DataFrame, near, checked) -> DataFrame:
+    """grid: cell, node, root (what the node is known to link to) and what near(x, y) compares. node and root of all
+    nodes after the links within cells."""
+    members = grid.groupBy("cell").agg(F.min("node").alias("p0"), F.max("node").alias("p1"), F.min_by("node", F.xxhash64("node")).alias("p2")).where("p0 <> p1")
+    pivots = members.select("cell", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("node"))
+    y = grid.join(pivots, ["cell", "node"], "left_semi").alias("y")
+    x = grid.alias("x")
+    apart = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") != F.col("y.root"))
+    to_pivots = x.join(y, apart & near("x", "y")).select(*_pairs(F.col("x.node"), F.col("y.node"))).distinct()
+    known = grid.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
+    first = written(components(known.unionByName(checked(to_pivots))))
 
-    grid = grid.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("choice", "cell", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = grid.groupBy("choice", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("choice", "cell")
-    grid = written(grid.join(mixed, ["choice", "cell"], "left_semi"))
+    grid = grid.drop("root").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = grid.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+    grid = written(grid.join(mixed, "cell", "left_semi"))
     x, y = grid.alias("x"), grid.alias("y")
-    same = (F.col("x.choice") == F.col("y.choice")) & (F.col("x.cell") == F.col("y.cell"))
-    between = x.join(y, same & (F.col("x.root") < F.col("y.root")) & near(F.col("x.fp"), F.col("y.fp")))
-    second = components(between.select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct())
+    between = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") < F.col("y.root")) & near("x", "y"))
+    found = checked(between.select(*_pairs(F.col("x.node"), F.col("y.node"))).distinct())
+    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+
+
+def link(nodes: DataFrame, distance: int = DISTANCE, checked=lambda pairs: pairs) -> DataFrame:
+    """nodes: node, of any type that has an order, and fp. node and root, the smallest node that links lead to, for the
+    nodes that link to another. checked: takes pairs a, b within the distance and gives those that link."""
+    nodes = written(nodes)
+    choices = F.posexplode(cells(F.col("fp"), blocks_for(nodes.count(), distance), distance)).alias("choice", "counts")
+    grid = nodes.select("node", "fp", choices).select(F.struct("choice", "counts").alias("cell"), "node", "fp", F.col("node").alias("root"))
 
-    roots = first.unionByName(second.join(first, second["node"] == first["root"], "left_anti").select("node", F.col("node").alias("root")))
-    top = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    def near(x: str, y: str) -> Column:
+        a, b = F.col(f"{x}.fp"), F.col(f"{y}.fp")
+        return (manhattan(a, b) <= distance) & (hamming(a, b) <= distance)
+
+    return _within_cells(grid, near, checked)
+
+
+def _components_of(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """rows (doc_id and key) with component_id; a key without links is its own component. The smallest ids of the
+    components are written, so that a join by a component of a great many keys can be split."""
+    own = rows.groupBy(key).agg(F.min("doc_id").alias("least")).join(roots, F.col(key) == F.col("node"), "left").select(key, "least", F.coalesce("root", key).alias("root"))
+    own = written(own)
+    ids = written(own.groupBy("root").agg(F.min("least").alias("component_id")))
+    return rows.join(own.join(ids, "root").select(key, "component_id"), key)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, words: int = WORDS) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links lead to. A row for each input row."""
     fps = written(fingerprints(docs, id_col, text_col, words))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    roots = first.join(written(link(first.select("fp"), distance)), F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    ids = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return fps.join(roots.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    roots = written(link(fps.select(F.col("fp").alias("node"), "fp").distinct(), distance))
+    return _components_of(fps, roots, "fp").select("doc_id", "fp", "component_id")
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = shingles.WORDS, similarity: float = shingles.SIMILARITY, distance: int = DISTANCE) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that links of such similarity lead to. A row for each input row."""
+    docs = pick(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("mark", F.xxhash64("text"))
+
+    def signed(it):
+        for batch in it:
+            for part in parts(batch, text=2, rows=500):
+                found = [shingles.hashes_of(t, words) for t in part.column(2).cast(pa.binary()).to_pylist()]
+                sets = [np.unique(x) for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([shingles.long_hash(x.tobytes()) for x in sets], pa.int64()), pa.array(map(fingerprint_of, found), pa.int64()), pa.array(map(shingles.bands, sets), pa.list_(pa.int64()))],
+                    ["doc_id", "mark", "key", "fp", "bands"],
+                )
+
+    rows = written(map_arrow(docs.select("doc_id", "mark", "text"), signed, "doc_id bigint, mark bigint, key bigint, fp bigint, bands array<bigint>"))
+    # one of the texts that have a set of shingles stands for it: they may differ in order and in repeats
+    chosen = rows.groupBy("key").agg(F.min(F.struct("mark", "fp", "bands")).alias("s"))
+    nodes = written(chosen.select(F.col("key").alias("node"), "s.*"))
+    texts = written(docs.join(nodes.select("mark", "node"), "mark").groupBy("node").agg(F.min("text").alias("text")))
+    checked = lambda pairs: shingles.confirmed(pairs, texts, words, similarity)
+
+    roots = written(link(nodes.select("node", "fp"), distance, checked))
+    grid = nodes.select("node", F.explode("bands").alias("cell")).join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
+    mixed = grid.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+    beyond = _within_cells(written(grid.join(mixed, "cell", "left_semi")), lambda x, y: F.lit(True), checked)
+    every = components(roots.unionByName(beyond).select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return _components_of(rows.select("doc_id", "key"), written(every), "key").select("doc_id", "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
