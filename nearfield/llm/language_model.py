@@ -1,39 +1,54 @@
 """Scoring by a gated recurrent language model with a class-factored output.
 
-Counts come first: every word of every training text is counted, over the whole corpus. The HEAD most frequent
-words (a bounded list, which is broadcast) are dealt to classes of like frequency; all other words, seen or
-not, are the tail class. A token's probability is P(class | state) P(token | class): the INNER most frequent
-words have a softmax within their class that looks at the state too, the others keep their share of the
-class's count, and the tail's is (c + 0.5) / (n + 0.5 (v + 1)) over the tail's counts. The tail's counts grow
-with the corpus and are joined by word, never broadcast.
-
-The state is a gated recurrent unit of STATE numbers in numpy. It is trained by back-propagation through
-windows of WINDOW tokens, and is carried from window to window, in training as in scoring, so a document's
-score is the log-likelihood of the whole. Training texts are one in SAMPLE of all training documents, so their
-number grows with the corpus; they are dealt to shards of about SHARD texts, each shard trains by itself from
-the same weights, and the weights are averaged, for ROUNDS rounds. The output starts as the words' counts, so
-an untrained model scores like the counts.
-
-Cases: null counts as empty: its end is scored; a null id counts as a training text; repeated rows are scored
-one by one; other columns are not read; with no training text all words are unseen. Texts are taken whole.
+Counts come first: every word of every training text is counted, over the whole corpus. The HEAD most frequent words
+are dealt to classes of like frequency, small ones for the most frequent; all other words, seen or not, are the tail
+class. A token's probability is P(class | state) P(token | class). Both are softmaxes that look at the state, in every
+head class; the tail's words share P(tail | state) by (c + 0.5) / (n + 0.5 (v + 1)), by the tail's counts. The tail's
+counts grow with the corpus and are joined by word; those of the COUNTED most frequent words, a bounded list, are
+broadcast.
+
+The state is a gated recurrent unit of STATE numbers in numpy. Texts are dealt to lanes of like length, LANES at most; a lane
+reads one text after another, from an empty state each. Training propagates back through windows of WINDOW tokens; the
+state is carried from window to window, in training as in scoring, so a document's score is the log-likelihood of the
+whole. The unit learns from every training text once: the first of ROUNDS holds one text in FIRST, the second the
+rest. In a round each task trains on its own texts, all from the same weights, and the weights are averaged by tokens.
+In training alone, a text of more than SEGMENT tokens is read as several. The output starts as the words' counts, so an
+untrained model scores like the counts.
+
+Cases: null counts as empty: its end is scored; a null id counts as a training text; repeated rows are scored one by
+one; other columns are not read; an empty table gives no rows; with no training text all words are unseen; texts that
+are all words of one count may leave no head, and then all words are the tail. Texts are taken whole.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow, ship
 from .shared import written
 from .text import pick
-
-HEAD, INNER, INNER_CLASSES, OUTER_CLASSES = 65_536, 1024, 24, 6
-STATE, WINDOW, BATCH = 24, 16, 256
-SAMPLE, SHARD, ROUNDS, RATE, TRAIN_BATCH = 16, 512, 2, 0.01, 64
+from .word_bpe import parts
+
+COUNTED, HEAD, READ = 65_536, 8192, 1024
+#: Up to which rank classes hold so many words.
+CLASSES = ((256, 32), (2048, 128), (HEAD, 256))
+STATE, WINDOW, LANES = 12, 16, 512
+FIRST, RATE, MOST_WEIGHT = 8, 0.12, 6
+#: Tokens that a task trains on at a time, and those of a text that are read as one.
+TOGETHER, SEGMENT = 1_000_000, 2048
+#: Tokens that a task scores at a time; lanes are then so many that they are about as long as the longest text.
+SCORED = 3_000_000
+#: Tokens of a full window: gradients are shares of it, so that a window of few lanes moves the weights less.
+FULL = LANES * WINDOW
+#: Different words that a task counts before it hands them on; weights a row when they are averaged.
+MOST_WORDS, ROW = 600_000, 16_384
 LOG10 = np.log(10)
 FOLDS, HELD_OUT = 5, 1
 
@@ -44,190 +59,211 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class Layout:
-    """How the counts deal words to classes, and what does not depend on the state."""
-
-    def __init__(self, head: list[tuple[bytes, int]], ends: int, total: int, distinct: int) -> None:
-        """head: the most frequent words with their counts, in order. ends: training texts. total, distinct:
-        of all training tokens, ends included."""
-        self.counts = {w: c for w, c in head}
-        self.index = {w: i for i, (w, _) in enumerate(head)}
-        c = np.array([x for _, x in head], float)
-        n, inner = len(c), min(INNER, len(c))
-        self.inner, self.base_all = inner, np.log10(total + 0.5 * (distinct + 1))
-        cls = np.zeros(n, np.int64)
-        for lo, hi, first, k in ((0, inner, 0, INNER_CLASSES), (inner, n, INNER_CLASSES, OUTER_CLASSES)):
-            if hi > lo:  # classes of like mass
-                cum = np.cumsum(c[lo:hi]) - c[lo:hi] / 2
-                cls[lo:hi] = first + np.minimum((cum * k / c[lo:hi].sum()).astype(np.int64), k - 1)
-        self.end_class, self.tail_class = INNER_CLASSES + OUTER_CLASSES, INNER_CLASSES + OUTER_CLASSES + 1
-        self.classes = self.tail_class + 1
-        # tokens are head words by index, then the end, then the tail
-        self.end, self.tail = n, n + 1
-        self.cls = np.concatenate([cls, [self.end_class, self.tail_class]])
-        tail_count, tail_distinct = total - ends - int(c.sum()), distinct - n - (ends > 0)
-        self.tail_all = np.log10(tail_count + 0.5 * (tail_distinct + 1))
-        mass = np.bincount(self.cls[:n], c + 0.5, self.classes)
-        self.class_bias = np.log(mass + 0.5)
-        self.class_bias[self.end_class] = np.log(ends + 0.5)
-        self.class_bias[self.tail_class] = np.log(tail_count + 0.5 * (tail_distinct + 1))
-        # of the base score; the tail's part is added later
-        self.base = np.concatenate([np.log10(c + 0.5), [np.log10(ends + 0.5), 0.0]]) - self.base_all
-        self.within = np.zeros(n + 2)  # log P(token | class) where it is fixed
-        self.within[inner:n] = np.log((c + 0.5) / mass[cls])[inner:]
-        self.word_bias = np.log(c[:inner] + 0.5)
-        first = np.searchsorted(cls[:inner], np.arange(INNER_CLASSES + 1))
-        self.spans = [(int(a), int(b)) for a, b in zip(first[:-1], first[1:])]
-        # what the unit reads: an inner word itself, else the class
-        self.input = np.concatenate([np.arange(inner), inner + self.cls[inner:]]).astype(np.int64)
-        self.known = np.concatenate([np.ones(n, bool), [ends > 0, False]])
+    """How the counts deal words to classes. Tokens are numbers: the head's words by rank, the end, a word that is
+    not among the counted ones, and from then on the counted words of the tail."""
+
+    def __init__(self, counted: list[tuple[bytes, int]], ends: int, total: int, distinct: int, head: int = HEAD) -> None:
+        """counted: the most frequent words with their counts, in order. ends: training texts. total, distinct: of
+        all training tokens, ends included."""
+        n = min(head, len(counted))
+        c = np.array([x for _, x in counted], float)
+        self.n, self.end, self.tail = n, n, n + 1
+        self.index = {w: i if i < n else i + 2 for i, (w, _) in enumerate(counted)}
+        first = [0]
+        for upto, size in CLASSES:
+            while first[-1] < min(n, upto):
+                first.append(min(first[-1] + size, n, upto))
+        self.first, self.heads = first, len(first) - 1
+        cls = np.searchsorted(first, np.arange(n), "right") - 1
+        self.cls = np.concatenate([cls, [self.heads, self.heads + 1]]).astype(np.uint16)
+        self.classes = self.heads + 2
+        tail_count, tail_distinct = total - ends - int(c[:n].sum()), distinct - n - (ends > 0)
+        tail_mass = tail_count + 0.5 * (tail_distinct + 1)
+        mass = np.bincount(cls, c[:n] + 0.5, self.classes).astype(float)
+        mass[self.heads :] = ends + 0.5, tail_mass
+        self.class_bias = np.log(mass / mass.sum())
+        self.word_bias = np.log((c[:n] + 0.5) / mass[cls])
+        # what the unit reads: one of the most frequent words itself, else the class
+        own = min(READ, n)
+        self.input = np.concatenate([np.arange(own), own + self.cls[own:]]).astype(np.uint16)
+        self.inputs = own + self.classes
+        # log10 of the base score, and of P(token | tail); a word that is not counted gets its part later
+        more = np.concatenate([np.log10(c[:n] + 0.5), [np.log10(ends + 0.5), 0.0], np.log10(c[n:] + 0.5)])
+        self.base = more - np.log10(total + 0.5 * (distinct + 1))
+        self.within = np.where(np.arange(len(more)) > n, more - np.log10(tail_mass), 0.0)
+        self.known = np.concatenate([np.ones(n, bool), [ends > 0, False], np.ones(len(c) - n, bool)])
 
     def read(self, words: list[bytes]) -> np.ndarray:
         """Token numbers, the end last."""
         get, tail = self.index.get, self.tail
-        return np.array([*(get(w, tail) for w in words), self.end], np.int64)
+        return np.array([*[get(w, tail) for w in words], self.end], np.int32)
+
+
+def dealt(sizes: np.ndarray, lanes: int) -> list[list[int]]:
+    """Positions by lane, of like total size, the largest lane first."""
+    k = min(lanes, len(sizes))
+    heap, own = [(0, i) for i in range(k)], [[] for _ in range(k)]
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        load, lane = heapq.heappop(heap)
+        own[lane].append(i)
+        heapq.heappush(heap, (load + int(sizes[i]), lane))
+    return sorted(own, key=lambda o: -int(sizes[o].sum()))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Model:
+    """weights: what the unit reads, its recurrence, the classes' and the words' outputs (their bias last)."""
+
     def __init__(self, layout: Layout, weights: list[np.ndarray] | None = None) -> None:
         self.layout = layout
         if weights is None:
             rng = np.random.default_rng(0)
-            small = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-            weights = [small(layout.inner + layout.classes, 3 * STATE), small(STATE, 3 * STATE), np.zeros((STATE, layout.classes), np.float32), layout.class_bias.astype(np.float32), np.zeros((layout.inner, STATE), np.float32), layout.word_bias.astype(np.float32)]
+            small = lambda scale, *s: (rng.standard_normal(s) * scale).astype(np.float32)
+            output = lambda bias: np.concatenate([np.zeros((len(bias), STATE)), bias[:, None]], 1).astype(np.float32)
+            weights = [small(0.1, layout.inputs, 3 * STATE), small(0.2, STATE, 3 * STATE), output(layout.class_bias), output(layout.word_bias)]
         self.weights = weights
+        self.squares = [np.full(w.shape, 1e-8, w.dtype) for w in weights]
 
-    def step(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def _step(self, inputs: np.ndarray, h: np.ndarray, keep: list | None) -> np.ndarray:
         """The state after reading the inputs."""
         wx, u = self.weights[:2]
         x, y = wx[inputs], h @ u
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * STATE] + y[:, : 2 * STATE])))
-        z, r = zr[:, :STATE], zr[:, STATE:]
+        gates = _sigmoid(x[:, : 2 * STATE] + y[:, : 2 * STATE])
+        z, r = gates[:, :STATE], gates[:, STATE:]
         n = np.tanh(x[:, 2 * STATE :] + r * y[:, 2 * STATE :])
         if keep is not None:
-            keep.append((inputs, h, z, r, n, y[:, 2 * STATE :]))
+            keep.append([inputs, h, z, r, n, y[:, 2 * STATE :]])
         return n + z * (h - n)
 
-    def log_p(self, h: np.ndarray, target: np.ndarray, grads: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log P of each target after each state; with grads, adds to them, and gives that of h."""
-        lay, (_, _, wc, bc, uw, bw) = self.layout, self.weights
-        cls = lay.cls[target]
-        logits = h @ wc + bc
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
+    def _update(self, i: int, at, gradient: np.ndarray) -> None:
+        """A step down the gradient of the i-th weights, less the more gradient they have had."""
+        square = self.squares[i][at]
+        square += gradient * gradient
+        self.squares[i][at] = square
+        self.weights[i][at] -= RATE * gradient / np.sqrt(square)
+
+    def _output(self, states: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log P of each target after its state (a one follows the state's numbers); to learn, also updates
+        the outputs and gives the gradient of the loss over FULL by state."""
+        layout, (_, _, by_class, by_word) = self.layout, self.weights
+        cls, n = layout.cls[target], len(target)
+        at = np.arange(n)
+        e = states @ by_class.T
+        out = e[at, cls].astype(float)
+        np.exp(e, out=e)
         s = e.sum(1)
-        at = np.arange(len(target))
-        out = logits[at, cls] - np.log(s) + lay.within[target]
-        dh = None
-        if grads is not None:
-            p = e / s[:, None]
-            p[at, cls] -= 1
-            grads[2] += h.T @ p
-            grads[3] += p.sum(0)
-            dh = p @ wc.T
+        out -= np.log(s)
+        back = None
+        if learn:
+            e[at, cls] -= s
+            share = (1 / (s * FULL))[:, None]
+            back = (e @ by_class) * share
+            self._update(2, slice(None), e.T @ (states * share))
         order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(INNER_CLASSES + 1))
-        for (a, b), lo, hi in zip(lay.spans, bounds[:-1], bounds[1:]):
-            if hi > lo and b > a:
-                rows = order[lo:hi]
-                hs = h[rows]
-                x = hs @ uw[a:b].T + bw[a:b]
-                x -= x.max(1, keepdims=True)
-                e = np.exp(x)
-                s = e.sum(1)
-                place = (np.arange(len(rows)), target[rows] - a)
-                out[rows] += x[place] - np.log(s)
-                if grads is not None:
-                    p = e / s[:, None]
-                    p[place] -= 1
-                    grads[4][a:b] += p.T @ hs
-                    grads[5][a:b] += p.sum(0)
-                    dh[rows] += p @ uw[a:b]
-        return out, dh
-
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 P of each text's tokens, without the tail's share within its class."""
-        total = np.zeros(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
-            lengths = np.array([len(texts[i]) for i in some])
-            h, inputs = np.zeros((len(some), STATE), np.float32), None
-            for start in range(0, int(lengths[0]), WINDOW):
-                live = int(np.searchsorted(-lengths, -start, "left"))  # texts longer than start
-                block = np.full((live, min(WINDOW, int(lengths[0]) - start)), -1, np.int64)
-                for j in range(live):
-                    part = texts[some[j]][start : start + WINDOW]
-                    block[j, : len(part)] = part
-                states, targets, owners = [], [], []
-                h = h[:live]
-                for t in range(block.shape[1]):
-                    now = int((block[:, t] >= 0).sum())
-                    if not now:
-                        break
-                    if inputs is not None:
-                        h = self.step(self.layout.input[inputs[:now]], h[:now])
-                    states.append(h[:now])
-                    targets.append(block[:now, t])
-                    owners.append(np.arange(now))
-                    inputs = block[:now, t]
-                    h = h[:now]
-                p, _ = self.log_p(np.concatenate(states), np.concatenate(targets))
-                total[np.array(some)[:live]] += np.bincount(np.concatenate(owners), p, live)
-        return total / LOG10
-
-    def train(self, texts: list[np.ndarray]) -> None:
-        """One pass, by Adam. Texts of a batch read on together; a text that has ended is left out."""
-        mean, square, n = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights], 0
-        for at in range(0, len(texts), TRAIN_BATCH):
-            some = sorted(texts[at : at + TRAIN_BATCH], key=len, reverse=True)
-            lengths = np.array([len(x) for x in some])
-            h, inputs = np.zeros((len(some), STATE), np.float32), None
-            for start in range(0, int(lengths[0]), WINDOW):
-                grads, caches, outs = [np.zeros_like(w) for w in self.weights], [], []
-                for t in range(start, min(start + WINDOW, int(lengths[0]))):
-                    now = int((lengths > t).sum())
-                    h = h[:now]
-                    if inputs is not None:
-                        h = self.step(self.layout.input[inputs[:now]], h, caches)
-                    else:
-                        caches.append(None)
-                    target = np.array([x[t] for x in some[:now]])
-                    outs.append(self.log_p(h, target, grads)[1])
-                    inputs = target
-                self._back(caches, outs, grads)
-                n += 1
-                scale = 1 / max(1, sum(len(o) for o in outs))
-                for w, g, m, v in zip(self.weights, grads, mean, square):
-                    g *= scale
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    w -= RATE * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.99**n)) + 1e-5)
-
-    def _back(self, caches: list, outs: list[np.ndarray], grads: list[np.ndarray]) -> None:
+        bounds = np.searchsorted(cls[order], np.arange(layout.heads + 1)).tolist()
+        states, target = states[order], target[order]
+        within, own_back = np.zeros(n), np.zeros_like(states)
+        for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            if lo == hi:
+                continue
+            a, b = layout.first[k], layout.first[k + 1]
+            x, w = states[lo:hi], by_word[a:b]
+            e = x @ w.T
+            place = (at[: hi - lo], target[lo:hi] - a)
+            p = e[place].astype(float)
+            np.exp(e, out=e)
+            s = e.sum(1)
+            within[lo:hi] = p - np.log(s)
+            if learn:
+                e[place] -= s
+                share = (1 / (s * FULL))[:, None]
+                own_back[lo:hi] = (e @ w) * share
+                self._update(3, slice(a, b), e.T @ (x * share))
+        out[order] += within
+        if learn:
+            back[order] += own_back
+        return out, back
+
+    def _back(self, kept: list, back: np.ndarray, sizes: list[int]) -> None:
+        """Through the window's steps, from the last."""
         u = self.weights[1]
-        later = np.zeros((0, STATE), np.float32)
-        for cache, d in zip(reversed(caches), reversed(outs)):
-            dh = d.astype(np.float32)
+        later, of_u, inputs, of_x = np.zeros((0, STATE), back.dtype), np.zeros_like(u), [], []
+        for keep, end, n in zip(reversed(kept), reversed(np.cumsum(sizes).tolist()), reversed(sizes)):
+            dh = back[end - n : end, :STATE].copy()
             dh[: len(later)] += later
-            if cache is None:
+            if keep is None:
                 break
-            inputs, h, z, r, n, y = cache
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
+            read, h, z, r, new, y, first = keep
+            dh[first] = 0
+            dn = dh * (1 - z) * (1 - new * new)
+            dz = dh * (h - new) * z * (1 - z)
             dr = dn * y * r * (1 - r)
-            by_u = np.concatenate([dz, dr, dn * r], 1)
-            np.add.at(grads[0], inputs, np.concatenate([dz, dr, dn], 1))
-            grads[1] += h.T @ by_u
+            dx = np.concatenate([dz, dr, dn], 1)
+            inputs.append(read)
+            of_x.append(dx)
+            by_u = dx.copy()
+            by_u[:, 2 * STATE :] *= r
+            of_u += h.T @ by_u
             later = dh * z + by_u @ u.T
-
-
-def _flat(weights: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([w.ravel() for w in weights])
-
-
-def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
-    ends = np.cumsum([w.size for w in like])
-    return [x.reshape(w.shape).astype(np.float32) for x, w in zip(np.split(flat, ends[:-1]), like)]
+        if inputs:
+            read, of_x = np.concatenate(inputs), np.concatenate(of_x)
+            order = np.argsort(read, kind="stable")
+            read = read[order]
+            starts = np.flatnonzero(np.diff(read.astype(np.int32), prepend=-1))
+            self._update(0, read[starts], np.add.reduceat(of_x[order], starts, axis=0))
+            self._update(1, slice(None), of_u)
+
+    def run(self, texts: list[np.ndarray], learn: bool = False) -> np.ndarray:
+        """Natural log P of each text's tokens, without the tail's shares; to learn, updates the weights window by
+        window."""
+        total = np.zeros(len(texts))
+        if not texts:
+            return total
+        layout, sizes = self.layout, np.array([len(x) for x in texts])
+        most = LANES if learn else int(np.clip(sizes.sum() // sizes.max(), 1, LANES))
+        window = WINDOW if learn else max(WINDOW, FULL // min(most, len(texts)))
+        lanes = dealt(sizes, most)
+        line = [i for o in lanes for i in o]
+        flat = np.minimum(np.concatenate([texts[i] for i in line]), layout.tail)
+        owner = np.repeat(line, sizes[line])
+        opens = np.zeros(len(flat), bool)
+        opens[np.cumsum(sizes[line]) - sizes[line]] = True
+        length = np.array([sizes[o].sum() for o in lanes])
+        place, inputs = np.cumsum(length) - length, layout.input[flat]
+        h = np.zeros((len(lanes), STATE), self.weights[1].dtype)
+        for start in range(0, int(length[0]), window):
+            states, at, kept = [], [], []
+            for t in range(start, min(start + window, int(length[0]))):
+                now = int(np.searchsorted(-length, -t, "left"))  # lanes that are longer than t
+                here, h = place[:now] + t, h[:now]
+                if t:
+                    h = self._step(inputs[here - 1], h, kept if learn else None)
+                    first = opens[here]
+                    h[first] = 0
+                    if learn:
+                        kept[-1].append(first)
+                else:
+                    kept.append(None)
+                states.append(h)
+                at.append(here)
+            at = np.concatenate(at)
+            with_one = np.ones((len(at), STATE + 1), h.dtype)
+            np.concatenate(states, out=with_one[:, :STATE])
+            p, back = self._output(with_one, flat[at], learn)
+            total += np.bincount(owner[at], p, len(texts))
+            if learn:
+                self._back(kept, back, [len(x) for x in states])
+        if learn:
+            for w in self.weights[2:]:  # so that no exponential overflows
+                np.clip(w[:, :STATE], -MOST_WEIGHT, MOST_WEIGHT, out=w[:, :STATE])
+        return total
 
 
 def _binary(column) -> list[bytes]:
@@ -235,109 +271,160 @@ def _binary(column) -> list[bytes]:
 
 
 def count(texts: DataFrame) -> DataFrame:
-    """word and c over all texts. Each task sums up what it reads, a bounded number of words at a time."""
+    """word (binary) and c over all texts. Each task sums up what it reads, a bounded number of words at a time."""
 
     def rows(it):
         def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in found], pa.string()), pa.array(found.values(), pa.int64())], ["word", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "c"])
 
         found: Counter = Counter()
         for batch in it:
             for text in _binary(batch.column(0)):
                 found.update(tokens(text))
-                if len(found) > 300_000:
+                if len(found) > MOST_WORDS:
                     yield batch_of(found)
                     found.clear()
         if found:
             yield batch_of(found)
 
-    return map_arrow(texts.select("text"), rows, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_arrow(texts.select("text"), rows, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def most_frequent(counts: DataFrame, most: int = COUNTED) -> list[tuple[bytes, int]]:
+    """Words with their counts, the most frequent first. Words of one count are taken together, as long as they all
+    fit; so the driver learns how many words have each of the largest counts, and then gets no more than it wants."""
+    left, least = most, None
+    for r in counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).limit(most).collect():
+        if r.k > left:
+            break
+        left, least = left - r.k, r.c
+    if least is None:
+        return []
+    return sorted(((bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
+def _summed(it):
+    """Weighted sums of the rows of weights, by their number."""
+    sums: dict[int, list] = {}
+    for batch in it:
+        for k, n, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            own = sums.setdefault(k, [0, 0.0])
+            own[0] += n
+            own[1] = own[1] + np.frombuffer(data, float)
+    task = TaskContext.get().partitionId()
+    for k, (n, total) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["k", "task", "n", "sum"])
 
 
 def fit(train: DataFrame, counts: DataFrame) -> tuple[Model, int]:
-    """The model, and the number of training tokens. The driver gets HEAD words and one set of weights."""
+    """The model, and the number of training tokens. train: doc_id, text. The driver gets COUNTED words and one set
+    of weights a round."""
     spark, ends = train.sparkSession, train.count()
     n, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total = (n or 0) + ends
-    head = [(r.word.encode(), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
-    layout = Layout(head, ends, total, distinct + (ends > 0))
+    layout = Layout(most_frequent(counts), ends, total, distinct + (ends > 0))
     model = Model(layout)
-    chosen = train.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(SAMPLE)) == 0).select("doc_id", "text")
-    shards = max(1, -(-ends // SAMPLE // SHARD))
-    chosen = written(chosen.repartition(shards, F.xxhash64("doc_id", "text")).sortWithinPartitions("doc_id", "text"))
-    for _ in range(ROUNDS):
+    schema = "k int, task int, n bigint, sum binary"
+    early = F.pmod(F.xxhash64("doc_id", "text"), F.lit(FIRST)) == 0
+    for texts in (train.where(early), train.where(~early)):
         now = spark.sparkContext.broadcast((layout, model.weights))
 
-        def shard(it):
-            texts = []
+        def learned(it):
             layout, weights = now.value
-            own = Model(layout, [w.copy() for w in weights])
-            n = 0
+            own, waiting, size, n = Model(layout, [w.copy() for w in weights]), [], 0, 0
             for batch in it:
-                for text in _binary(batch.column(1)):
-                    texts.append(layout.read(tokens(text)))
-                    n += len(texts[-1])
-                    if len(texts) == SHARD:
-                        own.train(texts)
-                        texts = []
-            if texts:
-                own.train(texts)
+                for text in _binary(batch.column(0)):
+                    ids = layout.read(tokens(text))
+                    waiting += [ids[i : i + SEGMENT] for i in range(0, len(ids), SEGMENT)]
+                    size += len(ids)
+                    n += len(ids)
+                    if size >= TOGETHER:
+                        own.run(waiting, learn=True)
+                        waiting, size = [], 0
+            own.run(waiting, learn=True)
             if n:
-                flat = _flat(own.weights).astype(float)
-                for i in range(0, len(flat), 10_000):
-                    part = flat[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part)), pa.int64()), pa.array(part), pa.array(np.full(len(part), n), pa.int64())], ["i", "v", "n"])
-
-        rows = map_arrow(chosen, shard, "i bigint, v double, n bigint").groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).toPandas()
-        if len(rows):
-            model = Model(layout, _shaped(rows.sort_values("i").v.to_numpy(), model.weights))
+                task, flat = TaskContext.get().partitionId(), n * np.concatenate([w.ravel() for w in own.weights]).astype(float)
+                for k, i in enumerate(range(0, len(flat), ROW)):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([n], pa.int64()), pa.array([flat[i : i + ROW].tobytes()], pa.binary())], ["k", "task", "n", "sum"])
+
+        rows = map_arrow(texts.select("text"), learned, schema)
+        for keys in (["k", F.col("task") % 64], ["k"]):  # no task sums up what all tasks learned
+            rows = map_arrow(rows.repartition(*keys).sortWithinPartitions("k", "task"), _summed, schema)
+        if rows := sorted(rows.collect(), key=lambda r: r.k):
+            flat = np.concatenate([np.frombuffer(r["sum"], float) / r.n for r in rows])
+            ends_at = np.cumsum([w.size for w in model.weights])
+            model = Model(layout, [x.reshape(w.shape).astype(np.float32) for x, w in zip(np.split(flat, ends_at[:-1]), model.weights)])
+        now.unpersist()
     return model, total
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row for each input row."""
-    ship(docs.sparkSession)
-    docs = pick(docs, id_col, text_col)
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
-    train = docs.where(~held_out)
-    counts = written(count(train))
-    model, total = fit(train, counts)
-    layout = model.layout
-    held = docs.sparkSession.sparkContext.broadcast((layout, model.weights))
+def scored(docs: DataFrame, model: Model, total: int, counts: DataFrame) -> DataFrame:
+    """docs: doc_id, text, held_out. A row for each, see score."""
+    held = docs.sparkSession.sparkContext.broadcast((model.layout, model.weights))
 
     def rows(it):
         layout, weights = held.value
-        own = Model(layout, weights)
-        for batch in it:
-            read, tails = [], []
-            for text in _binary(batch.column(3)):
-                words = tokens(text)
-                ids = layout.read(words)
-                read.append(ids)
-                tails.append([words[i].decode("utf-8", "replace") for i in np.nonzero(ids == layout.tail)[0].tolist()])
-            n = [len(x) for x in read]
-            known = [int(layout.known[x].sum()) for x in read]
-            base = [float(layout.base[x].sum()) for x in read]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(own.score(read)), pa.array(tails, pa.list_(pa.string()))],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "p", "tail"],
+        own, waiting, read, tails = Model(layout, weights), [], [], []
+
+        def batch_of():
+            sums = [[len(x), int(layout.known[x].sum()), float(layout.base[x].sum()), float(layout.within[x].sum())] for x in read]
+            n, known, base, within = zip(*sums)
+            p = own.run(read) / LOG10 + np.array(within)
+            first = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            out = pa.RecordBatch.from_arrays(
+                [*first.columns, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(p), pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int64()))],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "p", "tail", "times"],
             )
+            for x in (waiting, read, tails):
+                x.clear()
+            return out
 
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), held_out.alias("held_out"), "text")
-    scored = written(map_arrow(keyed, rows, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, p double, tail array<string>"))
-    tail = scored.select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
-    tail = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("t"), F.count("c").alias("k"))
-    more, size = F.coalesce("t", F.lit(0.0)), F.size("tail")
-    return scored.join(tail, "row", "left").select(
+        size = 0
+        for batch in it:
+            for part in parts(batch, text=3):
+                for text in _binary(part.column(3)):
+                    words = tokens(text)
+                    ids = layout.read(words)
+                    read.append(ids)
+                    tails.append(Counter(words[i] for i in np.flatnonzero(ids == layout.tail).tolist()))
+                    size += len(ids)
+                waiting.append(part.select([0, 1, 2]))
+                if size >= SCORED:
+                    yield batch_of()
+                    size = 0
+        if waiting:
+            yield batch_of()
+
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), "held_out", "text")
+    found = written(map_arrow(keyed, rows, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, p double, tail array<binary>, times array<bigint>"))
+    tail = found.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.times").alias("n")).join(counts, "word", "left")
+    tail = tail.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("t"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("k"))
+    more = F.coalesce("t", F.lit(0.0))
+    return found.join(tail, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("p") + more - size * F.lit(float(layout.tail_all))).alias("score"),
+        (F.col("p") + more).alias("score"),
     )
 
 
+def split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and held_out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
+    return pick(docs, id_col, text_col).withColumn("held_out", held_out)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row for each input row."""
+    ship(docs.sparkSession)
+    docs = split(docs, id_col, text_col)
+    train = docs.where(~F.col("held_out")).select("doc_id", "text")
+    counts = written(count(train))
+    return scored(docs, *fit(train, counts), counts)
+
+
 def op2_language_model(spark, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -136,10 +136,16 @@ def test_order_minhash_against_brute_force(spark, folder):
     for (i, at), h in sorted(grams.items()):
         numbered.append((h >> 24, seen[i, h >> 24]))
         seen[i, h >> 24] += 1
-    elements: dict = {}
+    elements: dict = {i: [] for i in chosen}
     for (i, at), h in zip(sorted(grams), hashed(numbered, ["bigint", "int"])):
-        elements.setdefault((i, h >> (64 - order_minhash.BIN_BITS)), []).append((h >> 24, at))
-    tuples = {key: [h for h, _ in sorted(sorted(x)[:2], key=lambda y: y[1])] for key, x in elements.items()}
+        elements[i].append((h, at))
+    tuples = {}
+    for i, found in elements.items():
+        found = sorted((h >> 24, at, h >> (64 - order_minhash.BIN_BITS)) for h, at in found)
+        for b in range(-32, 32) if found else ():
+            j = next((j for j, x in enumerate(found) if x[2] >= b), 0)
+            two = {j, (j + 1) % len(found)}
+            tuples[i, b] = [h for h, at, _ in sorted((found[x] for x in two), key=lambda y: y[1])]
     codes: dict = {}
     for size in (1, 2):
         keys = [key for key, x in tuples.items() if len(x) == size]
@@ -148,6 +154,46 @@ def test_order_minhash_against_brute_force(spark, folder):
         assert got[i] == "".join(f"{codes[i, b] & 0xFFFF:04x}" if (i, b) in codes else order_minhash.EMPTY for b in range(-32, 32)), i
 
 
+def test_order_minhash_of_short_texts_sees_order(spark):
+    """Halves swapped: far fewer bins agree than k-mers are shared."""
+    rng, rows = random.Random(12), []
+    for n in (30, 50, 80, 150):
+        for i in range(40):
+            w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            rows.append((n, " ".join(w), " ".join(w[n // 2 :] + w[: n // 2])))
+    df = spark.createDataFrame(rows, "n int, a string, b string")
+    df = order_minhash.with_fingerprint(order_minhash.with_fingerprint(df, "a", "fa"), "b", "fb")
+    got = {r.n: r.m for r in df.groupBy("n").agg(F.avg(order_minhash.likeness(F.col("fa"), F.col("fb"))).alias("m")).collect()}
+    assert all(0.3 < m < 0.58 for m in got.values()), got  # the sets of k-mers agree in 0.87 to 0.97
+
+
+def test_order_minhash_query_of_odd_ids(spark, tmp_path):
+    """Null and repeated ids, an id that most rows share, equal texts: against a plain order of all rows."""
+    rng = random.Random(13)
+    text = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 60)))
+    for name, ids in (("mixed", [None, None, 1, 2, 2, 9]), ("nulls", [None, None, None]), ("one", [5]), ("hot", [7] * 9000 + list(range(3000)))):
+        some = [(i, text() if len(ids) < 100 else f"{rng.random()} b c d") for i in ids]
+        if len(some) > 5:
+            some[1] = (some[1][0], None)
+        spark.createDataFrame(some, "doc_id bigint, text string").selectExpr("doc_id", "text", "1 AS bucket", "2 AS key", "'x' AS tie").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        df = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        prints = order_minhash.with_fingerprint(df.select("text").distinct(), "text", "f")
+        line = sorted(((r.doc_id is not None, r.doc_id or 0, r.tie, r.text) for r in df.withColumn("tie", F.xxhash64("text")).collect()))
+        edited = []
+        for n, (_, _, _, t) in enumerate(line):
+            following, half = line[(n + 1) % len(line)][3], len(t) // 2
+            edited.append(t[: len(t) - half] + following[:half])
+        own = {r.text: r.f for r in prints.collect()}
+        more = {r.text: r.f for r in order_minhash.with_fingerprint(spark.createDataFrame([(t,) for t in set(edited)], "text string"), "text", "f").collect()}
+        like = lambda a, b: 1.0 if a == b else sum(a[i : i + 4] == b[i : i + 4] for i in range(0, 256, 4)) / 64  # noqa: E731  both filled, or one not at all
+        want = Counter()
+        for n, (real, i, _, t) in enumerate(line):
+            f, g, h = own[t], more[edited[n]], own[line[(n + 1) % len(line)][3]]
+            want[i if real else None, len(t), hashlib.sha256(edited[n].encode()).hexdigest(), f, g, like(f, g), like(f, h)] += 1
+        got = order_minhash.op4_order_minhash(spark, f"{tmp_path}/{name}").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()
+        assert Counter(map(tuple, got)) == want, name
+
+
 def test_edited_texts(spark, folder, docs):
     got = sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in order_minhash.op4_order_minhash(spark, folder).collect())
     order = sorted(docs)
@@ -168,6 +214,33 @@ def test_sentencepiece_equals_the_library():
     assert own.decode(own.byte[200:202]) == library.decode(own.byte[200:202])
 
 
+def test_sentencepiece_of_very_long_parts():
+    import time
+
+    import sentencepiece
+
+    library, own, rng = sentencepiece.SentencePieceProcessor(model_file=PIECE), piece_bpe.PieceBpe(PIECE), random.Random(4)
+    for text in (" " * 100_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "é" * 50_000, "ab" * 50_000):
+        began = time.process_time()
+        (parts,) = own.encode([text])
+        assert time.process_time() - began < 4
+        assert [x for p in parts for x in p] == library.encode(text)
+    for _ in range(3000):  # both ways of merging give the same
+        part = "".join(rng.choice("aaabent▁") for _ in range(rng.randint(1, 30)))
+        assert own.merge([part]) == [own._one_by_one(part)]
+
+
+def test_sentencepiece_query_against_the_library(spark):
+    import sentencepiece
+
+    d, library = f"{DATA}/sf0.001", sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = {r.doc_id: tuple(r)[1:] for r in piece_bpe.op5_sentencepiece(spark, d).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        ids = library.encode(r.text or "")
+        assert got[r.doc_id] == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids) if ids else ""))
+
+
 def test_word_bpe_equals_the_library():
     from tokenizers import Tokenizer
 
@@ -181,6 +254,12 @@ def test_word_bpe_equals_the_library():
     assert [x.tolist() for x in own.encode(pa.array(some).slice(3, 50))] == want[3:53]  # of an array's middle
     own._empty()
     assert [x.tolist() for x in own.encode(pa.array(some[::-1]))] == want[::-1]
+    for text in some[:30]:  # a store that is too full is trimmed on the way
+        word_bpe.MOST, before = 20, word_bpe.MOST
+        try:
+            assert own.encode(pa.array([text, some[0]]))[0].tolist() == want[some.index(text)]
+        finally:
+            word_bpe.MOST = before
     own.by_piece = False  # as for a file with other rules
     assert [x.tolist() for x in own.encode(pa.array(some[:50]))] == want[:50]
     assert not word_bpe.WordBpe(public_tokenizers.path("byte_bpe_50k.json")).by_piece
@@ -324,7 +403,7 @@ def test_links_between_all_texts(spark):
     centers = [rng.getrandbits(64) for _ in range(6)]
     fps = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for c in centers for _ in range(60)} | {rng.getrandbits(64) for _ in range(200)}
     fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
-    got = {r.node: r.root for r in simhash.link(spark.createDataFrame([(x,) for x in fps], "fp bigint")).collect()}
+    got = {r.node: r.root for r in simhash.link(spark.createDataFrame([(x, x) for x in fps], "node bigint, fp bigint")).collect()}
     assert [got.get(x, x) for x in fps] == _roots(fps, fps)
 
 
@@ -406,56 +485,139 @@ def test_toxicity_features_of_odd_texts():
     assert empty.severity(b"") == empty.severity(long) and empty.severity(b"")[0] < 1e-6
 
 
-def test_base_score_counts_and_held_out_gain(spark):
-    d = f"{DATA}/sf0.001"
-    got = {r.doc_id: r for r in language_model.op2_language_model(spark, d).collect()}
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
-    words = {i: [*t.encode().lower().split(), None] for i, t in texts.items()}
-    c = Counter(w for i in texts if not held[i] for w in words[i])
-    n, v = sum(c.values()), len(c)
-    for i, r in got.items():
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(words[i]), sum(c[w] > 0 for w in words[i]), n)
-        assert r.base_score == pytest.approx(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words[i]))
-        assert r.score < 0
-
-
-def test_gradients():
-    layout = language_model.Layout([(b"a", 9), (b"b", 7), (b"c", 3)], 4, 23, 4)
+def _plain_score(model, words: list, counts: Counter, total: int, distinct: int) -> float:
+    """log10 P of the words and the end, one token at a time, in plain Python."""
+    lay, n = model.layout, model.layout.n
+    wx, u, by_class, by_word = (w.astype(float).tolist() for w in model.weights)
+    size = language_model.STATE
+    names = [w for w, i in sorted(lay.index.items(), key=lambda x: x[1])][:n]
+    tail_count = total - counts[None] - sum(counts[w] for w in names)
+    tail_distinct = distinct - n - (counts[None] > 0)
+    cells = [names[a:b] for a, b in zip(lay.first, lay.first[1:])]
+    place = {w: (k, j) for k, cell in enumerate(cells) for j, w in enumerate(cell)}
+    softmax = lambda logits, i: logits[i] - np.log(sum(np.exp(x) for x in logits))
+    logit = lambda row, h: sum(a * b for a, b in zip(row, h)) + row[size]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h, out = [0.0] * size, 0.0
+    for w in words:
+        k, j = (lay.heads, 0) if w is None else place.get(w, (lay.heads + 1, 0))
+        out += softmax([logit(row, h) for row in by_class], k)
+        if k < lay.heads:
+            first = lay.first[k]
+            out += softmax([logit(by_word[first + i], h) for i in range(len(cells[k]))], j)
+        elif k > lay.heads:
+            out += np.log((counts[w] + 0.5) / (tail_count + 0.5 * (tail_distinct + 1)))
+        token = names.index(w) if k < lay.heads else n + (w is not None)
+        x = wx[int(lay.input[token])]
+        y = [sum(h[a] * u[a][c] for a in range(size)) for c in range(3 * size)]
+        z, r = ([sig(x[o + i] + y[o + i]) for i in range(size)] for o in (0, size))
+        new = [np.tanh(x[2 * size + i] + r[i] * y[2 * size + i]) for i in range(size)]
+        h = [z[i] * h[i] + (1 - z[i]) * new[i] for i in range(size)]
+    return out / np.log(10)
+
+
+def _language(spark, texts_by_id: dict):
+    df = spark.createDataFrame(list(texts_by_id.items()), "doc_id bigint, text string")
+    return df, {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts_by_id}, {i: [*(t or "").encode().lower().split(), None] for i, t in texts_by_id.items()}
+
+
+def test_language_model_against_a_plain_one(spark, monkeypatch):
+    """The base columns and the score of every text, token by token, with a head and a counted list that leave some
+    words to the tail and some to the join."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    some = {i: " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(len(vocabulary))], k=rng.randint(0, 30))) for i in range(60)}
+    some |= {60: None, 61: "", 62: " ".join(vocabulary * 3), 63: "Never Seen", 64: "never  seen\u00a0é"}
+    df, held, words = _language(spark, some)
+    c = Counter(w for i in some if not held[i] for w in words[i])
+    total, distinct = sum(c.values()), len(c)
+    docs = language_model.split(df)
+    train = docs.where("NOT held_out").select("doc_id", "text")
+    counts = language_model.count(train).cache()
+    counted = language_model.most_frequent(counts, 30)
+    assert 20 < len(counted) <= 30 and all(c[w] == k for w, k in counted) and min(k for _, k in counted) > max(c[w] for w in c if w is not None and (w, c[w]) not in counted)
+    layout = language_model.Layout(counted, c[None], total, distinct, head=12)
     model = language_model.Model(layout)
-    rng = np.random.default_rng(0)
-    model.weights = [rng.normal(0, 0.3, w.shape) for w in model.weights]
-    texts = [np.array([0, 1, 2, 0, 3]), np.array([1, 1, 3])]
-
-    def loss():
-        return -model.score(texts).sum() * language_model.LOG10
-
-    grads, caches, outs = [np.zeros_like(w) for w in model.weights], [], []
-    h, inputs = np.zeros((2, language_model.STATE)), None
-    for t in range(5):
-        now = sum(len(x) > t for x in texts)
-        h = h[:now]
-        h = model.step(layout.input[inputs[:now]], h, caches) if inputs is not None else (caches.append(None) or h)
-        inputs = np.array([x[t] for x in texts[:now]])
-        outs.append(model.log_p(h, inputs, grads)[1])
-    model._back(caches, [o.astype(float) for o in outs], grads)
-    for w, g in zip(model.weights, grads):
-        at = np.unravel_index(np.abs(g).argmax(), g.shape)
-        keep, e = w[at], 1e-4
-        w[at] = keep + e
-        high = loss()
-        w[at] = keep - e
-        low = loss()
-        w[at] = keep
-        assert g[at] == pytest.approx((high - low) / (2 * e), rel=0.02)
+    learn = [layout.read([w for w in words[i] if w is not None]) for i in some if not held[i]]
+    before = model.run(learn).sum()
+    for _ in range(20):
+        model.run(learn, learn=True)
+    assert model.run(learn).sum() > before
+    for lanes in (1, 3, 512):
+        monkeypatch.setattr(language_model, "LANES", lanes)
+        got = {r.doc_id: r for r in language_model.scored(docs, model, total, counts).collect()}
+        for i, r in got.items():
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(words[i]), sum(c[w] > 0 for w in words[i]), total)
+            assert r.base_score == pytest.approx(sum(np.log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words[i]))
+            assert r.score == pytest.approx(_plain_score(model, words[i], c, total, distinct), rel=1e-4)
+    counts.unpersist()
+
+
+def test_language_model_beats_the_counts_on_held_out_texts(spark):
+    d = f"{DATA}/sf0.01"
+    got = language_model.op2_language_model(spark, d).toPandas()
+    texts_by_id = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    _, held, words = _language(spark, {i: t for i, t in texts_by_id.items()})
+    c = Counter(w for i in held if not held[i] for w in words[i])
+    n, v = sum(c.values()), len(c)
+    assert sorted(got.doc_id) == sorted(texts_by_id)
+    for r in got.itertuples():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(words[r.doc_id]), sum(c[w] > 0 for w in words[r.doc_id]), n)
+        assert r.base_score == pytest.approx(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words[r.doc_id]))
+    assert np.isfinite(got.score).all() and (got.score < 0).all()
+    out = got[got.held_out]
+    gain = (out.score - out.base_score).sum() / out.n_tokens.sum()
+    print("gain a held-out token", gain)
+    assert gain > 0.02
+
+
+def test_language_model_of_odd_tables(spark):
+    """No rows; no training text; every text alike; a null id; a very long text; clashing columns."""
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert language_model.score(empty).collect() == []
+    alone = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    (r,) = language_model.score(spark.createDataFrame([(alone, "two words")], "doc_id bigint, text string")).collect()
+    assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0) and np.isfinite(r.score)
+    odd = [(None, "a b"), (None, "a b"), (1, "a b"), (2, "x " * 60_000), (3, None)]
+    got = language_model.score(spark.createDataFrame(odd, "doc_id bigint, text string").selectExpr("doc_id", "text", "1 AS row", "'y' AS tail", "2 AS c")).collect()
+    assert len(got) == 5 and sorted(r.n_tokens for r in got) == [1, 3, 3, 3, 60_001] and all(np.isfinite(r.score) for r in got)
+
+
+def test_gradients(monkeypatch):
+    words = [(b"w%d" % i, 900 - i) for i in range(300)]
+    layout = language_model.Layout(words, 40, 300_000, 400)
+    rng, got = np.random.default_rng(0), {}
+
+    class Held(language_model.Model):
+        def _update(self, i, at, gradient):
+            got.setdefault(i, np.zeros_like(self.weights[i]))[at] += gradient
+
+    model = Held(layout)
+    model.weights = [w + rng.normal(0, 0.3, w.shape) for w in model.weights]
+    texts = [rng.integers(0, layout.n + 2, n).astype(np.int32) for n in (9, 4, 3, 1, 6, 2)]
+    monkeypatch.setattr(language_model, "LANES", 2)  # so that texts follow one another, within one window
+    n = language_model.FULL
+    assert max(sum(len(texts[i]) for i in o) for o in language_model.dealt(np.array([len(x) for x in texts]), 2)) <= language_model.WINDOW
+    model.run(texts, learn=True)
+    for i, w in enumerate(model.weights):
+        for at in [np.unravel_index(k, w.shape) for k in np.abs(got[i]).ravel().argsort()[-3:]]:
+            keep, e = w[at], 1e-5
+            w[at] = keep + e
+            high = -model.run(texts).sum() / n
+            w[at] = keep - e
+            low = -model.run(texts).sum() / n
+            w[at] = keep
+            assert got[i][at] == pytest.approx((high - low) / (2 * e), rel=1e-3)
 
 
 def test_probabilities_sum_to_one():
-    layout = language_model.Layout([(b"w%d" % i, 3000 - i) for i in range(1500)], 10, 4_000_000, 2000)
+    layout = language_model.Layout([(b"w%d" % i, 3000 - i) for i in range(2500)], 10, 5_000_000, 4000, head=2000)
     model = language_model.Model(layout)
     model.weights = [w + 0.1 * np.random.default_rng(i).normal(size=w.shape) for i, w in enumerate(model.weights)]
-    h = np.random.default_rng(9).normal(size=(1, language_model.STATE)).repeat(layout.tail + 1, 0)
-    assert np.exp(model.log_p(h, np.arange(layout.tail + 1))[0]).sum() == pytest.approx(1)
+    states = np.random.default_rng(9).normal(size=(1, language_model.STATE + 1)).repeat(layout.tail + 1, 0)
+    states[:, -1] = 1
+    assert np.exp(model._output(states, np.arange(layout.tail + 1), False)[0]).sum() == pytest.approx(1)
+    assert 0 < (10 ** layout.within[layout.tail + 1 :]).sum() < 1  # the counted words of the tail; the rest is for the others
 
 
 # The pipeline.
