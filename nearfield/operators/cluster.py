@@ -1,18 +1,40 @@
-"""Clustering: medoids, Lloyd steps, residuals and shards."""
+"""Clustering: medoids, seeding, Lloyd steps, residuals, samples and shards."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2, l2sq
-from .knn import nearest_centers
+from ..functions.vectors import l2sq
+from ..shipping import map_arrow, ship
+from .knn import _vectors, gather, nearest_centers, scores
+from .quantize import plus_plus
 
 
 def centroid(points: DataFrame, *keys: str) -> DataFrame:
-    """The mean of each dimension, as an array, by the keys."""
-    parts = points.select(*keys, F.posexplode("embedding").alias("d", "x")).groupBy(*keys, "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("d", "m"))).alias("p")).select(*keys, F.transform("p", lambda x: x["m"]).alias("embedding"))
+    """The mean of each dimension, as an array, by the keys (at most one, a whole number): each task adds up its rows'
+    vectors, and a row a task and key is shuffled."""
+    key = F.col(keys[0]).cast("bigint") if keys else F.lit(0).cast("bigint")
+
+    def sums(it):
+        total: dict[tuple, list] = {}
+        for batch in it:
+            by = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, matrix in _vectors(batch.column(1)):
+                for k in np.unique(by[at]).tolist():
+                    own = matrix[by[at] == k]
+                    now = total.setdefault((k, matrix.shape[1]), [0, 0.0])
+                    now[0] += len(own)
+                    now[1] = now[1] + own.sum(0)
+        for (k, _), (n, s) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n], pa.int64()), pa.array([s.tolist()], pa.list_(pa.float64()))], ["k", "n", "s"])
+
+    parts = map_arrow(points.select(key.alias("k"), F.col("embedding").cast("array<double>")), sums, "k bigint, n bigint, s array<double>")
+    add = lambda rows: F.aggregate(F.transform(rows, lambda r: r["s"]), F.transform(F.get(rows, F.lit(0))["s"], lambda x: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    found = parts.groupBy("k").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("n", "s"))).alias("rows"))  # a row a task
+    return found.select(*([F.col("k").alias(keys[0])] if keys else []), F.transform(add(F.col("rows")), lambda x: x / F.col("n")).alias("embedding"))
 
 
 def medoid(points: DataFrame) -> DataFrame:
@@ -22,21 +44,68 @@ def medoid(points: DataFrame) -> DataFrame:
     return near.agg(F.min(F.struct("distance", "vec_id")).alias("m")).select("m.vec_id")
 
 
-def medoid_by_sum(points: DataFrame, candidates: DataFrame) -> DataFrame:
-    """vec_id of the candidate with the smallest sum of distances to all points."""
-    c = candidates.select(F.col("vec_id").alias("cand"), F.col("embedding").alias("c"))
-    total = points.join(F.broadcast(c)).groupBy("cand").agg(F.round(F.sum(l2(F.col("embedding"), F.col("c"))), 6).alias("total"))
-    return total.agg(F.min(F.struct("total", "cand")).alias("m")).select(F.col("m.cand").alias("vec_id"))
+def distance_sums(points: DataFrame, rows: int = 4096) -> DataFrame:
+    """vec_id and total: the sum of a point's distances to all points. Blocks of points meet blocks of points, each
+    pair of blocks in one task, which gives a number a point."""
+    ship(points.sparkSession)
+    parts = max(1, -(-points.count() // rows))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    own = points.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("v"))
+    left, right = own.select(block.alias("a"), every.alias("b"), "vec_id", "v"), own.select(every.alias("a"), block.alias("b"), "vec_id", "v")
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, totals = left.column("vec_id").to_numpy(), np.zeros(len(left))
+        for at, x in _vectors(left.column("v").combine_chunks()) if len(left) else []:
+            for _, y in _vectors(right.column("v").combine_chunks()) if len(right) else []:
+                if x.shape[1] == y.shape[1]:
+                    totals[at] += np.sqrt(scores("l2", x, y)).sum(1)
+        return pa.table({"vec_id": names, "part": totals})
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(pair, "vec_id bigint, part double")
+    return found.groupBy("vec_id").agg(F.sum("part").alias("total"))
+
+
+def medoid_by_sum(points: DataFrame, digits: int = 6) -> DataFrame:
+    """vec_id of the point with the smallest sum of distances to all points, sums rounded, ties to the smaller id."""
+    total = distance_sums(points).select(F.round("total", digits).alias("total"), "vec_id")
+    return total.agg(F.min(F.struct("total", "vec_id")).alias("m")).select("m.vec_id")
 
 
 def lloyd_step(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """center and its new embedding: the mean of the points nearest it; a center without points becomes zero."""
-    own = nearest_centers(points, centers).select("vec_id", "center")
-    new = centroid(points.join(own, "vec_id").select("center", "embedding"), "center")
+    """center and its new embedding: the mean of the points nearest it; a center without points becomes zero. Points
+    are scored and added up in one pass, and a row a task and center is shuffled."""
+    names, c = gather(centers.select(F.col("center").alias("qid"), F.col("embedding").alias("q")))
+    order = np.argsort(np.array(names, np.int64), kind="stable")
+    names, c = np.array(names, np.int64)[order], c[order]
+
+    def sums(it):
+        n, total = np.zeros(len(names), np.int64), np.zeros(c.shape)
+        for batch in it:
+            for _, matrix in _vectors(batch.column(0)):
+                if matrix.shape[1] == c.shape[1]:
+                    own = scores("l2", matrix, c).argmin(1)
+                    np.add.at(total, own, matrix)
+                    n += np.bincount(own, minlength=len(names))
+        hit = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(names[hit]), pa.array(n[hit]), pa.array(total[hit].tolist(), pa.list_(pa.float64()))], ["center", "n", "s"])
+
+    parts = map_arrow(points.select(F.col("embedding").cast("array<double>")), sums, "center bigint, n bigint, s array<double>")
+    rows = parts.groupBy("center").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("s")).alias("rows"))  # a row a task
+    total = F.aggregate("rows", F.transform(F.get("rows", F.lit(0)), lambda x: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    new = rows.select("center", F.transform(total, lambda x: x / F.col("n")).alias("embedding"))
     zero = F.transform("embedding", lambda x: F.lit(0.0))
     return centers.select("center", zero.alias("zero")).join(new, "center", "left").select("center", F.coalesce("embedding", "zero").alias("embedding"))
 
 
+def seeds(points: DataFrame, k: int, sample: int = 65_536, seed: int = 42) -> DataFrame:
+    """center and embedding: k-means++ over the sample whose ids hash lowest, which is the bound."""
+    rows = points.where("embedding IS NOT NULL").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
+    x = np.array([r.embedding for r in rows], float)
+    found = plus_plus(x, k, seed) if len(x) else x
+    return points.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(found)], "center bigint, embedding array<double>")
+
+
 def kmeans(points: DataFrame, centers: DataFrame, rounds: int = 12, gain: float = 1e-5) -> DataFrame:
     """Lloyd steps until the summed distance falls by less than the gain. The centers are few, and are the
     only thing that comes to the driver between rounds."""
@@ -51,19 +120,54 @@ def kmeans(points: DataFrame, centers: DataFrame, rounds: int = 12, gain: float
 
 
 def residuals(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """vec_id, center, residual: the point minus its nearest center."""
-    own = nearest_centers(points, centers).select("vec_id", "center")
-    c = F.broadcast(centers.select("center", F.col("embedding").alias("c")))
-    return points.join(own, "vec_id").join(c, "center").select("vec_id", "center", F.zip_with("embedding", "c", lambda x, y: x.cast("double") - y.cast("double")).alias("residual"))
+    """vec_id, center, residual: the point minus its nearest center. Centers are a set of a checked size."""
+    names, c = gather(centers.select(F.col("center").alias("qid"), F.col("embedding").alias("q")))
+    names = np.array(names, np.int64)
+
+    def rows(it):
+        for batch in it:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, matrix in _vectors(batch.column(1)):
+                if len(names) and matrix.shape[1] == c.shape[1]:
+                    s = scores("l2", matrix, c)
+                    own = np.lexsort((np.broadcast_to(names, s.shape), s), axis=1)[:, 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(names[own]), pa.array((matrix - c[own]).tolist(), pa.list_(pa.float64()))], ["vec_id", "center", "residual"])
+
+    return map_arrow(points.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>")), rows, "vec_id bigint, center bigint, residual array<double>")
+
 
+def drawn(rows: DataFrame, share: float, id_col: str = "vec_id", seed: int = 0) -> DataFrame:
+    """About that share of the rows, by a hash of their ids: the same rows whatever the partitions."""
+    return rows.where(_uniform(id_col, seed) < share)
 
-def shards_within(points: DataFrame, rows: int, copies: int = 2, most: int = 64) -> DataFrame:
-    """vec_id, center: shards of at most so many rows where that can be had with most centers: three centers,
-    and two more as long as the largest shard is over."""
+
+def _uniform(id_col: str, seed: int):
+    """From 0 to 1, by the first 8 hex digits of an MD5: any engine gives the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def some_ids(rows: DataFrame, n: int, id_col: str = "vec_id", seed: int = 0) -> DataFrame:
+    """n different ids at random, in ascending order."""
+    return rows.select(id_col).distinct().orderBy(_uniform(id_col, seed), id_col).limit(n).orderBy(id_col)
+
+
+def partition(points: DataFrame, parts: int, copies: int = 2, rounds: int = 12) -> DataFrame:
+    """vec_id, center: seeded, run and dealt to the nearest centers, for a fixed count of parts."""
+    return nearest_centers(points, kmeans(points, seeds(points, parts), rounds), copies).select("vec_id", "center")
+
+
+def shards_within(points: DataFrame, budget: float, dim: int, degree: int = 32, copies: int = 2, most: int = 64) -> DataFrame:
+    """vec_id, center: three parts, and two more as long as the largest part's estimated memory exceeds the budget
+    (bytes), up to most."""
     n = 3
     while True:
-        first = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select(F.col("vec_id").alias("center"), "embedding")
-        homes = nearest_centers(points, kmeans(points, first, 4), copies).select("vec_id", "center")
-        if n + 2 > most or homes.groupBy("center").count().agg(F.max("count")).first()[0] <= rows:
+        homes = partition(points, n, copies, 4)
+        largest = homes.groupBy("center").count().agg(F.max("count")).first()[0] or 0
+        if n + 2 > most or ram_estimate(largest, dim, degree) <= budget:
             return homes
         n += 2
+
+
+def ram_estimate(points: int, dim: int, degree: int = 32) -> float:
+    """Bytes of an index in memory: vectors and edges, a tenth more for the rest."""
+    return points * (dim * 4 + degree * 4 * 1.3) * 1.1

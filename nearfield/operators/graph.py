@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 MOST_LEVELS = 32
 
 
@@ -16,17 +18,14 @@ def degree_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame, starts: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
     """vec_id and level of every node within so many steps of the starts (vec_id). Each round joins only the
-    newest level with the edges; rounds are checkpointed, so plans do not grow."""
-    spark = edges.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="nearfield-"))
+    newest level with the edges; rounds are written, so plans do not grow."""
+    edges = written(edges.select("src", "dst"))  # read in every round
     front = starts.select("vec_id").distinct().withColumn("level", F.lit(0))
     seen = front
     for level in range(1, most + 1):
         step = edges.join(front.select(F.col("vec_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("vec_id")).distinct()
-        front = step.join(seen, "vec_id", "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        front = step.join(seen, "vec_id", "left_anti").withColumn("level", F.lit(level))
+        front = written(front)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -1,23 +1,28 @@
 """Exact nearest-neighbour joins.
 
-The queries are a stated set of a checked size. They go to every task with the function; each task scores its
-rows against them in numpy blocks and keeps its own k best a query, so the shuffle carries at most k rows a
-query and task, and a ranking window makes the final cut. Scores add dimension by dimension in double, which
-gives the same bits as a fold in SQL. Order is (distance, id); inner products rank from the largest.
-
-Null vectors and vectors of another length are left out; fewer than k matches give fewer rows; an empty query
-set gives an empty frame.
+The queries are a stated set. One of a checked size goes to every task with the function; each task scores its rows
+against them in numpy blocks and keeps a running best, so the shuffle carries at most k rows a query and task, and a
+ranking window makes the final cut. A larger set is cut into blocks of that size, which meet blocks of the base in a
+join by block numbers; each pair of blocks is one task's work and again gives k rows a query at most. Scores add
+dimension by dimension in double, which gives the same bits as a fold in SQL. Order is (distance, id); inner products
+rank from the largest.
+
+Null vectors and those of another length than the query's are left out, whatever lengths a batch has; fewer than k
+matches give fewer rows; an empty query set gives an empty frame.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..shipping import map_arrow
+from ..shipping import map_arrow, ship
 
 #: Query vectors' numbers that one call may send to every task: 256 MB in double.
 MOST_NUMBERS = 1 << 25
@@ -45,15 +50,23 @@ def scores(metric: str, queries: np.ndarray, base: np.ndarray) -> np.ndarray:
     return -out if metric == "ip" else out
 
 
-def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that have a vector, and the vectors of the commonest length as a matrix."""
-    rows = [(i, v) for i, v in enumerate(column.to_pylist()) if v is not None and None not in v]
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    sizes = [len(v) for _, v in rows]
-    size = max(set(sizes), key=sizes.count)
-    rows = [(i, v) for i, v in rows if len(v) == size]
-    return np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+def _vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length: the rows that have a whole vector of it, and these vectors as a matrix."""
+    if not len(column):
+        return []
+    flat = column.flatten()  # without the null rows
+    sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(float), nan=-1).astype(np.int64)
+    values = flat.to_numpy(zero_copy_only=False).astype(float)
+    ends = np.cumsum(np.maximum(sizes, 0))
+    broken = np.zeros(len(column), bool)
+    if flat.null_count:
+        at = np.flatnonzero(flat.is_null().to_numpy(zero_copy_only=False))
+        broken[np.searchsorted(ends, at, "right")] = True
+    out = []
+    for size in np.unique(sizes[(sizes >= 0) & ~broken]).tolist():
+        rows = np.flatnonzero((sizes == size) & ~broken)
+        out.append((rows, values[(ends[rows] - size)[:, None] + np.arange(size)]))
+    return out
 
 
 def gather(queries: DataFrame) -> tuple[list, np.ndarray]:
@@ -61,53 +74,152 @@ def gather(queries: DataFrame) -> tuple[list, np.ndarray]:
     n, d = queries.agg(F.count("*"), F.max(F.size("q"))).first()
     if n * (d or 0) > MOST_NUMBERS:
         raise ValueError(f"{n} queries of {d} numbers are too many to send to every task: deal them to several calls")
-    rows = [r for r in queries.select("qid", "q").collect() if r.q is not None]
+    rows = [r for r in queries.select("qid", "q").collect() if r.q is not None and None not in r.q]
+    if len({len(r.q) for r in rows}) > 1:
+        raise ValueError("the queries' vectors have different lengths")
     return [r.qid for r in rows], np.array([r.q for r in rows], float) if rows else np.zeros((0, d or 0))
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", skip_self: bool = False, within: float | None = None) -> DataFrame:
+class Best:
+    """The k best of each query so far: distance, then id. The rows that are offered come in any order."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, metric: str, skip_self: bool) -> None:
+        self.ids, self.q, self.k, self.metric, self.skip_self = ids, q, k, metric, skip_self
+        self.names = np.zeros((len(ids), 0), np.int64)
+        self.scores = np.zeros((len(ids), 0))
+
+    def offer(self, names: np.ndarray, matrix: np.ndarray) -> None:
+        step = max(1, (1 << 22) // max(1, len(names)))
+        new_names, new_scores = [], []
+        for i in range(0, len(self.ids), step):
+            own = self.ids[i : i + step]
+            s = scores(self.metric, self.q[i : i + step], matrix)
+            if self.skip_self:
+                s[own[:, None] == names[None]] = np.inf
+            s = np.concatenate([self.scores[i : i + step], s], 1)
+            n = np.concatenate([self.names[i : i + step], np.broadcast_to(names, (len(own), len(names)))], 1)
+            if s.shape[1] > 4 * self.k:  # all that tie with the k-th stay for the exact order
+                limit = np.partition(s, self.k - 1, axis=1)[:, self.k - 1]
+                wide = max(self.k, int((s <= limit[:, None]).sum(1).max()))
+                near = np.argsort(s > limit[:, None], axis=1, kind="stable")[:, :wide]
+                s, n = np.take_along_axis(s, near, 1), np.take_along_axis(n, near, 1)
+            order = np.lexsort((n, s), axis=1)[:, : self.k]
+            new_names.append(np.take_along_axis(n, order, 1))
+            new_scores.append(np.take_along_axis(s, order, 1))
+        if new_names:
+            self.names, self.scores = np.concatenate(new_names), np.concatenate(new_scores)
+
+    def batch(self) -> pa.RecordBatch:
+        keep = np.isfinite(self.scores)
+        value = -self.scores[keep] if self.metric == "ip" else self.scores[keep]
+        qid = np.broadcast_to(self.ids[:, None], self.scores.shape)[keep]
+        return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(self.names[keep]), pa.array(value)], ["qid", "vec_id", "distance"])
+
+
+def _near(names: np.ndarray, matrix: np.ndarray, ids: np.ndarray, q: np.ndarray, metric: str, within: float, skip_self: bool):
+    step = max(1, (1 << 22) // max(1, len(names)))
+    for i in range(0, len(ids), step):
+        s = scores(metric, q[i : i + step], matrix)
+        if skip_self:
+            s[ids[i : i + step, None] == names[None]] = np.inf
+        a, b = np.nonzero(s <= (-within if metric == "ip" else within))
+        value = s[a, b]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + step][a]), pa.array(names[b]), pa.array(-value if metric == "ip" else value)], ["qid", "vec_id", "distance"])
+
+
+_FOUND = "qid bigint, vec_id bigint, distance double"
+
+
+def _scored(base: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: str, skip_self: bool, within: float | None) -> DataFrame:
+    def rows(it):
+        best = Best(ids, q, k, metric, skip_self)
+        for batch in it:
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, matrix in _vectors(batch.column(1)):
+                if len(ids) and matrix.shape[1] == q.shape[1]:
+                    if within is not None:
+                        yield from _near(names[at], matrix, ids, q, metric, within, skip_self)
+                    else:
+                        best.offer(names[at], matrix)
+        if within is None and best.names.shape[1]:
+            yield best.batch()
+
+    return map_arrow(base, rows, _FOUND)
+
+
+def _blocks(base: DataFrame, queries: DataFrame, n: int, numbers: int, k: int, metric: str, skip_self: bool, within: float | None, most: int) -> DataFrame:
+    """Blocks of queries against blocks of the base: every pair of blocks once, each in one task."""
+    across, down = math.ceil(numbers / most), max(1, math.ceil(base.count() * max(1, numbers // max(1, n)) / most))
+    number = lambda name, parts: F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")
+    left = queries.select(number("qid", across).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("b"), F.col("qid").cast("bigint").alias("id"), F.col("q").cast("array<double>").alias("v"))
+    right = base.select(F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("a"), number("vec_id", down).alias("b"), F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, names = [], right.column("id").to_numpy()
+        asked = left.column("id").to_numpy()
+        for at_q, q in _vectors(left.column("v").combine_chunks()):
+            for at, matrix in _vectors(right.column("v").combine_chunks()):
+                if matrix.shape[1] != q.shape[1]:
+                    continue
+                if within is not None:
+                    out += _near(names[at], matrix, asked[at_q], q, metric, within, skip_self)
+                    continue
+                best = Best(asked[at_q], q, k, metric, skip_self)
+                for i in range(0, len(at), 10_000):
+                    best.offer(names[at[i : i + 10_000]], matrix[i : i + 10_000])
+                out.append(best.batch())
+        return pa.Table.from_batches(out, pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())]))
+
+    ship(base.sparkSession)
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(pair, _FOUND)
+
+
+def against(base: DataFrame, queries: DataFrame, most: int = MOST_NUMBERS) -> DataFrame:
+    """Every row of the base beside every query (qid, q, ...): a query set of a checked size goes to every task, a
+    larger one meets the base in blocks."""
+    n, d = queries.agg(F.count("*"), F.max(F.size("q"))).first()
+    if n * (d or 0) <= most:
+        return base.join(F.broadcast(queries))
+    across, down = math.ceil(n * d / most), max(1, math.ceil(base.count() * d / most))
+    number = lambda name, parts: F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = base.withColumn("__a", every(across)).withColumn("__b", number("vec_id", down))
+    return left.join(queries.withColumn("__a", number("qid", across)).withColumn("__b", every(down)), ["__a", "__b"]).drop("__a", "__b")
+
+
+def nearest(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", skip_self: bool = False, within: float | None = None, most: int = MOST_NUMBERS) -> DataFrame:
     """base: vec_id, embedding; queries: qid, q. Returns qid, vec_id, distance and rank (from 1). With within,
-    all rows at that distance or nearer, k being ignored."""
+    all rows at that distance or nearer (ip: of that inner product or more), k being ignored. most: the queries'
+    numbers that go to every task; beyond, blocks are joined."""
     if k < 1 and within is None:
         raise ValueError("k must be positive")
     if metric not in V.METRICS:
         raise ValueError(f"unknown metric {metric}: one of {sorted(V.METRICS)}")
-    ids, q = gather(queries)
-    ids = np.array(ids, np.int64)
-
-    def rows(it):
-        for batch in it:
-            at, matrix = _matrix(batch.column(1))
-            if not len(at) or not len(ids) or matrix.shape[1] != q.shape[1]:
-                continue
-            names = batch.column(0).to_numpy(zero_copy_only=False)[at]
-            for i in range(0, len(ids), 64):
-                s = scores(metric, q[i : i + 64], matrix)
-                own = ids[i : i + 64]
-                if skip_self:
-                    s[own[:, None] == names[None]] = np.inf
-                if within is not None:
-                    a, b = np.nonzero(s <= within)
-                else:
-                    m = min(k, s.shape[1])
-                    b = np.stack([np.lexsort((names, x))[:m] for x in s])
-                    a = np.repeat(np.arange(len(own)), m)
-                    b = b.ravel()
-                value = s[a, b]
-                keep = np.isfinite(value)
-                value = -value if metric == "ip" else value
-                yield pa.RecordBatch.from_arrays([pa.array(own[a][keep]), pa.array(names[b][keep]), pa.array(value[keep])], ["qid", "vec_id", "distance"])
-
-    found = map_arrow(base.select(F.col("vec_id").cast("bigint"), "embedding"), rows, "qid bigint, vec_id bigint, distance double")
+    base = base.select(F.col("vec_id").cast("bigint"), "embedding")
+    n, d = queries.agg(F.count("*"), F.max(F.size("q"))).first()
+    if n * (d or 0) > most:
+        found = _blocks(base, queries, n, n * d, k, metric, skip_self, within, most)
+    else:
+        # queries of several lengths go out one length after another
+        rows = [r for r in queries.select("qid", "q").collect() if r.q is not None and None not in r.q]
+        found = None
+        for size in sorted({len(r.q) for r in rows}) or [0]:
+            own = [r for r in rows if len(r.q) == size]
+            ids, q = np.array([r.qid for r in own], np.int64), np.array([r.q for r in own], float) if own else np.zeros((0, 0))
+            part = _scored(base, ids, q, k, metric, skip_self, within)
+            found = part if found is None else found.unionByName(part)
     near = F.desc("distance") if metric == "ip" else F.asc("distance")
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(near, "vec_id")))
     return found if within is not None else found.where(F.col("rank") <= k)
 
 
-def top_k(scored: DataFrame, k: int, by: str = "qid") -> DataFrame:
-    """The k best rows of each query, each vec_id once. scored: qid, vec_id, distance and more."""
-    best = scored.withColumn("again", F.row_number().over(Window.partitionBy(by, "vec_id").orderBy("distance"))).where("again = 1").drop("again")
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
+def best_of(scored: DataFrame, k: int, by: str = "qid", descending: bool = False) -> DataFrame:
+    """The k best rows of each query, each vec_id once. scored: qid, vec_id, distance and more. descending: the
+    largest first, as for inner products."""
+    near = F.desc("distance") if descending else F.asc("distance")
+    best = scored.withColumn("again", F.row_number().over(Window.partitionBy(by, "vec_id").orderBy(near))).where("again = 1").drop("again")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(near, "vec_id"))).where(F.col("rank") <= k)
+
 
 
 def nearest_centers(points: DataFrame, centers: DataFrame, k: int = 1) -> DataFrame:
@@ -118,15 +230,18 @@ def nearest_centers(points: DataFrame, centers: DataFrame, k: int = 1) -> DataFr
 
     def rows(it):
         for batch in it:
-            at, matrix = _matrix(batch.column(1))
-            if len(at):
-                ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
-                s = scores("l2", c, matrix).T
-                m = min(k, len(names))
-                order = np.stack([np.lexsort((names, x))[:m] for x in s])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, m)), pa.array(names[order.ravel()]), pa.array(np.take_along_axis(s, order, 1).ravel()), pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(ids)))],
-                    ["vec_id", "center", "distance", "rank"],
-                )
+            every = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, matrix in _vectors(batch.column(1)):
+                if not len(names) or matrix.shape[1] != c.shape[1]:
+                    continue
+                for i in range(0, len(at), step := max(1, (1 << 22) // len(names))):
+                    ids = every[at[i : i + step]]
+                    s = scores("l2", c, matrix[i : i + step]).T
+                    m = min(k, len(names))
+                    order = np.lexsort((np.broadcast_to(names, s.shape), s), axis=1)[:, :m]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(ids, m)), pa.array(names[order.ravel()]), pa.array(np.take_along_axis(s, order, 1).ravel()), pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(ids)))],
+                        ["vec_id", "center", "distance", "rank"],
+                    )
 
     return map_arrow(points.select(F.col("vec_id").cast("bigint"), "embedding"), rows, "vec_id bigint, center bigint, distance double, rank int")

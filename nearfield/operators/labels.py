@@ -40,10 +40,38 @@ def broken_up(points: DataFrame, most: int, first_new: int) -> DataFrame:
     others are numbered from first_new in the order of (vec_id, part)."""
     parts = points.select("vec_id", F.posexplode("labels").alias("at", "label")).groupBy("vec_id", F.floor(F.col("at") / most).alias("part"))
     parts = parts.agg(F.sort_array(F.collect_list(F.struct("at", "label"))).alias("x")).select("vec_id", "part", F.transform("x", lambda y: y["label"]).alias("labels"))
-    extra = parts.where("part > 0").withColumn("new", F.row_number().over(Window.orderBy("vec_id", "part")) - 1 + first_new)
+    # numbers come from counts of id ranges, so no task sorts all extra parts
+    extra = parts.where("part > 0").withColumn("range", F.floor(F.col("vec_id") / (1 << 16)))
+    before = extra.groupBy("range").agg(F.count("*").alias("n"))
+    before = before.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("vec_id", "part")) - 1
+    extra = extra.withColumn("place", place).join(before, "range").withColumn("new", F.col("base") + F.col("place") + first_new)
     return parts.where("part = 0").select("vec_id", F.col("vec_id").alias("real_id"), "labels").unionByName(extra.select(F.col("new").cast("bigint").alias("vec_id"), F.col("vec_id").alias("real_id"), "labels"))
 
 
+def unknown(points: DataFrame, wanted: DataFrame, universal: str | None = None) -> DataFrame:
+    """wanted: label. The labels that no point answers: none, where some point has the universal label."""
+    each = points.select(F.explode("labels").alias("label")).distinct()
+    found = wanted.select("label").distinct().join(each, "label", "left_anti")
+    if universal is None:
+        return found
+    return found.join(each.where(F.col("label") == universal).select(F.lit(1).alias("one")).limit(1), how="left_anti")
+
+
+def of_shards(points: DataFrame, shards: DataFrame) -> DataFrame:
+    """points: vec_id, labels; shards: shard, vec_id. The label lines of each shard's points."""
+    return shards.select("shard", "vec_id").join(points.select("vec_id", F.array_join("labels", ",").alias("line")), "vec_id")
+
+
+def by_frequency(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n labels at random, a label in proportion to how many points have it: those of the (point, label) rows that
+    hash lowest. A row a draw, numbered from 0."""
+    each = points.select("vec_id", F.posexplode("labels").alias("at", "label"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("vec_id").cast("string"), F.col("at").cast("string")))
+    drawn = each.withColumn("order", order).orderBy("order", "vec_id", "at").limit(n)
+    return drawn.select((F.row_number().over(Window.orderBy("order", "vec_id", "at")) - 1).alias("draw"), "label")  # n rows
+
+
 def stats(points: DataFrame, dense: int) -> DataFrame:
     """One row: points, labels, pairs, labels a point, points a label, share of points with so many labels."""
     n = F.size("labels")

@@ -1,6 +1,6 @@
 """The registered queries of the vector-search operators, each with its SQL where SQL can express it.
 
-Fixtures: the queries are the rows with vec_id < 10, the centers those below 8; point labels are the label,
+Fixtures: the queries are the rows whose vec_id is divisible by 100, the centers those below 8; point labels are the label,
 'U' for every 50th point and a second label for every third; deletes are vec_id % 7 = 3; the graph has each
 point's eight nearest others.
 """
@@ -38,7 +38,7 @@ def _e(spark, d) -> DataFrame:
 
 
 def _q(spark, d) -> DataFrame:
-    return spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
 
 
 def _points(spark, d) -> DataFrame:
@@ -81,7 +81,7 @@ for _name, (_value, _sql) in _PAIRS.items():
 
     @_add(_name, f"WITH {S.Q} SELECT qid, vec_id, {_sql} AS distance FROM q CROSS JOIN embeddings")
     def _pair(spark, d, value=_value):
-        return _e(spark, d).join(F.broadcast(_q(spark, d))).select("qid", "vec_id", value(F.col("q"), F.col("embedding")).alias("distance"))
+        return knn.against(_e(spark, d), _q(spark, d)).select("qid", "vec_id", value(F.col("q"), F.col("embedding")).alias("distance"))
 
 
 _N = S.norm2("embedding")
@@ -170,15 +170,15 @@ def knn_per_label(spark, d):
     """Every label is searched at once; a label's share of the points is scored where it lies."""
     from pyspark.sql import Window
 
-    pairs = _points(spark, d).join(F.broadcast(_q(spark, d))).select("qid", "vec_id", F.explode(F.array_distinct("labels")).alias("label"), V.l2sq(F.col("q"), F.col("embedding")).alias("distance"))
+    pairs = knn.against(_points(spark, d), _q(spark, d)).select("qid", "vec_id", F.explode(F.array_distinct("labels")).alias("label"), V.l2sq(F.col("q"), F.col("embedding")).alias("distance"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "label").orderBy("distance", "vec_id"))).where("rank <= 5")
 
 
 @_add("filter_per_query", f"WITH {S.Q}, {S.POINTS}, ql AS (SELECT qid, q, (qid % 10)::VARCHAR AS wanted FROM q) {S.knn(_L2, K, 'pts', 'list_contains(labels, wanted)').replace('FROM q CROSS', 'FROM ql CROSS')}")
 def filter_per_query(spark, d):
     q = _q(spark, d).withColumn("wanted", (F.col("qid") % 10).cast("string"))
-    pairs = _points(spark, d).join(F.broadcast(q), F.expr("array_contains(labels, wanted)")).select("qid", "vec_id", V.l2sq(F.col("q"), F.col("embedding")).alias("distance"))
-    return knn.top_k(pairs, K)
+    pairs = knn.against(_points(spark, d), q).where("array_contains(labels, wanted)").select("qid", "vec_id", V.l2sq(F.col("q"), F.col("embedding")).alias("distance"))
+    return knn.best_of(pairs, K)
 
 
 @_add("filter_live", f"WITH {S.DELETES} SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM dels)")
@@ -217,14 +217,14 @@ def knn_with_metadata(spark, d):
 @_add("knn_documents", f"WITH {S.Q} SELECT k.*, lang, length(text)::INTEGER AS size FROM ({S.knn(_L2, K)}) k JOIN documents ON doc_id = vec_id")
 def knn_documents(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("vec_id"), "lang", F.length("text").alias("size"))
-    return docs.join(F.broadcast(knn.nearest(_e(spark, d), _q(spark, d), K)), "vec_id")  # k rows a query, of queries whose size was checked
+    return docs.join(knn.nearest(_e(spark, d), _q(spark, d), K), "vec_id")
 
 
 @_add("multi_index_merge", f"WITH {S.Q}, parts AS (SELECT *, vec_id % 3 AS part FROM embeddings) SELECT k.*, vec_id % 3 AS part FROM ({S.knn(_L2, K, 'parts')}) k")
 def multi_index_merge(spark, d):
     e = _e(spark, d)
     found = [knn.nearest(e.where(F.col("vec_id") % 3 == i), _q(spark, d), K).withColumn("part", F.lit(i).cast("bigint")) for i in range(3)]
-    return knn.top_k(found[0].unionByName(found[1]).unionByName(found[2]), K)
+    return knn.best_of(found[0].unionByName(found[1]).unionByName(found[2]), K)
 
 
 @_add("dummy_remap", f"WITH {S.Q} SELECT qid, rank, CASE WHEN vec_id % 2 = 1 THEN vec_id - 1 ELSE vec_id END AS vec_id FROM ({S.knn(_L2, K)})")
@@ -282,16 +282,15 @@ def medoid_centroid(spark, d):
     return cluster.medoid(_e(spark, d))
 
 
-@_add("medoid_sum", f"SELECT vec_id FROM (SELECT a.vec_id, round(sum(sqrt({S.l2sq('b.embedding', 'a.embedding')})), 6) AS t FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < 100 GROUP BY a.vec_id) ORDER BY t, vec_id LIMIT 1")
+@_add("medoid_sum", f"SELECT vec_id FROM (SELECT a.vec_id, round(sum(sqrt({S.l2sq('b.embedding', 'a.embedding')})), 6) AS t FROM embeddings a CROSS JOIN embeddings b GROUP BY a.vec_id) ORDER BY t, vec_id LIMIT 1")
 def medoid_sum(spark, d):
-    """Over a stated set of candidates."""
-    e = _e(spark, d)
-    return cluster.medoid_by_sum(e, e.where("vec_id < 100"))
+    return cluster.medoid_by_sum(_e(spark, d))
 
 
-def _book(spark, d) -> DataFrame:
-    chunks = quantize.chunks_of(F.col("embedding"), 64, 8)
-    return spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 16").select(F.posexplode(chunks).alias("chunk", "centroid"), F.col("vec_id").cast("int").alias("code")).select("chunk", "code", "centroid")
+def _book(spark, d) -> quantize.Quantizer:
+    cut = F.array(*(F.slice("embedding", 8 * j + 1, 8) for j in range(8)))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 16").select(F.posexplode(cut).alias("chunk", "centroid"), F.col("vec_id").alias("code"))
+    return quantize.Quantizer.of(rows)
 
 
 _BOOK = "book AS (SELECT j::INTEGER AS chunk, vec_id::INTEGER AS code, embedding[8 * j + 1 : 8 * j + 8] AS centroid FROM (SELECT *, unnest(range(8)) AS j FROM embeddings WHERE vec_id < 16))"
@@ -300,20 +299,24 @@ _CODES = f"""codes AS (SELECT vec_id, chunk, code FROM (SELECT e.vec_id, chunk,
   QUALIFY row_number() OVER (PARTITION BY vec_id, chunk ORDER BY dist, code) = 1)"""
 
 
+def _codes(spark, d) -> DataFrame:
+    return quantize.encode(_e(spark, d), _book(spark, d))
+
+
 @_add("pq_encode", f"WITH {_BOOK}, {_CODES} SELECT * FROM codes")
 def pq_encode(spark, d):
-    return quantize.encode(_e(spark, d), _book(spark, d), 64, 8)
+    return _codes(spark, d).select("vec_id", F.posexplode("codes").alias("chunk", "code"))
 
 
 @_add("pq_decode", f"WITH {_BOOK}, {_CODES} SELECT vec_id, round(sum({S.total('list_transform(centroid, lambda x: x::DOUBLE)')}), 6) AS total FROM codes JOIN book USING (chunk, code) GROUP BY vec_id")
 def pq_decode(spark, d):
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    return quantize.decode(pq_encode(spark, d), _book(spark, d)).select("vec_id", F.round(V.total(v), 6).alias("total"))
+    v = F.col("embedding")
+    return quantize.decode(_codes(spark, d), _book(spark, d)).select("vec_id", F.round(V.total(v), 6).alias("total"))
 
 
 @_add("pq_adc", f"WITH {S.Q}, {_BOOK}, {_CODES} SELECT qid, vec_id, round(sum({S.l2sq('q[8 * chunk + 1 : 8 * chunk + 8]', 'centroid')}), 6) AS distance FROM q CROSS JOIN codes JOIN book USING (chunk, code) GROUP BY qid, vec_id")
 def pq_adc(spark, d):
-    return quantize.adc(_q(spark, d), pq_encode(spark, d), _book(spark, d), 64, 8).select("qid", "vec_id", F.round("distance", 6).alias("distance"))
+    return quantize.adc(_q(spark, d), _codes(spark, d), _book(spark, d)).select("qid", "vec_id", F.round("distance", 6).alias("distance"))
 
 
 @_add("pq_chunk_count", "SELECT count(*) AS n, greatest(1, least((0.000001 * 1073741824 // count(*))::BIGINT, 64, 512))::INTEGER AS chunks FROM embeddings")
@@ -322,35 +325,23 @@ def pq_chunk_count(spark, d):
     return spark.createDataFrame([(n, quantize.chunk_count(0.000001, n, 64))], "n bigint, chunks int")
 
 
-@_add("pq_search")
+@_add("pq_search", f"WITH {S.Q} {S.knn(_L2, K)}")
 def pq_search(spark, d):
-    """Trained codes rule out rows, whole vectors rank the rest. A row lies within its own quantisation error of its
-    decoded vector, so a row whose least possible distance exceeds the k-th smallest greatest one is not among the k."""
-    e, q = _e(spark, d), _q(spark, d)
-    book = quantize.train(e, 16, 64)
-    codes = quantize.encode(e, book, 64, 16)
-    error = quantize.decode(codes, book).withColumnRenamed("embedding", "decoded").join(e, "vec_id").select("vec_id", F.sqrt(V.l2sq(F.col("embedding"), F.col("decoded"))).alias("error"))
-    bounds = quantize.adc(q, codes, book, 64, 16).join(error, "vec_id").withColumn("far", F.sqrt("distance") + F.col("error"))
-    most = knn.top_k(bounds.select("qid", "vec_id", F.col("far").alias("distance")), K).groupBy("qid").agg(F.max("distance").alias("most"))
-    slack = 1 + 1e-9  # for rounding
-    near = bounds.join(F.broadcast(most), "qid").where(F.sqrt("distance") - F.col("error") <= F.col("most") * slack).select("qid", "vec_id")
-    exact = near.join(e, "vec_id").join(F.broadcast(q), "qid").select("qid", "vec_id", V.l2sq(F.col("q"), F.col("embedding")).alias("distance"))
-    return knn.top_k(exact, K)
+    """Trained codes rule out rows, whole vectors rank the rest: the same rows as an exact search."""
+    e = _e(spark, d)
+    quantizer = quantize.train(e, 16, 64)
+    return quantize.search(e, quantize.encode(e, quantizer), _q(spark, d), quantizer, K)
 
 
 # Graphs.
 @_add("vamana_build")
 def vamana_build(spark, d):
-    return vamana.build(_e(spark, d))
+    return vamana.edges(vamana.build(_e(spark, d)), 32)
 
 
 @_add("vamana_search")
 def vamana_search(spark, d):
-    e = _e(spark, d)
-    return vamana.search(e, vamana.build(e), _q(spark, d), K, 100)
-
-
-
+    return vamana.search(vamana.build(_e(spark, d)), _q(spark, d), K, 100)
 
 
 @_add("degree_stats", f"WITH {S.GRAPH} SELECT max(n) AS max_degree, avg(n) AS avg_degree, min(n) AS min_degree, count(*) FILTER (n < 2) AS below_two FROM (SELECT e.vec_id, count(src) AS n FROM embeddings e LEFT JOIN edges ON dst = vec_id GROUP BY e.vec_id)")

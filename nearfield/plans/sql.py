@@ -34,7 +34,7 @@ def cosine(a: str, b: str) -> str:
     return f"(CASE WHEN {norm2(a)} = 0 OR {norm2(b)} = 0 THEN 1.0::DOUBLE ELSE 1 - greatest(least({cos}, 1.0), -1.0) END)"
 
 
-Q = "q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < 10)"
+Q = "q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 100 = 0)"
 POINTS = """pts AS (SELECT vec_id, embedding, list_concat(list_concat([label::VARCHAR], CASE WHEN vec_id % 50 = 0 THEN ['U'] ELSE [] END),
   CASE WHEN vec_id % 3 = 0 THEN [((label + vec_id) % 10)::VARCHAR] ELSE [] END) AS labels FROM embeddings)"""
 DELETES = "dels AS (SELECT vec_id FROM embeddings WHERE vec_id % 7 = 3)"

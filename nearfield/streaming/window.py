@@ -14,9 +14,11 @@ def check(most: int, window: int, interval: int) -> None:
         raise ValueError("the interval must be a thousandth of the index at least")
 
 
-def active(ops: DataFrame, window: int, interval: int) -> DataFrame:
+def active(ops: DataFrame, window: int, interval: int, most: int | None = None) -> DataFrame:
     """ops: seq (0, 1, ...) and vec_id. The rows that are live after the last whole interval: the newest
-    window rows of those that whole intervals have inserted."""
+    window rows of those that whole intervals have inserted. most: what the index holds, a window and an interval
+    unless given."""
+    check(window + interval if most is None else most, window, interval)
     n = ops.agg(F.count("*").alias("n"))
     done = F.when(F.col("n") < window, F.col("n")).otherwise(F.floor((F.col("n") - window) / interval) * interval + window)
     return ops.join(F.broadcast(n)).where((F.col("seq") < done) & (F.col("seq") >= F.greatest(done - window, F.lit(0)))).drop("n")

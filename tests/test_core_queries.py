@@ -17,7 +17,7 @@ def test_matches_sql(spark, oracle, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 100
+    assert __spark_entry__.entry(spark).count() == 50
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
