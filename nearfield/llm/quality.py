@@ -5,7 +5,7 @@ whole numbers, so any engine gives the same verdict. The table is data: pass ano
 rules. A rule over an empty text compares 0 with 0.
 
 Cases: null text counts as empty; an empty text has all counts 0 and fails the base rule (under 50 words).
-Repeated rows give repeated results. Other columns of the input are not read. A text of any length is taken
+Repeated rows give repeated results; a null id is carried along. Other columns of the input are not read. A text of any length is taken
 whole; the cost is n log n in its words.
 """
 
@@ -60,30 +60,48 @@ RULES = (
 BASE_FAILED = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
 
 
-def _repeated(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more. Windows are hashed and sorted with their
-    positions in one long; equal neighbours are the repeats. The position takes only the bits that this
-    text needs, so over 40 bits of hash remain for a text of a million words."""
+def _windows(words: Column) -> Column:
+    """A long for each 3-word window, sorted: its hash, with its place in the lowest bits. The place takes only the bits
+    that this text needs, so over 40 bits of hash remain for a text of a million words."""
     n = F.size(words)
     gram = lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1))
     windows = let(position_mask(n), lambda mask: F.transform(F.sequence(F.lit(1), n - 2), lambda i: gram(i).bitwiseAND(mask).bitwiseOR(i.cast("bigint"))))
     return F.when(n >= 3, F.sort_array(windows)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _repeated(words: Column, windows: Column, mask: Column) -> Column:
+    """Sorted places of the windows that occur twice or more: neighbours of equal hash. Where two such differ in their
+    words, as different windows may share a hash, the text's windows are compared by their words instead."""
+
+    def by_hash(mask: Column) -> Column:
+        same = lambda x, other: x.bitwiseAND(mask) == other.bitwiseAND(mask)  # noqa: E731  null beyond the ends
+        repeats = F.filter(windows, lambda x, i: same(x, F.get(windows, i - 1)) | same(x, F.get(windows, i + 1)))
+        return F.transform(repeats, lambda x: x.bitwiseAND(F.bitwise_not(mask)))
+
+    def mixed(mask: Column) -> Column:
+        own = lambda x: F.slice(words, x.bitwiseAND(F.bitwise_not(mask)).cast("int"), F.lit(3))
+        differ = lambda x, other: F.when(x.bitwiseAND(mask) == other.bitwiseAND(mask), own(x) != own(other)).otherwise(F.lit(False))
+        return F.exists(F.transform(windows, lambda x, i: F.when(i == 0, F.lit(False)).otherwise(differ(x, F.get(windows, i - 1)))), lambda x: x)
+
+    def by_words() -> Column:
+        places = F.sequence(F.lit(1).cast("bigint"), F.size(words).cast("bigint") - 2)
+        grams = F.sort_array(F.transform(places, lambda i: F.struct(F.array_join(F.slice(words, i.cast("int"), F.lit(3)), " ").alias("gram"), i.alias("at"))))
+        same = lambda x, other: x["gram"] == other["gram"]
+        found = let(grams, lambda g: F.filter(g, lambda x, i: same(x, F.get(g, i - 1)) | same(x, F.get(g, i + 1))))
+        return F.transform(found, lambda x: x["at"])
+
+    return F.sort_array(F.when(let(mask, mixed), by_words()).otherwise(let(mask, by_hash)))
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id and the counts that rules may name; with carry, the input row as a struct, __row. One row per
     input row, no shuffle."""
     df = pick(docs, id_col, text_col, carry).withColumn("words", words_of(F.col("text")))
     words, n = F.col("words"), F.size("words")
-    df = df.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, SPACES, "") != "")).withColumn("windows", _repeated(words)).withColumn("mask", position_mask(n))
+    df = df.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, SPACES, "") != "")).withColumn("windows", _windows(words)).withColumn("mask", position_mask(n))
     windows, lines = F.col("windows"), F.col("lines")
 
-    def positions(mask: Column) -> Column:
-        same = lambda x, other: x.bitwiseAND(mask) == other.bitwiseAND(mask)  # noqa: E731  null beyond the ends
-        repeats = F.filter(windows, lambda x, i: same(x, F.get(windows, i - 1)) | same(x, F.get(windows, i + 1)))
-        return F.transform(repeats, lambda x: x.bitwiseAND(F.bitwise_not(mask)))
-
-    df = df.withColumn("at", F.sort_array(let(F.col("mask"), positions)))
+    df = df.withColumn("at", _repeated(words, windows, F.col("mask")))
     at = F.col("at")
     covered = F.aggregate(F.transform(at, lambda x, i: F.least(F.coalesce(F.get(at, i + 1) - x, F.lit(3)), F.lit(3))), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return df.select(
