@@ -117,8 +117,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scop
     text = F.col(f"`{text_col}`")
     both = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__hash")), "left")
     spans = F.col("__spans")
-    upto = lambda i: F.coalesce(F.array_max(F.transform(F.slice(spans, 1, i), lambda s: s["end"])), F.lit(0))  # noqa: E731  of the spans before this one
-    pieces = F.transform(spans, lambda s, i: let(upto(i), lambda e: F.when(s["start"] >= e, F.concat(F.substring(text, e + 1, s["start"] - e), F.lit(mark))).otherwise(F.lit(""))))
+    # the furthest end of the spans up to each one: each step looks twice as far back
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1.0)).cast("int")), lambda b: F.call_function("shiftleft", F.lit(1), b))
+    furthest = F.aggregate(steps, F.transform(spans, lambda s: s["end"]), lambda ends, step: F.transform(ends, lambda x, i: F.greatest(x, F.get(ends, i - step))))
+    piece = lambda s, e: F.when(s["start"] >= e, F.concat(F.substring(text, e + 1, s["start"] - e), F.lit(mark))).otherwise(F.lit(""))
+    pieces = let(furthest, lambda ends: F.transform(spans, lambda s, i: piece(s, F.coalesce(F.get(ends, i - 1), F.lit(0)))))
     rest = let(F.array_max(F.transform(spans, lambda s: s["end"])), lambda e: F.substring(text, e + 1, F.length(text)))
     clean = F.when(F.col("__id").isNull() & F.col("__hash").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest))
     return both.select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
