@@ -80,7 +80,17 @@ def fast_l2(base: Column, query: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """A zero vector stays as it is."""
-    return F.transform(v, lambda x: F.when(norm2(v) == 0, _d(x)).otherwise(_d(x) / norm(v)))
+    return normalize_whole(v)
+
+
+def normalize_whole(v: Column) -> Column:
+    """normalize, with the norm worked out once for the vector and not for each number. A zero vector stays."""
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n == 0, _d(x)).otherwise(_d(x) / n))), F.lit(0))
+
+
+def inverse_root(x: Column) -> Column:
+    """1 / sqrt(x); null unless x is positive."""
+    return F.when(x > 0, 1 / F.sqrt(_d(x)))
 
 
 def mips_base(v: Column, most: Column) -> Column:
@@ -97,6 +107,11 @@ def int8_encode(v: Column, bias: float, scale: float) -> Column:
     return F.transform(v, lambda x: F.greatest(F.least(((_d(x) - bias) * 254 / scale).cast("int"), F.lit(127)), F.lit(-128)).cast("tinyint"))
 
 
+def uint8_encode(v: Column, bias: float, scale: float) -> Column:
+    """(x - bias) * scale, cut off towards zero and held within a byte."""
+    return F.transform(v, lambda x: F.greatest(F.least(((_d(x) - bias) * scale).cast("int"), F.lit(255)), F.lit(0)).cast("smallint"))
+
+
 def int8_decode(v: Column, bias: float, scale: float) -> Column:
     return F.transform(v, lambda x: (_d(x) - bias) * scale)
 
