@@ -14,7 +14,7 @@ from nearfield.api import IndexSpec, VectorIndex, answer, register
 from nearfield.functions import vectors as V
 from nearfield.operators import cluster, knn, proximity, quantize, vamana
 from nearfield.sources import vector_files as files
-from nearfield.streaming import window
+from nearfield.streaming import live_index, window
 
 
 def points(spark, matrix):
@@ -450,3 +450,34 @@ def test_stream(spark, tmp_path):
     assert sorted(r.vec_id for r in window.current(spark, f"{tmp_path}/out").collect()) == [2, 3]
     with pytest.raises(ValueError):
         window.check(10, 8, 5)
+
+
+def test_stream_changes_a_live_index(spark, tmp_path):
+    rng = np.random.default_rng(31)
+    x = {i: [float(np.float32(v)) for v in rng.normal(size=4)] for i in range(120)}
+    new5 = [9.0, 9.0, 9.0, 9.0]
+    batches = [
+        [("insert", i, x[i], i) for i in range(80)],
+        [("delete", i, None, 100 + i) for i in range(0, 80, 4)] + [("insert", i, x[i], 300 + i) for i in range(80, 120)] + [("delete", 81, None, 900), ("delete", 5000, None, 901)],
+        [("insert", 5, new5, 1000), ("insert", 4, x[4], 1001), (None, None, None, 1002)],
+    ]
+    spec, schema = IndexSpec(dim=4, degree=12, build_width=24, shard_rows=60), "op string, vec_id bigint, embedding array<float>, seq bigint"
+    want: dict = {}
+    for n, part in enumerate(batches):
+        spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        live_index.apply_stream(stream, f"{tmp_path}/index", f"{tmp_path}/ck", spec, consolidate_every=2).awaitTermination()
+        for op, i, v, _ in part:
+            want.pop(i, None)
+            if op == "insert":
+                want[i] = v
+        index = live_index.newest(spark, f"{tmp_path}/index")
+        assert {r.vec_id: r.embedding for r in index.points.collect()} == want
+        asked = queries(spark, [x[i] for i in range(0, 60, 3)])
+        assert share(index.search(asked, 5, 50), index.exact(asked, 5)) >= 0.9
+    assert live_index.versions(spark, f"{tmp_path}/index") == [0, 1, 2]
+    assert index.search(queries(spark, [new5]), 1, 20).first().vec_id == 5
+
+
+def test_metric_flags():
+    assert {name: flags[1:] for name, flags in V.METRICS.items()} == {"l2": (True, True), "l1": (True, True), "cosine": (True, False), "ip": (False, False)}
