@@ -124,6 +124,8 @@ def walk(graph: np.ndarray, vectors: np.ndarray, queries: np.ndarray, starts: np
         score = lambda q, p: distance(metric, queries[q][:, None], vectors[p])
     seen = np.zeros((n, total + 1), bool)
     seen[:, total] = True  # where -1 points to
+    if allowed is not None:
+        seen[:, :total] |= ~allowed
     best, near, done = np.full((n, width), -1, np.int64), np.full((n, width), np.inf), np.ones((n, width), bool)
     hops, compared = np.zeros(n, np.int64), np.zeros(n, np.int64)
     trail: list[list] = [[] for _ in range(n)] if keep else []
@@ -135,8 +137,6 @@ def walk(graph: np.ndarray, vectors: np.ndarray, queries: np.ndarray, starts: np
         place = np.sort(place, 1)
         new = ~seen[q[:, None], place]
         new[:, 1:] &= place[:, 1:] != place[:, :-1]
-        if allowed is not None:
-            new &= np.append(allowed, np.zeros((n, 1), bool), 1)[q[:, None], place] if allowed.shape[1] == total else allowed[q[:, None], place]
         wide = int(new.sum(1).max(initial=0))
         if not wide:
             return
@@ -237,15 +237,15 @@ class Graph:
 
     def search(self, queries: np.ndarray, width: int, beam: int = 1, wanted: np.ndarray | None = None, **more) -> Found:
         """queries: prepared. wanted: labels by query, any of which a point must have."""
-        starts, allowed = np.tile(np.array(self.starts, np.int64), (len(queries), 1)), None
+        starts = np.tile(np.array(self.starts, np.int64), (len(queries), 1))
         if wanted is not None:
-            allowed = (wanted.astype(np.int32) @ self.labels.T.astype(np.int32)) > 0
             rows = [[*self.starts, *(self.start_of[x] for x in np.flatnonzero(w).tolist() if x in self.start_of)] for w in wanted]
             size = max((len(r) for r in rows), default=0)
             starts = np.array([r + [-1] * (size - len(r)) for r in rows], np.int64).reshape(len(queries), size)
         found = []
         for part in batches(len(queries), len(self.vectors)):
-            found.append(walk(self.table, self.vectors, queries[part], starts[part], width, self.metric, beam, None if allowed is None else allowed[part], **more))
+            allowed = None if wanted is None else (wanted[part].astype(np.int32) @ self.labels.T.astype(np.int32)) > 0
+            found.append(walk(self.table, self.vectors, queries[part], starts[part], width, self.metric, beam, allowed, **more))
         if not found:
             return Found(np.zeros((0, width), np.int64), np.zeros((0, width)), np.zeros(0, np.int64), np.zeros(0, np.int64))
         return Found(*(np.concatenate([getattr(f, x) for f in found]) for x in ("positions", "distances", "hops", "compared")), [e for f in found for e in f.expanded])

@@ -13,7 +13,7 @@ from .. import synthetic
 from ..functions import vectors as V
 from ..operators import cluster, evaluate, graph, knn, labels, maintenance, quantize, vamana
 from ..sources import vector_files as files
-from ..storage import shared_dir
+from ..storage import shared_dir, written
 from . import sql as S
 from .core import _BOOK, _CODES, _L2, K, _add, _book, _codes, _deletes, _e, _edges, _nodes, _points, _q
 
@@ -305,10 +305,61 @@ def recall_simulation(spark, d):
     return evaluate.merged_recall(spark, 8, 10, 4, 200)
 
 
-@_add("latency_report")
+@_add("latency_report", "WITH t AS (SELECT value / 1000 AS seconds FROM events WHERE value > 0) SELECT count(*) AS n, round(avg(seconds), 9) AS mean, round(count(*) / sum(seconds), 6) AS a_second, (SELECT list_sort(list(seconds))[least(floor(0.999 * count(*))::BIGINT + 1, count(*))] FROM t) AS p999 FROM t")
 def latency_report(spark, d):
     times = spark.read.parquet(f"{d}/events.parquet").select((F.col("value") / 1000).alias("seconds")).where("seconds > 0")
-    return evaluate.latencies(times)
+    return evaluate.latencies(times).select("n", F.round("mean", 9).alias("mean"), F.round("a_second", 6).alias("a_second"), "p999")
+
+
+_GATED = ("plain", "beam", "fast", "codes", "reranked", "range", "filtered", "live", "inserted", "removed", "shards")
+
+
+@_add("search_recall_gates", "SELECT unnest([" + ", ".join(f"'{n}'" for n in _GATED) + "]) AS search, true AS enough")
+def search_recall_gates(spark, d):
+    """Whether each approximate search finds nine tenths of the exact rows."""
+    e, p, q, gone = _e(spark, d), _points(spark, d), _q(spark, d), _deletes(spark, d)
+    nodes = written(vamana.build(e))
+    quantizer = quantize.train(e, 16, 64)
+    codes = written(quantize.encode(e, quantizer))
+    exact = lambda base: knn.nearest(base, q, K)
+    match = p.where(labels.matches(F.col("labels"), F.lit("3"), "U"))
+    grown, _ = vamana.insert(vamana.build(e.where("vec_id % 3 <> 1")), e.where("vec_id % 3 = 1"))
+    search = lambda n, **more: vamana.search(n, q, K, 100, **more)
+    found = {
+        "plain": (search(nodes), exact(e)),
+        "beam": (search(nodes, beam=8), exact(e)),
+        "fast": (search(nodes, fast=True), exact(e)),
+        "codes": (vamana.search_codes(nodes, q, codes, quantizer, K, 150), exact(e)),
+        "reranked": (vamana.search_codes(nodes, q, codes, quantizer, K, 150, rerank=100), exact(e)),
+        "range": (vamana.within(nodes, q, 1.3), knn.nearest(e, q, 1, within=1.3)),
+        "filtered": (vamana.search(vamana.build(p, labelled=True, universal="U"), q.withColumn("wanted", F.lit("3")), K, 100, universal="U"), exact(match)),
+        "live": (search(nodes, deletes=gone), exact(maintenance.live(e, gone))),
+        "inserted": (search(grown), exact(e)),
+        "removed": (search(vamana.remove(nodes, gone)), exact(maintenance.live(e, gone))),
+        "shards": (search(vamana.build(e, shard_rows=200)), exact(e)),
+    }
+    rows = None
+    for name in _GATED:
+        got, truth = found[name]
+        one = evaluate.recall_of_sets(truth, got, q).agg(F.lit(name).alias("search"), (F.avg("recall") >= 90).alias("enough"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@_add("graph_invariants", "SELECT unnest(['built', 'inserted', 'removed', 'stitched']) AS graph, true AS bounded, true AS without_loops, true AS known")
+def graph_invariants(spark, d):
+    """Of graphs that were built in different ways: degrees within their bound, no loops, edges to points alone."""
+    e, gone = _e(spark, d), _deletes(spark, d)
+    nodes = written(vamana.build(e, 16, 32))
+    grown, _ = vamana.insert(vamana.build(e.where("vec_id % 3 <> 1"), 16, 32), e.where("vec_id % 3 = 1"), degree=16, width=32)
+    graphs = {"built": (vamana.edges(nodes), e, 16), "inserted": (vamana.edges(grown), e, 16), "removed": (vamana.edges(vamana.remove(nodes, gone, 16)), maintenance.live(e, gone), 20), "stitched": (vamana.stitched(_points(spark, d), 8, 16, 12), e, 12)}
+    rows = None
+    for name, (pairs, points, most) in graphs.items():
+        known = points.select(F.col("vec_id").alias("dst"), F.lit(1).alias("here"))
+        each = pairs.select("src", "dst").join(known, "dst", "left").groupBy("src").agg(F.count("*").alias("n"), F.max((F.col("src") == F.col("dst")).cast("int")).alias("loop"), F.count("here").alias("known"))
+        one = each.agg(F.lit(name).alias("graph"), (F.max("n") <= most).alias("bounded"), (F.max("loop") == 0).alias("without_loops"), F.min(F.col("n") == F.col("known")).alias("known"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 @_add("range_truth_report", f"WITH {S.Q}, c AS (SELECT qid, (SELECT count(*) FROM embeddings WHERE {S.l2sq('q.q', 'embedding')} <= 1.3) AS n FROM q), v AS (SELECT list_sort(list(n)) AS v FROM c) SELECT s / 100.0::DOUBLE AS share, v[least(floor(s / 100.0::DOUBLE * len(v))::BIGINT + 1, len(v))] AS value FROM v CROSS JOIN (SELECT unnest([0, 25, 50, 75, 100]) AS s)")

@@ -13,8 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 _SENT: set[str] = set()
 
 
+#: Texts and vectors make large rows: Arrow batches of this size at most, where the session leaves Spark's default.
+BATCH, DEFAULT = "16m", "67108864b"
+_SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Once an application: a zip of the package, through Spark's own file server."""
+    """Once an application: a zip of the package, through Spark's own file server. And smaller Arrow batches."""
+    if spark.conf.get(_SIZE, None) == DEFAULT:
+        spark.conf.set(_SIZE, BATCH)
     app = spark.sparkContext.applicationId
     if app in _SENT:
         return
