@@ -19,6 +19,21 @@ from .sources.vector_files import load_index, save_index
 from .storage import written
 
 
+class BuildError(ValueError):
+    """Points that no index can be built from."""
+
+
+class SearchError(ValueError):
+    """A search that cannot be met."""
+
+
+def error_code(error: BaseException | None) -> int:
+    """0 success, 1 invalid argument, 2 out of memory, 3 files, 4 build, 5 search."""
+    if error is None:
+        return 0
+    return next((code for kind, code in ((BuildError, 4), (SearchError, 5), (MemoryError, 2), (OSError, 3)) if isinstance(error, kind)), 1)
+
+
 class Searches(Protocol):
     """What can be searched: queries (qid, q) to (qid, vec_id, distance, rank)."""
 
@@ -77,13 +92,13 @@ class VectorIndex:
         them again."""
         n, different, low, high = points.agg(F.count("*"), F.countDistinct("vec_id"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
         if not n:
-            raise ValueError("an index needs points")
+            raise BuildError("an index needs points")
         if different != n:
-            raise ValueError(f"{n - different} points have no id or one that another has")
+            raise BuildError(f"{n - different} points have no id or one that another has")
         if low is not None and (low, high) != (spec.dim, spec.dim):
-            raise ValueError(f"vectors have {low} to {high} numbers, not {spec.dim}")
+            raise BuildError(f"vectors have {low} to {high} numbers, not {spec.dim}")
         if spec.labelled and "labels" not in points.columns:
-            raise ValueError("the points have no labels")
+            raise BuildError("the points have no labels")
         return cls(written(vamana.build(points, spec.degree, spec.build_width, spec.shard_rows, spec.copies, spec.metric, spec.alphas, spec.fill, spec.labelled, spec.universal, spec.frozen, spec.seed)), spec)
 
     @property
@@ -106,6 +121,8 @@ class VectorIndex:
             kind = dict(queries.dtypes)["wanted"]
             wanted = queries.select((F.explode("wanted") if kind.startswith("array") else F.col("wanted")).alias("label"))
             vamana.known_labels(self.nodes, wanted.where("label IS NOT NULL"), self.spec.universal)
+        if not 0 < k <= width or beam < 1:
+            raise SearchError("k must be from 1 to the width, and the beam positive")
         return vamana.search(self.nodes, queries, k, width, beam, self.spec.metric, self.spec.universal, self.deletes, nearest_start, fast)
 
     def search_with_points(self, queries: DataFrame, k: int, width: int, beam: int = 1) -> DataFrame:

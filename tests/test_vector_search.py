@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from nearfield.api import IndexSpec, VectorIndex, answer, register
+from nearfield.api import BuildError, IndexSpec, SearchError, VectorIndex, answer, error_code, register
 from nearfield.functions import vectors as V
 from nearfield.operators import cluster, knn, proximity, quantize, vamana
 from nearfield.sources import vector_files as files
@@ -70,6 +70,44 @@ def test_prune_against_a_plain_one(seed, n, degree):
     assert once == want
 
 
+def test_prune_of_inner_products_and_labels():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n, degree = int(rng.integers(1, 25)), int(rng.integers(1, 7))
+        vectors = rng.normal(size=(n + 1, 4))
+        far = -(vectors[:-1] @ vectors[-1])
+        order = np.lexsort((np.arange(n), far))
+        worst, want = np.zeros(n), []
+        for alpha in (1.0, 1.2):
+            for i in range(n):
+                if len(want) >= degree or worst[i] > alpha:
+                    continue
+                worst[i] = np.inf
+                want.append(int(order[i]))
+                for t in range(i + 1, n):
+                    if vectors[order[i]] @ vectors[order[t]] > alpha * -far[order[t]]:
+                        worst[t] = max(worst[t], alpha + 0.01)
+        got = proximity.prune(order[None], far[order][None], vectors, degree, "ip")[0]
+        assert got[got >= 0].tolist() == want
+        labels = rng.random((n, 3)) < 0.6
+        far2 = ((vectors[:-1] - vectors[-1]) ** 2).sum(1)
+        order = np.lexsort((np.arange(n), far2))
+        own = labels[order]
+        covers = ~((~own[:, None] & own[None]).any(-1))
+        worst, want = np.zeros(n), []
+        for alpha in (1.0, 1.2):
+            for i in range(n):
+                if len(want) >= degree or worst[i] > alpha:
+                    continue
+                worst[i] = np.inf
+                want.append(int(order[i]))
+                for t in range(i + 1, n):
+                    if not (own[t] & ~own[i]).any():
+                        worst[t] = max(worst[t], far2[order[t]] / ((vectors[order[i]] - vectors[order[t]]) ** 2).sum())
+        got = proximity.prune(order[None], far2[order][None], vectors, degree, covers=covers[None])[0]
+        assert got[got >= 0].tolist() == want
+
+
 def plain_walk(graph, vectors, q, starts, width, beam=1, allowed=None):
     best, seen, done = [], set(), set()
     d = lambda p: ((vectors[p] - q) ** 2).sum()
@@ -410,6 +448,9 @@ def test_truth_tag_and_graph_files(spark, tmp_path):
     names = files.write_result_matrices(found, str(tmp_path / "res"), 5)
     assert len(names) == 2 and files.header(names[0]) == (7, 5)
     files.write_results(truth, str(tmp_path / "csv"))
+    nodes.withColumn("embedding", F.array(F.lit(0.5), F.lit(2.0))).write.parquet(str(tmp_path / "n"))
+    files.write_index_tsv(spark.read.parquet(str(tmp_path / "n")), str(tmp_path / "index.tsv"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "index.tsv")).collect()) == ["0\t0.5,2.0\t1,2", "1\t0.5,2.0\t", "2\t0.5,2.0\t0"]
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["qid", "rank", "id", "distance"]
 
 
@@ -417,8 +458,12 @@ def test_index_and_requests(spark, tmp_path):
     x = np.random.default_rng(3).normal(size=(80, 4))
     base = points(spark, x)
     for bad in (base.where("false"), base.unionByName(base.limit(1)), points(spark, x[:, :3])):
-        with pytest.raises(ValueError):
+        with pytest.raises(BuildError) as caught:
             VectorIndex.build(bad, IndexSpec(dim=4))
+        assert error_code(caught.value) == 4
+    with pytest.raises(SearchError) as caught:
+        VectorIndex.build(base, IndexSpec(dim=4)).search(queries(spark, x[:1]), 5, 3)
+    assert [error_code(e) for e in (None, ValueError(), MemoryError(), FileNotFoundError(), caught.value)] == [0, 1, 2, 3, 5]
     for bad in ({"dim": 5, "metric": "none"}, {"dim": 0}, {"dim": 2, "frozen": -1}, {"dim": 2, "universal": "U"}, {"dim": 2, "alphas": (0.5,)}):
         with pytest.raises(ValueError):
             IndexSpec(**bad)
