@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .text import let
 
-ROWS_PER_RANGE, MOST_RANGES = 4096, 1 << 16
+ROWS_PER_RANGE, MOST_RANGES = 4096, 1 << 14
 #: Stands for a null id, which comes first.
 LEAST = -(1 << 63)
 

@@ -1,47 +1,5 @@
-"""The folder that the driver and all executors share, and files in it."""
+"""The shared folder's helpers, under the text operators' own name."""
 
-from __future__ import annotations
+from ..storage import get, opened, put, shared_dir, written
 
-import tempfile
-import uuid
-
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir. Where that is unset, as in tests on one machine, a
-    temporary folder becomes the checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="nearfield-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/nearfield-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and outlives the executors that made it."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-
-
-def put(path: str, data: bytes) -> None:
-    """Writes a file under another name and then moves it, so that a lost or repeated task leaves no half file."""
-    where, name = opened(path)
-    where.create_dir(name.rpartition("/")[0], recursive=True)
-    with where.open_output_stream(part := f"{name}.{uuid.uuid4().hex}.part") as out:
-        out.write(data)
-    where.move(part, name)
-
-
-def get(path: str) -> bytes:
-    where, name = opened(path)
-    with where.open_input_stream(name) as data:
-        return data.read()
+__all__ = ["get", "opened", "put", "shared_dir", "written"]

@@ -13,9 +13,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import map_arrow, ship
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 24, 5, 42
+#: Rows of a crowded cell that meet in a task, twice.
+BLOCK = 256
 _RANDOM = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 _TIMES, _MIX = _RANDOM[0] | np.uint64(1), _RANDOM[1]
 
@@ -70,3 +72,54 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: flo
 
     left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), rows, schema)
+
+
+def linked(sets: list[np.ndarray], roots: list, least: float = SIMILARITY, columns: int = 1 << 13) -> list[tuple[int, int]]:
+    """Places of similar sets, so many pairs as join all roots that similar sets join. Shared shingles are counted for
+    all pairs at once, some columns at a time."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], float)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often > 1
+    keep = shared[column]
+    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((n, n), np.float32)
+    for first in range(0, int(shared.sum()), columns):
+        lo, hi = np.searchsorted(column, [first, first + columns])
+        marks = np.zeros((n, columns), np.float32)
+        marks[owner[lo:hi], column[lo:hi] - first] = 1
+        common += marks @ marks.T
+    near = common >= least * (sizes[:, None] + sizes[None] - common.astype(float)) - 1e-9
+    top = {r: r for r in roots}
+
+    def find(r):
+        while top[r] != r:
+            top[r] = top[top[r]]
+            r = top[r]
+        return r
+
+    out = []
+    for i, j in np.argwhere(np.triu(near, 1)).tolist():
+        a, b = find(roots[i]), find(roots[j])
+        if a != b:
+            top[b] = a
+            out.append((i, j))
+    return out
+
+
+def linked_within(rows: DataFrame, texts: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+    """rows: cell, n (of its rows), node, root; texts: node, text. Links a, b between similar texts of a cell, enough to
+    join their roots. A cell is cut into blocks of BLOCK rows, and every two blocks meet in a task: no pair is a row."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root").join(texts, "node")
+
+    def group(table: pa.Table) -> pa.Table:
+        nodes, roots = table.column("node").to_pylist(), table.column("root").to_pylist()
+        found = linked([shingles(t, words) for t in table.column("text").cast(pa.binary()).to_pylist()], roots, least) if len(set(roots)) > 1 else []
+        return pa.table({"a": pa.array([min(nodes[x], nodes[y]) for x, y in found], pa.int64()), "b": pa.array([max(nodes[x], nodes[y]) for x, y in found], pa.int64())})
+
+    ship(rows.sparkSession)
+    return rows.groupBy("cell", "i", "j").applyInArrow(group, "a bigint, b bigint").distinct()

@@ -33,14 +33,17 @@ from pyspark.sql import functions as F
 from ..shipping import map_arrow
 from . import shingles
 from .components import components
+from .ranges import LEAST
 from .shared import written
 from .shingles import hashes_of
-from .text import pick
+from .text import pick, whole
 from .word_bpe import parts
 
 WORDS, DISTANCE = 4, 4
 #: Members that a cell may hold on average before blocks are made finer.
 CROWD = 64
+#: A cell of more texts that are not linked yet is compared in blocks.
+FEW = 8
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
@@ -107,24 +110,31 @@ def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _within_cells(grid: DataFrame, near, checked) -> DataFrame:
-    """grid: cell, node, root (what the node is known to link to) and what near(x, y) compares. node and root of all
-    nodes after the links within cells."""
-    members = grid.groupBy("cell").agg(F.min("node").alias("p0"), F.max("node").alias("p1"), F.min_by("node", F.xxhash64("node")).alias("p2")).where("p0 <> p1")
-    pivots = members.select("cell", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("node"))
-    y = grid.join(pivots, ["cell", "node"], "left_semi").alias("y")
-    x = grid.alias("x")
-    apart = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") != F.col("y.root"))
-    to_pivots = x.join(y, apart & near("x", "y")).select(*_pairs(F.col("x.node"), F.col("y.node"))).distinct()
-    known = grid.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
-    first = written(components(known.unionByName(checked(to_pivots))))
+def _within_cells(grid: DataFrame, near, checked, known: DataFrame | None = None, crowded=None) -> DataFrame:
+    """grid: cell, node, root (what the node is known to link to) and what near compares of x and y. known: the links
+    behind the roots, as node and root. node and root of all nodes that link after the links within cells. crowded: takes
+    the rows (with n, their cell's number) of cells that hold more than FEW after the pivots and gives their links, so that
+    no pair becomes a row there."""
+    columns = [c for c in grid.columns if c != "cell"]
+    ways = {"p": F.min_by, "q": F.max_by, "r": lambda c, by: F.min_by(c, F.xxhash64(by))}
+    pivots = grid.groupBy("cell").agg(*(way(c, "node").alias(f"{k}_{c}") for k, way in ways.items() for c in columns)).where("p_node <> q_node")
+    y = F.explode(F.array(*(F.struct(*(F.col(f"{k}_{c}").alias(c) for c in columns)) for k in ways))).alias("y")
+    apart = lambda test: test & near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+    to_pivots = grid.join(pivots, "cell").select(F.struct(*columns).alias("x"), y).where(apart(F.col("x.root") != F.col("y.root")))
+    edges = checked(to_pivots.select(*_pairs(F.col("x.node"), F.col("y.node"))).distinct())
+    if known is not None:
+        edges = edges.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    first = written(components(edges))
 
     grid = grid.drop("root").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = grid.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
-    grid = written(grid.join(mixed, "cell", "left_semi"))
-    x, y = grid.alias("x"), grid.alias("y")
-    between = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.root") < F.col("y.root")) & near("x", "y"))
+    mixed = grid.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("cell", "n")
+    grid = written(grid.join(mixed, "cell"))
+    few = grid if crowded is None else grid.where(F.col("n") <= FEW)
+    x, y = few.alias("x"), few.alias("y")
+    between = x.join(y, (F.col("x.cell") == F.col("y.cell")) & apart(F.col("x.root") < F.col("y.root")))
     found = checked(between.select(*_pairs(F.col("x.node"), F.col("y.node"))).distinct())
+    if crowded is not None:
+        found = found.unionByName(crowded(grid.where(F.col("n") > FEW).select("cell", "n", "node", "root")))
     return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 
 
@@ -135,20 +145,19 @@ def link(nodes: DataFrame, distance: int = DISTANCE, checked=lambda pairs: pairs
     choices = F.posexplode(cells(F.col("fp"), blocks_for(nodes.count(), distance), distance)).alias("choice", "counts")
     grid = nodes.select("node", "fp", choices).select(F.struct("choice", "counts").alias("cell"), "node", "fp", F.col("node").alias("root"))
 
-    def near(x: str, y: str) -> Column:
-        a, b = F.col(f"{x}.fp"), F.col(f"{y}.fp")
-        return (manhattan(a, b) <= distance) & (hamming(a, b) <= distance)
+    def near(x, y) -> Column:
+        return (manhattan(x("fp"), y("fp")) <= distance) & (hamming(x("fp"), y("fp")) <= distance)
 
     return _within_cells(grid, near, checked)
 
 
 def _components_of(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
-    """rows (doc_id and key) with component_id; a key without links is its own component. The smallest ids of the
+    """rows (doc_id and key) with root and component_id; a key without links is its own component. The smallest ids of the
     components are written, so that a join by a component of a great many keys can be split."""
     own = rows.groupBy(key).agg(F.min("doc_id").alias("least")).join(roots, F.col(key) == F.col("node"), "left").select(key, "least", F.coalesce("root", key).alias("root"))
     own = written(own)
     ids = written(own.groupBy("root").agg(F.min("least").alias("component_id")))
-    return rows.join(own.join(ids, "root").select(key, "component_id"), key)
+    return rows.join(own.join(ids, "root").select(key, "root", "component_id"), key)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, words: int = WORDS) -> DataFrame:
@@ -159,7 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = shingles.WORDS, similarity: float = shingles.SIMILARITY, distance: int = DISTANCE) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id that links of such similarity lead to. A row for each input row."""
+    """doc_id, mark (the text's hash), root (the component) and component_id, the smallest doc_id that links of such
+    similarity lead to. A row for each input row."""
     docs = pick(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("mark", F.xxhash64("text"))
 
     def signed(it):
@@ -168,23 +178,36 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 found = [shingles.hashes_of(t, words) for t in part.column(2).cast(pa.binary()).to_pylist()]
                 sets = [np.unique(x) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([shingles.long_hash(x.tobytes()) for x in sets], pa.int64()), pa.array(map(fingerprint_of, found), pa.int64()), pa.array(map(shingles.bands, sets), pa.list_(pa.int64()))],
-                    ["doc_id", "mark", "key", "fp", "bands"],
+                    [part.column(0), part.column(1), pa.array([shingles.long_hash(x.tobytes()) for x in sets], pa.int64()), pa.array(map(fingerprint_of, found), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(shingles.bands, sets), pa.list_(pa.int64()))],
+                    ["doc_id", "mark", "key", "fp", "size", "bands"],
                 )
 
-    rows = written(map_arrow(docs.select("doc_id", "mark", "text"), signed, "doc_id bigint, mark bigint, key bigint, fp bigint, bands array<bigint>"))
-    # one of the texts that have a set of shingles stands for it: they may differ in order and in repeats
-    chosen = rows.groupBy("key").agg(F.min(F.struct("mark", "fp", "bands")).alias("s"))
+    rows = written(map_arrow(docs.select("doc_id", "mark", "text"), signed, "doc_id bigint, mark bigint, key bigint, fp bigint, size bigint, bands array<bigint>"))
+    # one of the rows that have a set of shingles stands for it: their texts may differ in order and in repeats
+    own_id = F.coalesce("doc_id", F.lit(LEAST)).alias("id")
+    chosen = rows.groupBy("key").agg(F.min(F.struct(own_id, "mark", "fp", "size", "bands")).alias("s"))
     nodes = written(chosen.select(F.col("key").alias("node"), "s.*"))
-    texts = written(docs.join(nodes.select("mark", "node"), "mark").groupBy("node").agg(F.min("text").alias("text")))
+    texts = written(docs.select(own_id, "mark", "text").join(nodes.select("id", "mark", "node"), ["id", "mark"]).groupBy("node").agg(F.min("text").alias("text")))
     checked = lambda pairs: shingles.confirmed(pairs, texts, words, similarity)
 
     roots = written(link(nodes.select("node", "fp"), distance, checked))
-    grid = nodes.select("node", F.explode("bands").alias("cell")).join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
+    grid = nodes.select("node", "size", F.explode("bands").alias("cell")).join(roots, "node", "left").select("cell", "node", "size", F.coalesce("root", "node").alias("root"))
     mixed = grid.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
-    beyond = _within_cells(written(grid.join(mixed, "cell", "left_semi")), lambda x, y: F.lit(True), checked)
-    every = components(roots.unionByName(beyond).select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return _components_of(rows.select("doc_id", "key"), written(every), "key").select("doc_id", "component_id")
+    # sets that differ in size by more cannot be so similar
+    sizes = lambda x, y: F.least(x("size"), y("size")) >= F.lit(similarity - 1e-9) * F.greatest(x("size"), y("size"))
+    crowded = lambda cells: shingles.linked_within(cells, texts, words, similarity)
+    every = _within_cells(written(grid.join(mixed, "cell", "left_semi")), sizes, checked, roots, crowded)
+    return _components_of(rows.select("doc_id", "mark", "key"), written(every), "key").select("doc_id", "mark", "root", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = shingles.WORDS, similarity: float = shingles.SIMILARITY) -> DataFrame:
+    """The rows of docs, unchanged: of each component of similar texts the one of smallest id, of that id the text whose
+    hash is smallest, once. A row without an id cannot be told from others like it and stays."""
+    groups = similar_texts(docs, id_col, text_col, words, similarity).where("doc_id IS NOT NULL")
+    first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.mark").alias("__mark"))
+    own = docs.withColumn("__id", F.col(f"`{id_col}`").cast("bigint")).withColumn("__mark", F.xxhash64(whole(F.col(f"`{text_col}`"))))
+    stay = own.join(first, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
+    return stay.unionByName(own.where("__id IS NULL")).drop("__id", "__mark")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

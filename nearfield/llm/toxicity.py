@@ -40,7 +40,7 @@ STARTS = (4, 5, 6)
 _WORD_BYTES = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 GRADES = 3
 #: Words whose features a worker keeps.
-MOST_KEPT = 200_000
+MOST_KEPT = 100_000
 
 
 def words(text: bytes) -> Counter:
@@ -103,21 +103,46 @@ class Model:
         return float(above[0]), float(sum(above)), int(np.argmax(grades))
 
 
-def _descend(row: np.ndarray, index: np.ndarray, worth: np.ndarray, m: int, grades: np.ndarray, rounds: int, rate: float, l1: float) -> tuple[np.ndarray, tuple[float, float]]:
-    """m weights and two thresholds: Adam over all rows a round, with soft thresholding by l1."""
-    n = len(grades)
+class Sparse:
+    """A row for each text: index and worth of its features, one after another, in blocks that are worked through."""
+
+    BLOCK = 1 << 18
+
+    def __init__(self, sizes: np.ndarray, index: np.ndarray, worth: np.ndarray, m: int) -> None:
+        self.n, self.m, self.index, self.worth = len(sizes), m, index, worth
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        self.blocks = [slice(i, i + self.BLOCK) for i in range(0, len(index), self.BLOCK)]
+
+    def by_row(self, x: np.ndarray) -> np.ndarray:
+        """Each text's sum of x by its features, times their worth."""
+        out = np.zeros(self.n)
+        for b in self.blocks:
+            out += np.bincount(self.row[b], x[self.index[b]] * self.worth[b], self.n)
+        return out
+
+    def by_feature(self, y: np.ndarray, plain: bool = False) -> np.ndarray:
+        """Each feature's sum of y by the texts that have it, times its worth there unless plain."""
+        out = np.zeros(self.m)
+        for b in self.blocks:
+            out += np.bincount(self.index[b], y[self.row[b]] * (1 if plain else self.worth[b]), self.m)
+        return out
+
+
+def _descend(data: Sparse, grades: np.ndarray, rounds: int, rate: float, l1: float) -> tuple[np.ndarray, tuple[float, float]]:
+    """The weights and two thresholds: Adam over all rows a round, with soft thresholding by l1."""
+    n, m = data.n, data.m
     share = np.clip([(grades > k).mean() for k in range(2)], 1e-4, 1 - 1e-4)
     low, high = np.log((1 - share) / share)
     x = np.concatenate([np.zeros(m), [low, np.log(max(high - low, 1e-2))]])  # weights, t0, log(t1 - t0)
     mean, square = np.zeros(m + 2), np.zeros(m + 2)
     for i in range(1, rounds + 1):
-        s, t = np.bincount(row, x[index] * worth, n), (x[m], x[m] + np.exp(x[m + 1]))
+        s, t = data.by_row(x[:m]), (x[m], x[m] + np.exp(x[m + 1]))
         a0, a1 = (1 / (1 + np.exp(np.clip(y - s, -60, 60))) for y in t)
         middle = np.maximum(a0 - a1, 1e-12)
         # of -log P(grade) by s - t0 and by s - t1
         g0 = np.select([grades == 0, grades == 1], [a0, -a0 * (1 - a0) / middle], 0.0)
         g1 = np.select([grades == 1, grades == 2], [a1 * (1 - a1) / middle, -(1 - a1)], 0.0)
-        g = np.concatenate([np.bincount(index, (g0 + g1)[row] * worth, m), [-(g0 + g1).sum(), -g1.sum() * (t[1] - t[0])]]) / n
+        g = np.concatenate([data.by_feature(g0 + g1), [-(g0 + g1).sum(), -g1.sum() * (t[1] - t[0])]]) / n
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         step = rate / (np.sqrt(square / (1 - 0.99**i)) + 1e-6)
         x -= step * mean / (1 - 0.9**i)
@@ -127,14 +152,13 @@ def _descend(row: np.ndarray, index: np.ndarray, worth: np.ndarray, m: int, grad
     return w, t
 
 
-def _grades(row: np.ndarray, index: np.ndarray, worth: np.ndarray, m: int, toxic: np.ndarray) -> np.ndarray:
+def _grades(data: Sparse, toxic: np.ndarray) -> np.ndarray:
     """0 for a text that is not toxic; a toxic one has grade 2 if its markers are worth as much as in the median
     toxic text that has any. Markers are MARKS times likelier in toxic texts."""
     n, k = len(toxic), toxic.sum()
-    inside = np.bincount(index[toxic[row]], minlength=m)
-    outside = np.bincount(index, minlength=m) - inside
+    inside, outside = data.by_feature(toxic.astype(float), plain=True), data.by_feature((~toxic).astype(float), plain=True)
     marker = (inside + 0.5) / (k + 1) >= MARKS * (outside + 0.5) / (n - k + 1)
-    strength = np.bincount(row, marker[index] * worth, n)
+    strength = data.by_row(marker.astype(float))
     some = strength[toxic & (strength > 0)]
     return np.where(toxic, np.where(strength >= (np.median(some) if len(some) else np.inf), 2, 1), 0)
 
@@ -150,15 +174,17 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray, shri
     m = len(vocabulary)
     if m == 0:
         return Model({}, (30.0, 31.0))
-    rows, index, worth = [], [], []
-    for i, (f, k, n) in enumerate(texts):
+    sizes, index, worth = [], np.zeros(sum(len(f) for f, _, _ in texts), np.int32), np.zeros(sum(len(f) for f, _, _ in texts), np.float32)
+    end = 0
+    for f, k, n in texts:
         at = np.minimum(np.searchsorted(vocabulary, f), m - 1)
         hit = vocabulary[at] == f
-        rows.append(np.full(hit.sum(), i, np.int32))
-        index.append(at[hit].astype(np.int32))
-        worth.append(value(k[hit], n).astype(np.float32))
-    row, index, worth = (np.concatenate(x) for x in (rows, index, worth))
-    w, t = _descend(row, index, worth, m, _grades(row, index, worth, m, toxic), rounds, rate, shrink)
+        sizes.append(int(hit.sum()))
+        index[end : end + sizes[-1]] = at[hit]
+        worth[end : end + sizes[-1]] = value(k[hit], n)
+        end += sizes[-1]
+    data = Sparse(np.array(sizes), index[:end], worth[:end], m)
+    w, t = _descend(data, _grades(data, toxic), rounds, rate, shrink)
     keep = np.abs(w) > 1e-6
     return Model(dict(zip(vocabulary[keep].tolist(), w[keep].tolist())), (float(t[0]), float(t[1])))
 
@@ -174,9 +200,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     graded = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the bound that the broadcast has
     texts = pick(docs, id_col, text_col)
-    rows = map_arrow(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), hashes, "features binary, counts binary, n bigint, toxic int").collect()
-    rows = sorted((bytes(r.features), bytes(r.counts), r.n, r.toxic) for r in rows)
-    return fit([(np.frombuffer(f, np.uint32), np.frombuffer(k, np.uint16), n) for f, k, n, _ in rows], np.array([y > 0 for *_, y in rows]))
+    rows = map_arrow(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), hashes, "features binary, counts binary, n bigint, toxic int").toArrow()
+    columns = [rows.column(i).to_pylist() for i in range(4)]
+    del rows
+    order = sorted(range(len(columns[0])), key=lambda i: tuple(c[i] for c in columns))
+    found = [(np.frombuffer(columns[0][i], np.uint32), np.frombuffer(columns[1][i], np.uint16), columns[2][i]) for i in order]
+    return fit(found, np.array([columns[3][i] > 0 for i in order]))
 
 
 def severity(model: Model, text: Column) -> Column:

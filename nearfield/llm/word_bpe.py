@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST, MOST_IDS = 1_000_000, 1 << 24
+MOST, MOST_IDS = 500_000, 1 << 23
 #: New pieces go through the library so many at a time.
 TOGETHER = 1000
 #: The rules under which pieces may be encoded apart: white space is dropped, and a match of the pattern holds none.

@@ -14,7 +14,7 @@ import pytest
 from conftest import DATA, rows
 from pyspark.sql import functions as F
 
-from nearfield.llm import components, language_model, licenses, order_minhash, packing, piece_bpe, quality, secrets, simhash, token_store, toxicity, word_bpe
+from nearfield.llm import components, language_model, licenses, order_minhash, packing, piece_bpe, quality, secrets, shingles, simhash, token_store, toxicity, word_bpe
 from nearfield.llm.queries import QUERIES, SQL
 from nearfield.llm.shared import shared_dir
 
@@ -93,11 +93,78 @@ def test_quality_keep_returns_the_rows_themselves(spark, folder):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in quality.judge(df).where("kept").collect())
 
 
+def _plain_spans(text: str) -> list[tuple]:
+    """(label, start, end, score) of the notices in a text, by hand."""
+    words, out = text.split(), []
+    for notice, label in licenses.NOTICES:
+        own = notice.split()
+        grams = [own[i : i + 3] for i in range(len(own) - 2)]
+        votes: dict = {}
+        for pos in range(len(words) - 2):
+            for at, gram in enumerate(grams):
+                if words[pos : pos + 3] == gram:
+                    votes.setdefault(pos - at, set()).add(at)
+        groups: list = []
+        for d in sorted(votes):
+            if not groups or d - groups[-1][-1] > licenses.SLACK:
+                groups.append([])
+            groups[-1].append(d)
+        for group in groups:
+            covered = set().union(*(votes[d] for d in group))
+            start, end = min(d + min(votes[d]) for d in group), max(d + max(votes[d]) + 3 for d in group)
+            if len(covered) >= licenses.SHARE * len(grams) and end - start <= licenses.WIDER * len(own):
+                out.append((label, start, end, len(covered) / len(grams)))
+    return sorted(out)
+
+
 def test_merged_diagonals(spark):
-    df = spark.createDataFrame([(1, "redistribution and use in source and binary forms with or without any modification are permitted"), (2, "use in source forms")], "doc_id bigint, text string")
-    got = licenses.spans(df).where("label IS NOT NULL").collect()
-    assert [(r.doc_id, r.label) for r in got] in ([], [(1, "bsd")])
-    assert licenses.spans(df).where("base IS NULL AND label IS NULL OR label IS NOT NULL").count() >= 2
+    rng, rows = random.Random(17), [(0, "redistribution and use in source and binary forms with or without any modification are permitted"), (1, "use in source forms"), (2, "licensed under cc by licensed under cc by 4 0")]
+    for i in range(3, 300):
+        words = [w for n, _ in rng.choices(licenses.NOTICES, k=rng.randint(1, 3)) for w in n.split() + ["x"] * rng.choice([0, 0, 3])]
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([0, 1, 2])] = rng.choices(words + ["other"], k=rng.choice([0, 1, 2]))
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got: dict = {i: [] for i, _ in rows}
+    for r in licenses.spans(df).where("label IS NOT NULL AND NOT base").collect():
+        got[r.doc_id].append((r.label, r.start, r.end, r.score))
+    want = {i: _plain_spans(t) for i, t in rows}
+    assert {i: sorted(x) for i, x in got.items()} == want
+    assert sum(map(len, want.values())) > 200 and sum(s < 1 for x in want.values() for *_, s in x) > 30
+    assert want[0] == [("bsd", 0, 15, pytest.approx(10 / 12))] and want[1] == []
+
+
+def test_license_query_of_odd_rows(spark, tmp_path):
+    rows = [(None, None), (None, "under the mit license"), (1, ""), (2, "word " * 200_000 + "under the MIT license"), (2, "cc-by-nc"), (3, "a b")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS h", "2 AS at", "'x' AS label", "3 AS pos").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id or -1, r.n_words, r.n_base, r.first_word, r.base_labels, r.score) for r in licenses.op9_license_scans(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(-1, 0, 0, None, "", 0.0), (-1, 4, 1, 0, "mit", 1.0), (1, 0, 0, None, "", 0.0), (2, 200_004, 1, 200_000, "mit", 1.0), (2, 3, 1, 0, "cc-by-nc", 1.0), (3, 2, 0, None, "", 0.0)], key=str)
+
+
+def test_repeats_are_told_apart_by_words(spark, monkeypatch):
+    """With only a few bits of hash, different windows collide all the time."""
+    rng, rows = random.Random(19), []
+    for i in range(150):
+        rows.append((i, " ".join(rng.choice("abcdefghij"[: rng.randint(1, 10)]) for _ in range(rng.randint(0, 60)))))
+
+    def plain(text):
+        w = text.split()
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        return len({i + j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(3)})
+
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for bits in (64, 3):
+        if bits == 3:
+            monkeypatch.setattr(quality, "position_mask", lambda n: F.lit(-(1 << 61)))
+        got = {r.doc_id: r.n_repeat_words for r in quality.measure(df).collect()}
+        assert got == {i: plain(t) for i, t in rows}
+
+
+def test_redaction_of_very_many_spans(spark):
+    text = " ".join(f"token=abcdefgh{i:06d}" for i in range(20_000))
+    (r,) = secrets.redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert r.text == " ".join(["<secret>"] * 20_000)
 
 
 # Order min-hash.
@@ -424,6 +491,34 @@ def test_simhash_against_brute_force(spark, folder, docs):
     assert [c for _, _, c in got] == _roots([b for _, b in plain], [a for a, _ in plain])
 
 
+def test_crowded_cells_of_similar_texts(spark, monkeypatch):
+    """A large group of near copies whose members are mostly not similar to one another, among unrelated texts: the same
+    components as by all pairs, also where cells are cut into many blocks."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("aeioustrnl") for _ in range(rng.randint(3, 8)))
+    base, some = [word() for _ in range(120)], {}
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.randint(0, 7)):
+            w[rng.randrange(len(w))] = word()
+        some[i] = " ".join(w)
+    some |= {300 + i: " ".join(word() for _ in range(rng.randint(1, 90))) for i in range(60)}
+    want = _similar(some)
+    assert len({want[i] for i in range(260)}) > 20 and max(Counter(want.values()).values()) > 60
+    df = spark.createDataFrame(list(some.items()), "doc_id bigint, text string")
+    for block in (256, 16):
+        monkeypatch.setattr(shingles, "BLOCK", block)
+        assert {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()} == want
+    sets = [shingles.shingles(t.encode()) for t in some.values()]
+    keys = list(some)
+    for columns in (1 << 13, 64):
+        top = {k: k for k in keys}
+        for i, j in shingles.linked(sets, keys, columns=columns):
+            a, b = sorted((top[keys[i]], top[keys[j]]))
+            top = {k: a if v == b else v for k, v in top.items()}
+        assert top == want
+
+
 def test_bounds_hold():
     rng = random.Random(6)
     for _ in range(500):
@@ -620,6 +715,29 @@ def test_probabilities_sum_to_one():
     assert 0 < (10 ** layout.within[layout.tail + 1 :]).sum() < 1  # the counted words of the tail; the rest is for the others
 
 
+# Every operator.
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_rows_with_nulls_repeats_and_clashing_columns(spark, tmp_path, name):
+    """Null ids and texts, nulls in every other column, repeated rows and ids, empty and very long texts, and columns
+    named as the operators name theirs: each row has its result, as if the extra columns were not there."""
+    rng = random.Random(23)
+    some = [" ".join(rng.choice(PROSE.split()) for _ in range(60)) for _ in range(6)]
+    long = " ".join(rng.choice(PROSE.split()) for _ in range(60_000))
+    rows = [(None, None), (None, some[0]), (None, some[0]), (1, None), (1, some[1]), (2, ""), (2, ""), (3, long), *((10 + i, t) for i, t in enumerate(some))]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang", "CAST(NULL AS string) AS source", "CAST(NULL AS bigint) AS n_chars")
+    clash = plain.selectExpr("*", *(f"{i} AS `{c}`" for i, c in enumerate(("row", "key", "tie", "bucket", "words", "lines", "h", "at", "fp", "node", "root", "kind", "spans", "p", "c", "range", "ids", "toxic", "features", "__row"))))
+    found = []
+    for folder, df in (("plain", plain), ("clash", clash)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 1, 1), (1, 0, None), (12, 1, 0), (13, 0, 1)], "doc_id bigint, quality int, toxic int").selectExpr("*", "'x' AS text").write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+        got = QUERIES[name](spark, f"{tmp_path}/{folder}").toPandas()
+        found.append(sorted(got.astype(str).itertuples(index=False, name=None)))
+        if name != "op10_packing":
+            assert Counter(got.doc_id.astype("Int64").fillna(-1).tolist()) == Counter(-1 if i is None else i for i, _ in rows)
+    if name != "op2_language_model":  # its sums come in any order
+        assert found[0] == found[1]
+
+
 # The pipeline.
 def test_pipeline_drops_copies_of_similarity_0_8(spark):
     """Against all pairs of the documents of 50 words or more."""
@@ -644,18 +762,90 @@ def test_pipeline_drops_copies_of_similarity_0_8(spark):
     assert sorted(r.doc_id for r in pipeline.keep_one_of_each(spark, df, "").collect()) == [i for i in ids if root[i] == i]
 
 
-def test_pipeline_stages(spark, folder):
+def _similar(texts: dict) -> dict:
+    """Key -> component of texts of 0.8 similar sets of five-word shingles, by all pairs."""
+    sets = {}
+    for k, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[k] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    root = {k: k for k in sets}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(sets)
+    for n, a in enumerate(keys):
+        for b in keys[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if (not x and not y) or min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) > 0 and len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    return {k: top(k) for k in keys}
+
+
+def test_pipeline_stages_against_brute_force(spark, oracle, tmp_path):
+    """Each stage, on what the one before has kept, by plain means: the model text by text, SQL, all pairs, spans put in
+    by hand, and every id packed once."""
     pipeline = pytest.importorskip("corpus_pipeline")
+    d = f"{DATA}/sf0.01"
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "secrets", "packing"]
-    df = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
-    columns, before = df.columns, df
-    for name, stage in pipeline.STAGES[:-1]:
-        after = pipeline.written(stage(spark, before, f"{DATA}/sf0.001"))
-        assert after.columns == columns
-        if name == "near_duplicates":
-            ids = sorted((r.doc_id, r.text) for r in before.collect())
-            fps = [simhash.fingerprint(t.encode()) for _, t in ids]
-            assert sorted(r.doc_id for r in after.collect()) == sorted(set(_roots(fps, [i for i, _ in ids])))
-        before = after
-    pieces = pipeline.pack(spark, before, f"{DATA}/sf0.001")
-    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in before.collect()}
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    key = lambda r: (r.doc_id, r.text)
+    stage = {n: f for n, f in pipeline.STAGES}
+    before = docs
+    rows_of = lambda df: {r.doc_id: r.text for r in df.collect()}
+
+    after = pipeline.written(stage["toxicity"](spark, before, d))
+    model = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    assert after.columns == docs.columns
+    assert sorted(map(key, after.collect())) == sorted(key(r) for r in before.collect() if model.severity(r.text.encode())[0] < toxicity.THRESHOLD)
+
+    before = after
+    before.coalesce(1).write.parquet(f"{tmp_path}/q/documents.parquet")
+    after = pipeline.written(stage["quality"](spark, before, d))
+    judged = oracle(quality.sql(), f"{tmp_path}/q")
+    assert sorted(r.doc_id for r in after.collect()) == sorted(judged[judged.kept].doc_id) and after.columns == docs.columns
+    assert {k: v for k, v in rows_of(before).items() if k in rows_of(after)} == rows_of(after)
+
+    before, after = after, pipeline.written(stage["near_duplicates"](spark, after, d))
+    root = _similar(rows_of(before))
+    assert len(set(root.values())) < len(root)
+    assert rows_of(after) == {i: t for i, t in rows_of(before).items() if root[i] == i} and after.count() == len(set(root.values()))
+
+    before, after = after, pipeline.written(stage["secrets"](spark, after, d))
+    old, spans = rows_of(before), {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.scan(before).collect()}
+    for r in after.collect():
+        text, out, at = old[r.doc_id], "", 0
+        for a, b in spans[r.doc_id]:
+            if a >= at:
+                out += text[at:a] + "<secret>"
+            at = max(at, b)
+        assert r.text == out + text[at:] and r.n_chars == len(r.text)
+    assert any(spans.values()) and after.count() == before.count()
+
+    pieces = pipeline.pack(spark, after, d).toPandas()
+    left = {r.doc_id: len(_ids(r.text)) for r in after.collect()}
+    assert pieces.groupby("doc_id").length.sum().to_dict() == left and pieces.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No rows; null ids and texts; an id with two different texts; clashing columns."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(29)
+    prose = lambda: " ".join(rng.choice(PROSE.split()) + rng.choice("abcdefgh") * rng.randint(0, 3) for _ in range(120)) + "."
+    some = [prose() for _ in range(6)]
+    rows = [(None, some[0]), (None, some[0]), (None, None), (4, some[1]), (4, some[2]), (5, some[2]), (6, some[3]), (6, some[3]), (7, None), (8, some[4] + " token=abcdefgh12"), (9, some[4])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS bigint) AS n_chars", "1 AS __id", "2 AS mark", "3 AS root", "4 AS node")
+    kept = [(r.doc_id, r.text) for r in pipeline.keep_one_of_each(spark, df.drop("__id"), "").collect()]
+    want = [(None, some[0]), (None, some[0]), (None, None), (4, some[1]), (4, some[2]), (6, some[3]), (7, None), (8, some[4] + " token=abcdefgh12")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    spark.createDataFrame([(1, 1, 1), (4, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (df.drop("__id"), df.drop("__id").limit(0)):
+        before = table
+        for name, stage in pipeline.STAGES[:-1]:
+            before = pipeline.written(stage(spark, before, str(tmp_path)))
+            assert before.columns == table.columns, name
+        pieces = pipeline.pack(spark, before, str(tmp_path)).collect()
+        assert {r.doc_id for r in pieces} == {r.doc_id for r in before.collect()}
