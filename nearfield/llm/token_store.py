@@ -1,7 +1,7 @@
 """Binary files of token ids with a shared zstandard dictionary.
 
 The dictionary is trained on the serialized ids of a bounded sample of documents: of the SAMPLE document ids that
-hash lowest among texts of at most SAMPLE_CHARS code points, one whole text each. A sample too small to train on is itself
+hash lowest, one whole text each, if it has at most SAMPLE_CHARS code points. A sample too small to train on is itself
 the dictionary, as raw content. Every document is compressed by itself with it, so one document is read without its
 neighbours. A file holds, little-endian:
 
@@ -49,13 +49,15 @@ MAGIC, HEAD = b"NFTOKEN1", 44
 NULL_ID = LEAST
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 2000, 1 << 15, 1 << 16, 3
 ROWS_PER_FILE, FILE_BYTES = 2048, 1 << 25
+#: Different pieces of text whose ids a worker keeps.
+KEPT = 1_000_000
 END = 2
 
 
 def _encoded(texts: pa.Array, path: str, end: int, wide: int) -> list[bytes]:
     kind = "<u2" if wide == 2 else "<u4"
     last = np.array([end], kind).tobytes()
-    return [x.astype(kind).tobytes() + last for x in word_bpe(path).encode(texts)]
+    return [x.astype(kind).tobytes() + last for x in word_bpe(path, KEPT).encode(texts)]
 
 
 def train(docs: DataFrame, path: str, end: int, wide: int) -> bytes:
@@ -66,9 +68,8 @@ def train(docs: DataFrame, path: str, end: int, wide: int) -> bytes:
             for part in parts(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(_encoded(part.column(1), path, end, wide), pa.binary())], ["ids"])
 
-    short = docs.where(F.length("text") <= SAMPLE_CHARS)
-    chosen = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    texts = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    texts = docs.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= SAMPLE_CHARS).groupBy("doc_id").agg(F.min("text").alias("text"))
     samples = sorted(bytes(r.ids) for r in map_arrow(texts, ids, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()

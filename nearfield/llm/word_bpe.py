@@ -3,8 +3,8 @@
 Where the file's rules allow it (they drop white space, let no token span it, and mark each word's last token),
 a text's ids are those of its pieces between white space, one after another. Arrow splits a batch's texts and
 finds the different pieces; a piece's ids lie in one flat array that a worker keeps, and a text's ids are
-gathered from there. New pieces go through the library many at a time. When the store holds MOST pieces or MOST_IDS
-ids, only those that were met in several batches stay, so memory is bounded. Files with other rules encode whole texts
+gathered from there. New pieces go through the library many at a time. When the store holds MOST pieces (or as many as
+the caller says) or MOST_IDS ids, only those that were met in several batches stay, so memory is bounded. Files with other rules encode whole texts
 in the library.
 """
 
@@ -44,7 +44,8 @@ def _by_piece(rules: dict) -> bool:
 
 
 class WordBpe:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int | None = None) -> None:
+        self.most = most or MOST
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core
         from tokenizers import Tokenizer
 
@@ -90,7 +91,7 @@ class WordBpe:
         n = len(self.known)
         met, lengths = self.met[:n], self.lengths[:n]
         least = 2
-        while (stay := met >= least).sum() > MOST // 2 or lengths[stay].sum() > MOST_IDS // 2:
+        while (stay := met >= least).sum() > self.most // 2 or lengths[stay].sum() > MOST_IDS // 2:
             least *= 2
         kept = [p for p, s in self.known.items() if stay[s] and p]
         ids, ends = self._gathered(np.array([self.known[p] for p in kept], np.int64))
@@ -127,7 +128,7 @@ class WordBpe:
         """Each text's ids, as unsigned 32-bit integers."""
         if not self.by_piece:
             return self._library(texts.to_pylist())
-        if len(self.known) > MOST or self.used > MOST_IDS:
+        if len(self.known) > self.most or self.used > MOST_IDS:
             self._trim()
         odd = pc.match_substring(texts, _SPECIAL)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))
@@ -149,9 +150,9 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def word_bpe(path: str) -> WordBpe:
-    """One encoder a worker process."""
-    return WordBpe(path)
+def word_bpe(path: str, most: int | None = None) -> WordBpe:
+    """One encoder a worker process. most: pieces that it keeps, MOST unless given."""
+    return WordBpe(path, most)
 
 
 def parts(batch: pa.RecordBatch, text: int = 1, rows: int = 4096, size: int = 1 << 23):

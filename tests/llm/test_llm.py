@@ -322,11 +322,8 @@ def test_word_bpe_equals_the_library():
     own._empty()
     assert [x.tolist() for x in own.encode(pa.array(some[::-1]))] == want[::-1]
     for text in some[:30]:  # a store that is too full is trimmed on the way
-        word_bpe.MOST, before = 20, word_bpe.MOST
-        try:
-            assert own.encode(pa.array([text, some[0]]))[0].tolist() == want[some.index(text)]
-        finally:
-            word_bpe.MOST = before
+        own.most = 20
+        assert own.encode(pa.array([text, some[0]]))[0].tolist() == want[some.index(text)]
     own.by_piece = False  # as for a file with other rules
     assert [x.tolist() for x in own.encode(pa.array(some[:50]))] == want[:50]
     assert not word_bpe.WordBpe(public_tokenizers.path("byte_bpe_50k.json")).by_piece
