@@ -23,10 +23,10 @@ are all words of one count may leave no head, and then all words are the tail. T
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,15 +47,22 @@ TOGETHER, SEGMENT = 1_000_000, 2048
 SCORED = 3_000_000
 #: Tokens of a full window: gradients are shares of it, so that a window of few lanes moves the weights less.
 FULL = LANES * WINDOW
+#: Bytes of text that are split into words at a time, unless one text has more.
+SPLIT = 1 << 21
+#: Tokens whose classes are worked out at a time, so that they stay near the processor.
+BLOCK = 1024
 #: Different words that a task counts before it hands them on; weights a row when they are averaged.
 MOST_WORDS, ROW = 600_000, 16_384
 LOG10 = np.log(10)
 FOLDS, HELD_OUT = 5, 1
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words, A-Z in lower case."""
-    return text.lower().split()
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, A-Z in lower case, and where each text's end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, ends = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+    some = pc.binary_length(words).to_numpy() > 0  # a split leaves empty ends
+    return words.filter(pa.array(some)), np.concatenate([[0], np.cumsum(some)])[ends]
 
 
 class Layout:
@@ -68,7 +75,7 @@ class Layout:
         n = min(head, len(counted))
         c = np.array([x for _, x in counted], float)
         self.n, self.end, self.tail = n, n, n + 1
-        self.index = {w: i if i < n else i + 2 for i, (w, _) in enumerate(counted)}
+        self.counted = pa.array([w for w, _ in counted], pa.binary())
         first = [0]
         for upto, size in CLASSES:
             while first[-1] < min(n, upto):
@@ -93,10 +100,24 @@ class Layout:
         self.within = np.where(np.arange(len(more)) > n, more - np.log10(tail_mass), 0.0)
         self.known = np.concatenate([np.ones(n, bool), [ends > 0, False], np.ones(len(c) - n, bool)])
 
+    @property
+    def index(self) -> dict[bytes, int]:
+        """The counted words' numbers."""
+        return {w: i if i < self.n else i + 2 for i, w in enumerate(self.counted.to_pylist())}
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Each word's token number."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.counted), -1).to_numpy()
+        return np.where(at < 0, self.tail, at + 2 * (at >= self.n)).astype(np.int32)
+
+    def ended(self, numbers: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Each text's token numbers, the end last."""
+        flat, after = np.insert(numbers, ends, self.end), (ends + np.arange(1, len(ends) + 1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *after], after)]
+
     def read(self, words: list[bytes]) -> np.ndarray:
-        """Token numbers, the end last."""
-        get, tail = self.index.get, self.tail
-        return np.array([*[get(w, tail) for w in words], self.end], np.int32)
+        """One text's token numbers, the end last."""
+        return self.ended(self.numbers(pa.array(words, pa.binary())), np.array([len(words)]))[0]
 
 
 def dealt(sizes: np.ndarray, lanes: int) -> list[list[int]]:
@@ -110,14 +131,6 @@ def dealt(sizes: np.ndarray, lanes: int) -> list[list[int]]:
     return sorted(own, key=lambda o: -int(sizes[o].sum()))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 class Model:
     """weights: what the unit reads, its recurrence, the classes' and the words' outputs (their bias last)."""
 
@@ -131,16 +144,24 @@ class Model:
         self.weights = weights
         self.squares = [np.full(w.shape, 1e-8, w.dtype) for w in weights]
 
-    def _step(self, inputs: np.ndarray, h: np.ndarray, keep: list | None) -> np.ndarray:
-        """The state after reading the inputs."""
-        wx, u = self.weights[:2]
-        x, y = wx[inputs], h @ u
-        gates = _sigmoid(x[:, : 2 * STATE] + y[:, : 2 * STATE])
-        z, r = gates[:, :STATE], gates[:, STATE:]
-        n = np.tanh(x[:, 2 * STATE :] + r * y[:, 2 * STATE :])
-        if keep is not None:
-            keep.append([inputs, h, z, r, n, y[:, 2 * STATE :]])
-        return n + z * (h - n)
+    def _steps(self, x: np.ndarray, h: np.ndarray, y: np.ndarray, keep: np.ndarray, first: int) -> None:
+        """From step `first` on, h[t + 1] gets the state after h[t]; a lane's numbers stand in a column. x: what the read
+        inputs add, the gates' negated; it becomes the gates and what is new. y: becomes what the recurrence adds."""
+        u = self.weights[1].T.copy()
+        u[: 2 * STATE] *= -1
+        for t in range(first, len(x)):
+            gates, n, add, after = x[t, : 2 * STATE], x[t, 2 * STATE :], y[t], h[t + 1]
+            np.dot(u, h[t], out=add)
+            gates += add[: 2 * STATE]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            n += gates[STATE:] * add[2 * STATE :]
+            np.tanh(n, out=n)
+            np.subtract(h[t], n, out=after)
+            after *= gates[:STATE]
+            after += n
+            after *= keep[t]
 
     def _update(self, i: int, at, gradient: np.ndarray) -> None:
         """A step down the gradient of the i-th weights, less the more gradient they have had."""
@@ -154,71 +175,75 @@ class Model:
         the outputs and gives the gradient of the loss over FULL by state."""
         layout, (_, _, by_class, by_word) = self.layout, self.weights
         cls, n = layout.cls[target], len(target)
-        at = np.arange(n)
-        e = states @ by_class.T
-        out = e[at, cls].astype(float)
-        np.exp(e, out=e)
-        s = e.sum(1)
-        out -= np.log(s)
-        back = None
+        one = np.ones(max(layout.classes, *np.diff(layout.first), 1), states.dtype)
+        p, sums = np.zeros(n, states.dtype), np.ones(n, states.dtype)
+        back, gradient = (np.zeros_like(states), np.zeros_like(by_class)) if learn else (None, None)
+        for lo in range(0, n, BLOCK):
+            hi = min(lo + BLOCK, n)
+            x = states[lo:hi]
+            e = x @ by_class.T
+            flat, own = e.ravel(), np.arange(0, e.size, layout.classes) + cls[lo:hi]
+            p[lo:hi] = flat[own]
+            np.exp(e, out=e)
+            s = np.matmul(e, one[: layout.classes], out=sums[lo:hi])
+            if learn:
+                flat[own] -= s
+                share = (1 / (s * FULL))[:, None]
+                np.multiply(e @ by_class, share, out=back[lo:hi])
+                gradient += e.T @ (x * share)
+        out = p.astype(float) - np.log(sums)
         if learn:
-            e[at, cls] -= s
-            share = (1 / (s * FULL))[:, None]
-            back = (e @ by_class) * share
-            self._update(2, slice(None), e.T @ (states * share))
+            self._update(2, slice(None), gradient)
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(layout.heads + 1)).tolist()
+        order = order[: bounds[-1]]
         states, target = states[order], target[order]
-        within, own_back = np.zeros(n), np.zeros_like(states)
-        for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        p, sums = np.zeros(len(order), states.dtype), np.ones(len(order), states.dtype)
+        own_back, gradient = np.zeros_like(states), np.zeros_like(by_word) if learn else None
+        for lo, hi, a, b in zip(bounds, bounds[1:], layout.first, layout.first[1:]):
             if lo == hi:
                 continue
-            a, b = layout.first[k], layout.first[k + 1]
             x, w = states[lo:hi], by_word[a:b]
             e = x @ w.T
-            place = (at[: hi - lo], target[lo:hi] - a)
-            p = e[place].astype(float)
+            flat, own = e.ravel(), np.arange(-a, (hi - lo) * (b - a) - a, b - a) + target[lo:hi]
+            p[lo:hi] = flat[own]
             np.exp(e, out=e)
-            s = e.sum(1)
-            within[lo:hi] = p - np.log(s)
+            s = np.matmul(e, one[: b - a], out=sums[lo:hi])
             if learn:
-                e[place] -= s
+                flat[own] -= s
                 share = (1 / (s * FULL))[:, None]
-                own_back[lo:hi] = (e @ w) * share
-                self._update(3, slice(a, b), e.T @ (x * share))
-        out[order] += within
+                np.multiply(e @ w, share, out=own_back[lo:hi])
+                np.matmul(e.T, x * share, out=gradient[a:b])
+        out[order] += p.astype(float) - np.log(sums)
         if learn:
+            self._update(3, slice(None), gradient)  # no gradient, no step
             back[order] += own_back
         return out, back
 
-    def _back(self, kept: list, back: np.ndarray, sizes: list[int]) -> None:
-        """Through the window's steps, from the last."""
-        u = self.weights[1]
-        later, of_u, inputs, of_x = np.zeros((0, STATE), back.dtype), np.zeros_like(u), [], []
-        for keep, end, n in zip(reversed(kept), reversed(np.cumsum(sizes).tolist()), reversed(sizes)):
-            dh = back[end - n : end, :STATE].copy()
-            dh[: len(later)] += later
-            if keep is None:
-                break
-            read, h, z, r, new, y, first = keep
-            dh[first] = 0
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (h - new) * z * (1 - z)
-            dr = dn * y * r * (1 - r)
-            dx = np.concatenate([dz, dr, dn], 1)
-            inputs.append(read)
-            of_x.append(dx)
-            by_u = dx.copy()
-            by_u[:, 2 * STATE :] *= r
-            of_u += h.T @ by_u
-            later = dh * z + by_u @ u.T
-        if inputs:
-            read, of_x = np.concatenate(inputs), np.concatenate(of_x)
-            order = np.argsort(read, kind="stable")
-            read = read[order]
-            starts = np.flatnonzero(np.diff(read.astype(np.int32), prepend=-1))
-            self._update(0, read[starts], np.add.reduceat(of_x[order], starts, axis=0))
-            self._update(1, slice(None), of_u)
+    def _back(self, read: np.ndarray, x: np.ndarray, h: np.ndarray, y: np.ndarray, keep: np.ndarray, back: np.ndarray) -> None:
+        """Through steps that _steps went, from the last. back: the gradient by state, of that step alone."""
+        u, z, r, n, y, before = self.weights[1], x[:, :STATE], x[:, STATE : 2 * STATE], x[:, 2 * STATE :], y[:, 2 * STATE :], h[:-1]
+        of_n, of_z, of_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), y * r * (1 - r)
+        of_x, of_h = np.empty((2, *x.shape), x.dtype)
+        later = np.zeros_like(h[0])
+        for t in reversed(range(len(x))):
+            dh, dx, by_u = back[t], of_x[t], of_h[t]
+            dh += later
+            dh *= keep[t]
+            np.multiply(dh, of_z[t], out=dx[:STATE])
+            dn = np.multiply(dh, of_n[t], out=dx[2 * STATE :])
+            np.multiply(dn, of_r[t], out=dx[STATE : 2 * STATE])
+            by_u[: 2 * STATE] = dx[: 2 * STATE]
+            np.multiply(dn, r[t], out=by_u[2 * STATE :])
+            np.dot(u, by_u, out=later)
+            dh *= z[t]
+            later += dh
+        read = read.ravel()
+        order = np.argsort(read, kind="stable")
+        read, of_x = read[order], np.ascontiguousarray(of_x.transpose(0, 2, 1)).reshape(-1, 3 * STATE)[order]
+        starts = np.flatnonzero(np.diff(read.astype(np.int32), prepend=-1))
+        self._update(0, read[starts], np.add.reduceat(of_x, starts, axis=0))
+        self._update(1, slice(None), np.matmul(before, of_h.transpose(0, 2, 1)).sum(0))
 
     def run(self, texts: list[np.ndarray], learn: bool = False) -> np.ndarray:
         """Natural log P of each text's tokens, without the tail's shares; to learn, updates the weights window by
@@ -237,55 +262,56 @@ class Model:
         opens[np.cumsum(sizes[line]) - sizes[line]] = True
         length = np.array([sizes[o].sum() for o in lanes])
         place, inputs = np.cumsum(length) - length, layout.input[flat]
-        h = np.zeros((len(lanes), STATE), self.weights[1].dtype)
-        for start in range(0, int(length[0]), window):
-            states, at, kept = [], [], []
-            for t in range(start, min(start + window, int(length[0]))):
-                now = int(np.searchsorted(-length, -t, "left"))  # lanes that are longer than t
-                here, h = place[:now] + t, h[:now]
-                if t:
-                    h = self._step(inputs[here - 1], h, kept if learn else None)
-                    first = opens[here]
-                    h[first] = 0
-                    if learn:
-                        kept[-1].append(first)
-                else:
-                    kept.append(None)
-                states.append(h)
-                at.append(here)
-            at = np.concatenate(at)
-            with_one = np.ones((len(at), STATE + 1), h.dtype)
-            np.concatenate(states, out=with_one[:, :STATE])
-            p, back = self._output(with_one, flat[at], learn)
+        live = np.searchsorted(-length, -np.arange(length[0]), "left")  # by step: lanes that are longer
+        kind = self.weights[1].dtype
+        last = np.zeros((STATE, len(lanes)), kind)
+        for start in range(0, len(live), window):
+            steps = live[start : start + window]
+            t, k, first = len(steps), int(steps[0]), int(start == 0)  # before the first token nothing was read
+            at = np.minimum(place[:k] + np.arange(start, start + t)[:, None], len(flat) - 1)
+            some = (np.arange(k) < steps[:, None]).ravel()  # lanes that ended in this window are read on, for nothing
+            read, keep = inputs[at - 1], (~opens[at]).astype(kind)[:, None]
+            x = np.ascontiguousarray(self.weights[0][read].transpose(0, 2, 1))
+            x[:, : 2 * STATE] *= -1
+            h, y = np.zeros((t + 1, STATE, k), kind), np.empty_like(x)
+            h[0] = last[:, :k]
+            self._steps(x, h, y, keep, first)
+            last, states = h[t], np.ones((t, k, STATE + 1), kind)
+            states[:, :, :STATE] = h[1:].transpose(0, 2, 1)
+            at, states = at.ravel()[some], states.reshape(-1, STATE + 1)[some]
+            p, back = self._output(states, flat[at], learn)
             total += np.bincount(owner[at], p, len(texts))
-            if learn:
-                self._back(kept, back, [len(x) for x in states])
+            if learn and t > first:
+                of_h = np.zeros((t * k, STATE), kind)
+                of_h[some] = back[:, :STATE]
+                of_h = np.ascontiguousarray(of_h.reshape(t, k, STATE).transpose(0, 2, 1))
+                self._back(read[first:], x[first:], h[first:], y[first:], keep[first:], of_h[first:])
         if learn:
             for w in self.weights[2:]:  # so that no exponential overflows
                 np.clip(w[:, :STATE], -MOST_WEIGHT, MOST_WEIGHT, out=w[:, :STATE])
         return total
 
 
-def _binary(column) -> list[bytes]:
-    return column.cast(pa.binary()).to_pylist()
-
-
 def count(texts: DataFrame) -> DataFrame:
     """word (binary) and c over all texts. Each task sums up what it reads, a bounded number of words at a time."""
 
-    def rows(it):
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "c"])
+    def summed(found: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
-        found: Counter = Counter()
+    def rows(it):
+        found, size = [], 0
         for batch in it:
-            for text in _binary(batch.column(0)):
-                found.update(tokens(text))
-                if len(found) > MOST_WORDS:
-                    yield batch_of(found)
-                    found.clear()
-        if found:
-            yield batch_of(found)
+            for part in parts(batch, text=0, size=SPLIT):
+                words, c = pc.value_counts(tokens(part.column(0))[0]).flatten()
+                found.append(pa.table([words, c], ["word", "c"]))
+                size += len(words)
+                if size > 2 * MOST_WORDS:
+                    found = [summed(found)]
+                    if (size := len(found[0])) > MOST_WORDS:
+                        yield from found[0].to_batches()
+                        found, size = [], 0
+        if size:
+            yield from summed(found).to_batches()
 
     return map_arrow(texts.select("text"), rows, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -333,14 +359,15 @@ def fit(train: DataFrame, counts: DataFrame) -> tuple[Model, int]:
             layout, weights = now.value
             own, waiting, size, n = Model(layout, [w.copy() for w in weights]), [], 0, 0
             for batch in it:
-                for text in _binary(batch.column(0)):
-                    ids = layout.read(tokens(text))
-                    waiting += [ids[i : i + SEGMENT] for i in range(0, len(ids), SEGMENT)]
-                    size += len(ids)
-                    n += len(ids)
-                    if size >= TOGETHER:
-                        own.run(waiting, learn=True)
-                        waiting, size = [], 0
+                for part in parts(batch, text=0, size=SPLIT):
+                    words, ends = tokens(part.column(0))
+                    for ids in layout.ended(layout.numbers(words), ends):
+                        waiting += [ids[i : i + SEGMENT] for i in range(0, len(ids), SEGMENT)]
+                        size += len(ids)
+                        n += len(ids)
+                        if size >= TOGETHER:
+                            own.run(waiting, learn=True)
+                            waiting, size = [], 0
             own.run(waiting, learn=True)
             if n:
                 task, flat = TaskContext.get().partitionId(), n * np.concatenate([w.ravel() for w in own.weights]).astype(float)
@@ -358,6 +385,15 @@ def fit(train: DataFrame, counts: DataFrame) -> tuple[Model, int]:
     return model, total
 
 
+def uncounted(words: pa.Array, at: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The different words at these places and how often each occurs, as a list for each text."""
+    found = words.take(pa.array(at)).dictionary_encode()
+    kinds = max(1, len(found.dictionary))
+    keys, times = np.unique(np.searchsorted(ends, at, "right") * kinds + found.indices.to_numpy(), return_counts=True)
+    bounds = pa.array(np.searchsorted(keys, np.arange(len(ends) + 1) * kinds), pa.int32())
+    return tuple(pa.ListArray.from_arrays(bounds, x) for x in (found.dictionary.take(pa.array(keys % kinds)), pa.array(times, pa.int64())))
+
+
 def scored(docs: DataFrame, model: Model, total: int, counts: DataFrame) -> DataFrame:
     """docs: doc_id, text, held_out. A row for each, see score."""
     held = docs.sparkSession.sparkContext.broadcast((model.layout, model.weights))
@@ -367,12 +403,12 @@ def scored(docs: DataFrame, model: Model, total: int, counts: DataFrame) -> Data
         own, waiting, read, tails = Model(layout, weights), [], [], []
 
         def batch_of():
-            sums = [[len(x), int(layout.known[x].sum()), float(layout.base[x].sum()), float(layout.within[x].sum())] for x in read]
-            n, known, base, within = zip(*sums)
-            p = own.run(read) / LOG10 + np.array(within)
+            n, flat = np.array([len(x) for x in read]), np.concatenate(read)
+            known, base, within = (np.add.reduceat(x[flat], np.cumsum(n) - n) for x in (layout.known.astype(np.int64), layout.base, layout.within))
+            p = own.run(read) / LOG10 + within
             first = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
             out = pa.RecordBatch.from_arrays(
-                [*first.columns, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(p), pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int64()))],
+                [*first.columns, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(p), *(pa.concat_arrays(x) for x in zip(*tails))],
                 ["row", "doc_id", "held_out", "n_tokens", "known", "base", "p", "tail", "times"],
             )
             for x in (waiting, read, tails):
@@ -381,13 +417,13 @@ def scored(docs: DataFrame, model: Model, total: int, counts: DataFrame) -> Data
 
         size = 0
         for batch in it:
-            for part in parts(batch, text=3):
-                for text in _binary(part.column(3)):
-                    words = tokens(text)
-                    ids = layout.read(words)
-                    read.append(ids)
-                    tails.append(Counter(words[i] for i in np.flatnonzero(ids == layout.tail).tolist()))
-                    size += len(ids)
+            for part in parts(batch, text=3, size=SPLIT):
+                words, ends = tokens(part.column(3))
+                numbers = layout.numbers(words)
+                ids = layout.ended(numbers, ends)
+                read += ids
+                size += len(numbers) + len(ids)
+                tails.append(uncounted(words, np.flatnonzero(numbers == layout.tail), ends))
                 waiting.append(part.select([0, 1, 2]))
                 if size >= SCORED:
                     yield batch_of()

@@ -613,6 +613,24 @@ def _language(spark, texts_by_id: dict):
     return df, {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts_by_id}, {i: [*(t or "").encode().lower().split(), None] for i, t in texts_by_id.items()}
 
 
+def test_language_model_reads_like_plain_python():
+    """Many texts at once, in Arrow: words, numbers and uncounted words equal those of each text by itself."""
+    rng = random.Random(6)
+    some = [t or "" for t in texts()] + ["", " ", "a\u00a0b\x1c\x85c \x0b\x0c\rD", "\u2003x y", *(" ".join(rng.choices(["The", "the", "dog", "É", "é", "\n", "zz"], k=9)) for _ in range(50)), ""]
+    want = [t.encode().lower().split() for t in some]
+    layout = language_model.Layout(Counter(w for ws in want for w in ws).most_common(40), len(some), 10**6, 10**5, head=12)
+    for column, lists in ((pa.array(some), want), (pa.array(some).slice(7, 30), want[7:37]), (pa.array([], pa.string()), []), (pa.array([""]), [[]])):
+        words, ends = language_model.tokens(column)
+        assert words.to_pylist() == [w for ws in lists for w in ws] and ends.tolist() == np.cumsum([len(ws) for ws in lists], dtype=int).tolist()
+        numbers = layout.numbers(words)
+        own = [[layout.index.get(w, layout.tail) for w in ws] for ws in lists]
+        assert [x.tolist() for x in layout.ended(numbers, ends)] == [[*x, layout.end] for x in own]
+        if lists:
+            tail, times = language_model.uncounted(words, np.flatnonzero(numbers == layout.tail), ends)
+            rest = [Counter(w for w in ws if w not in layout.index) for ws in lists]
+            assert [dict(zip(*x)) for x in zip(tail.to_pylist(), times.to_pylist())] == rest
+
+
 def test_language_model_against_a_plain_one(spark, monkeypatch):
     """The base columns and the score of every text, token by token, with a head and a counted list that leave some
     words to the tail and some to the join."""
