@@ -1,10 +1,11 @@
 """SentencePiece byte-pair encoding in vectorised merge rounds, and decoding.
 
 A text is cut where no piece of the vocabulary can reach across: before a space mark that follows another
-character, and around characters that stand in no longer piece. Different parts are encoded together: all
-their symbols lie in one flat numpy array with the number of their part. A round looks up the rank of each
-neighbouring pair within a part, takes each part's lowest rank, merges every occurrence of that pair from the
-left without overlap, and drops the merged symbols from the arrays; rounds go on until no pair has a rank.
+character, around characters that stand in no longer piece, and between ASCII characters that stand side by side in no
+piece. Different parts are encoded together: all their symbols lie in one flat numpy array with the number of their
+part. A round takes each part's lowest rank of a neighbouring pair, merges every occurrence of that pair from the
+left without overlap, looks up the ranks of the pairs that are new, and drops the merged symbols from the arrays; rounds
+go on until no pair has a rank.
 
 The library merges one pair at a time. Merging all occurrences at once gives the same unless a merge makes a
 pair that ranks before the one just merged, in a part where that pair occurred more than once; such a part is
@@ -12,7 +13,8 @@ encoded again one merge at a time, as is one where several pairs merge by a scor
 of more than LONG characters, which would hold up the rounds of all others: a heap of pairs over linked neighbours, so
 n log n in its length.
 
-Parts that were encoded are kept by a worker, up to MOST of MOST_CHARS characters, so a frequent word is worked out once.
+Arrow finds a batch's different parts. Those that were encoded are kept by a worker, up to MOST of MOST_CHARS
+characters, with their ids in one flat array, so a frequent word is worked out once and a text's ids are gathered.
 
 Cases: null counts as empty, which has no ids and decodes to the empty text; a null id is carried along; repeated
 rows give a row each; other columns are not read. Texts are taken whole. A literal space mark decodes to a space, as in the library.
@@ -23,19 +25,22 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
-import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from .text import pick
-from .word_bpe import batches
+from .word_bpe import parts as split_batch
 
 MARK, MOST, MOST_CHARS, LONG, NONE = "▁", 400_000, 1 << 24, 200, np.iinfo(np.int64).max
+#: Bytes of text that are encoded at a time, unless one text has more; slots of the table of pairs, as a power of two.
+SPLIT, SLOTS = 1 << 21, 19
 codecs.register_error("nearfield_bytes", lambda e: ("�", e.start + 1))  # one mark for each byte
 
 
@@ -65,44 +70,78 @@ class PieceBpe:
                     pairs[a * n + b] = i
         self.pairs = pairs
         keys = np.array(sorted(pairs), np.int64)
-        self.keys, self.merged = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
+        self.merged = np.array([pairs[k] for k in keys.tolist()] + [0], np.int64)
         self.shared = np.append(shared, False)  # by rank; the last stands for none
-        self.ranks = np.array([self.rank[m] for m in self.merged.tolist()], np.int64)
+        self.ranks = np.array([self.rank[m] for m in self.merged[:-1].tolist()] + [NONE], np.int64)
+        # an open table: a key lies in the first free slot from its own on
+        self.slots, self.at = np.full((1 << SLOTS) + len(keys), -1), np.full((1 << SLOTS) + len(keys), len(keys))
+        for i, (k, slot) in enumerate(zip(keys.tolist(), self._slot(keys).tolist())):
+            while self.slots[slot] >= 0:
+                slot += 1
+            self.slots[slot], self.at[slot] = k, i
+        self.codes = np.arange(n, n + 0x110000)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.codes[ord(p)] = i
         inner = set("".join(p for p in self.ids if len(p) > 1))
         if any(p[j] == MARK and p[j - 1] != MARK for p in self.ids for j in range(1, len(p))):
             raise ValueError("a piece reaches across the start of a word")
-        lone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in inner)
-        self.parts = re.compile(f"[{lone}]|{MARK}*[^{MARK}{lone}]+|{MARK}+")
+        # by the bytes before and after, with a space for the mark: whether a text is cut there
+        cut = np.zeros((256, 256), bool)
+        cut[:128, :128] = True
+        for p in self.ids:
+            for a, b in zip(p.replace(MARK, " "), p.replace(MARK, " ")[1:]):
+                if a < "\x80" and b < "\x80":
+                    cut[ord(a), ord(b)] = False
+        for b in [b for b in range(128) if chr(b) not in inner and b != 32]:
+            cut[b] = cut[:, b] = True
+        cut[:, 32] |= np.arange(256) != 32
+        self.cut = cut.ravel()
         text = [b"" if model.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         for b, i in enumerate(self.byte):
             text[i] = bytes([b])
         text[self.unknown] = " ⁇ ".encode()
-        self.text, self.known, self.chars = text, {}, 0
+        self.text = text
+        # the second half: as the first piece of a text, without the space that encoding puts in front
+        self.pieces = pa.array(text + [t.removeprefix(b" ") for t in text], pa.binary())
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars, self.used, self.store = 0, 0, np.zeros(1 << 16, np.int32)
+        self.starts, self.lengths = np.zeros((2, 1 << 12), np.int64)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
 
     def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair; NONE where it does not merge."""
-        key = np.where((left < self.n) & (right < self.n), left * self.n + right, -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], NONE), self.merged[at]
+        key = np.where((left < self.n) & (right < self.n), left * self.n + right, -2)
+        slot = self._slot(key)
+        found = self.slots[slot]
+        more = np.flatnonzero((found != key) & (found >= 0))
+        while len(more):
+            slot[more] += 1
+            found[more] = here = self.slots[slot[more]]
+            more = more[(here != key[more]) & (here >= 0)]
+        at = np.where(found == key, self.at[slot], -1)
+        return self.ranks[at], self.merged[at]
 
     def merge(self, parts: list[str]) -> list[list[int]]:
         """Each part's symbols after all merges."""
         if any(len(p) > LONG for p in parts):
             short = iter(self.merge([p for p in parts if len(p) <= LONG]))
             return [self._one_by_one(p) if len(p) > LONG else next(short) for p in parts]
-        chars = "".join(parts)
-        codes = {c: self.ids.get(c, self.n + ord(c)) for c in set(chars)}
-        symbols = np.fromiter((codes[c] for c in chars), np.int64, len(chars))
+        symbols = self.codes[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
         part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         again, last = np.zeros(len(parts), bool), np.full(len(parts), -1)
         live_symbols, live_part, done = symbols, part, []
+        rank, result = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int64)
+        new = np.arange(len(symbols) - 1)
         while len(live_symbols):
-            rank = np.full(len(live_symbols), NONE)
-            result = np.zeros(len(live_symbols), np.int64)
-            if len(live_symbols) > 1:
-                r, m = self._lookup(live_symbols[:-1], live_symbols[1:])
-                rank[:-1], result[:-1] = np.where(live_part[:-1] == live_part[1:], r, NONE), m
+            r, result[new] = self._lookup(live_symbols[new], live_symbols[new + 1])
+            rank[new] = np.where(live_part[new] == live_part[new + 1], r, NONE)
             starts = np.nonzero(np.diff(live_part, prepend=-1))[0]
             lowest = np.minimum.reduceat(rank, starts)
             length = np.diff(np.append(starts, len(live_part)))
@@ -122,7 +161,11 @@ class PieceBpe:
                 done.append((live_part[over], live_symbols[over]))
             live_symbols = np.where(take, result, live_symbols)
             keep = ~over & ~np.concatenate([[False], take[:-1]])
-            live_symbols, live_part = live_symbols[keep], live_part[keep]
+            live_symbols, live_part, rank, result = live_symbols[keep], live_part[keep], rank[keep], result[keep]
+            new = take[keep]  # pairs of which either is a new symbol
+            new[:-1] |= new[1:]
+            rank[new] = NONE
+            new = np.flatnonzero(new[:-1])
         at, all_symbols = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64),) * 2
         order = np.argsort(at, kind="stable")
         bounds = np.searchsorted(at[order], np.arange(len(parts) + 1)).tolist()
@@ -160,17 +203,65 @@ class PieceBpe:
             out.extend([s] if s < self.n else (self.byte[b] for b in chr(s - self.n).encode("utf-8", "surrogatepass")))
         return out
 
-    def encode(self, texts: list[str]) -> list[list[list[int]]]:
-        """Each text's ids, part by part."""
+    def _learn(self, parts: list[str]) -> None:
+        """Keeps the ids of new parts."""
+        first, n = len(self.known), self.n
+        found = [self._finished(s) if max(s) >= n else s for s in self.merge([p.replace(" ", MARK) for p in parts])]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(lengths.sum())
+        while self.used + total > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        while first + len(parts) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.store[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
+        self.starts[first : first + len(parts)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first : first + len(parts)] = lengths
+        self.used += total
+        self.chars += sum(map(len, parts))
+        self.known.update(zip(parts, range(first, first + len(parts))))
+
+    def encoded(self, texts: pa.Array) -> pa.ListArray:
+        """Each text's ids."""
         if len(self.known) > MOST or self.chars > MOST_CHARS:
-            self.known.clear()
-            self.chars = 0
-        found = [self.parts.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if new := list({p for ps in found for p in ps} - self.known.keys()):
-            self.known.update(zip(new, map(self._finished, self.merge(new))))
-            self.chars += sum(map(len, new))
-        known = self.known
-        return [[known[p] for p in ps] for ps in found]
+            self._empty()
+        texts = pc.replace_substring(texts, MARK, " ")
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or bounds[0] == bounds[-1]:
+            return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), pa.array([], pa.int32()))
+        chars = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        begins = np.ones(len(chars), bool)
+        begins[1:] = self.cut[chars[:-1].astype(np.uint16) * 256 + chars[1:]]
+        begins[bounds[bounds < len(chars)]] = True
+        begins = np.flatnonzero(begins)
+        ends = np.append(begins, len(chars)).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(chars))).dictionary_encode()
+        found, get = parts.dictionary.to_pylist(), self.known.get
+        if new := [p for p in found if p not in self.known]:
+            self._learn(new)
+        slots = np.array([get(p) for p in found])[parts.indices.to_numpy()]
+        lengths = self.lengths[slots]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[slots] - ends + lengths, lengths)
+        at += np.arange(len(at))
+        ends = np.concatenate([[0], ends])[np.searchsorted(begins, bounds)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.store[at]))
+
+    def encode(self, texts: list[str]) -> list[list[list[int]]]:
+        """Each text's ids, in one part."""
+        return [[ids] for ids in self.encoded(pa.array(texts, pa.string())).to_pylist()]
+
+    def decoded(self, ids: pa.ListArray) -> pa.Array:
+        """Each list's text, as decode gives it."""
+        values, bounds = ids.flatten().to_numpy().astype(np.int64), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        values[bounds[:-1][np.diff(bounds) > 0]] += len(self.text)
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), self.pieces.take(pa.array(values))), b"")
+        try:
+            return whole.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no characters
+            return pa.array([self.decode(x) for x in ids.to_pylist()], pa.string())
 
     def decode(self, ids: list[int]) -> str:
         """The pieces' bytes together, without the space that encoding puts in front."""
@@ -186,22 +277,19 @@ def piece_bpe(path: str) -> PieceBpe:
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array) and decoded, a row for each input row."""
-    return _mapped(docs, model, id_col, text_col, "doc_id bigint, ids array<bigint>, decoded string", lambda i, ids, text: (i, ids, text))
+    return _mapped(docs, model, id_col, text_col, "doc_id bigint, ids array<bigint>, decoded string", lambda ids, texts: [ids.cast(pa.list_(pa.int64())), texts])
 
 
-def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, schema: str, row) -> DataFrame:
-    kinds = {"bigint": pa.int64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
-    want = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, schema: str, columns) -> DataFrame:
+    """doc_id and the columns that a function makes of ids and decoded texts, a row for each input row."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def rows(it):
         coder = piece_bpe(model)
         for batch in it:
-            for ids, texts in batches(batch):
-                out = []
-                for i, parts in zip(ids, coder.encode(texts)):
-                    flat = [x for p in parts for x in p]
-                    out.append(row(i, flat, coder.decode(flat)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), want)], schema=want)
+            for part in split_batch(batch, size=SPLIT):
+                ids = coder.encoded(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns(ids, coder.decoded(ids))], names)
 
     return map_arrow(pick(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint")), rows, schema)
 
@@ -209,10 +297,11 @@ def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, schema: str
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    sha = lambda data: hashlib.sha256(data).hexdigest()
+    sha = lambda texts: pa.array([hashlib.sha256(t).hexdigest() for t in texts.cast(pa.binary()).to_pylist()], pa.string())
 
-    def digest(i, ids, text):
-        return i, len(ids), sha(",".join(map(str, ids)).encode()), sha(text.encode("utf-8", "surrogatepass"))
+    def digest(ids, texts):
+        numbers = pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string()))
+        return [pc.list_value_length(ids).cast(pa.int64()), sha(pc.binary_join(numbers, ",")), sha(texts)]
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return _mapped(docs, public_tokenizers.path("piece_bpe_32k.model"), "doc_id", "text", "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", digest)
