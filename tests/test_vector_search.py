@@ -526,3 +526,49 @@ def test_stream_changes_a_live_index(spark, tmp_path):
 
 def test_metric_flags():
     assert {name: flags[1:] for name, flags in V.METRICS.items()} == {"l2": (True, True), "l1": (True, True), "cosine": (True, False), "ip": (False, False)}
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine", "l1"])
+def test_best_scores_few_pairs_with_the_same_bits(metric, monkeypatch):
+    """Ties, zero vectors, large and small numbers: the rows of a plain ranking, and no full matrix of exact scores."""
+    rng = np.random.default_rng(3)
+    for scale, shift in ((1.0, 0.0), (1e-25, 0.0), (1.0, 1e4), (1e120, 0.0)):
+        x = rng.normal(size=(1500, 12)) * scale + shift
+        x[700:720], x[30] = x[3], 0.0
+        ids = rng.permutation(1500).astype(np.int64)
+        plain = np.zeros((1500, 1500))
+        for d in range(12):
+            plain += np.abs(x[:, d, None] - x[:, d]) if metric == "l1" else (x[:, d, None] - x[:, d]) ** 2 if metric == "l2" else x[:, d, None] * x[:, d]
+        if metric == "cosine":
+            norm = sum(x[:, d] * x[:, d] for d in range(12))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plain = np.where((norm[:, None] == 0) | (norm == 0), 1.0, 1 - np.clip(plain / (np.sqrt(norm)[:, None] * np.sqrt(norm)), -1, 1))
+        plain = -plain if metric == "ip" else plain
+        assert np.array_equal(knn.scores(metric, x, x), plain)
+        np.fill_diagonal(plain, np.inf)
+        order = np.lexsort((np.broadcast_to(ids, plain.shape), plain), axis=1)[:, :5]
+        with monkeypatch.context() as m:
+            if metric != "l1" and scale < 1e100:
+                m.setattr(knn, "scores", None)
+            best = knn.Best(ids, x, 5, metric, True)
+            for i in range(0, 1500, 400):
+                best.offer(ids[i : i + 400], x[i : i + 400])
+        assert np.array_equal(best.names, ids[order]) and np.array_equal(best.scores, np.take_along_axis(plain, order, 1))
+
+
+def test_blocks_are_partitions_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    base = points(spark, rng.normal(size=(300, 4)))
+    q = base.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    found = knn.nearest(base, q, 3, skip_self=True, most=250)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+    assert sorted(found.collect()) == sorted(knn.nearest(base, q, 3, skip_self=True).collect())
+
+
+def test_exact_edges_are_worked_out_once(spark):
+    """A plan that reads the edges several times reads a table."""
+    from conftest import DATA
+
+    from nearfield.plans import core
+
+    assert "MapInArrow" not in core._edges(spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
