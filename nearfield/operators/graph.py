@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-MOST_LEVELS = 32
-
+#: Tables of levels that one plan reads.
+MOST_PARTS = 16
 
 def degree_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Over all nodes (vec_id), also those without edges."""
@@ -16,19 +16,27 @@ def degree_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return degree.agg(F.max("d").alias("max_degree"), F.avg("d").alias("avg_degree"), F.min("d").alias("min_degree"), F.count_if(F.col("d") < 2).alias("below_two"))
 
 
-def levels(edges: DataFrame, starts: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
-    """vec_id and level of every node within so many steps of the starts (vec_id). Each round joins only the
-    newest level with the edges; rounds are written, so plans do not grow."""
+def levels(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """vec_id and level of every node that can be reached from the starts (vec_id), or is within so many steps of them.
+    Each round joins only the newest level with the edges."""
     edges = written(edges.select("src", "dst"))  # read in every round
-    front = starts.select("vec_id").distinct().withColumn("level", F.lit(0))
-    seen = front
-    for level in range(1, most + 1):
-        step = edges.join(front.select(F.col("vec_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("vec_id")).distinct()
-        front = step.join(seen, "vec_id", "left_anti").withColumn("level", F.lit(level))
-        front = written(front)
-        if front.isEmpty():
+    return levels_by(lambda front: edges.join(front.select(F.col("vec_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("vec_id")), starts, most)
+
+
+def levels_by(step, starts: DataFrame, most: int | None = None, enough: int | None = None) -> DataFrame:
+    """The same, where step(front) gives the neighbours (vec_id) of a level's nodes. enough: ends with the level that
+    brings so many nodes. Rounds are written, and joined to one table now and then, so plans do not grow."""
+    front = written(starts.select("vec_id").distinct().withColumn("level", F.lit(0)))
+    seen, level, parts, n = front, 0, 1, front.count() if enough else 0
+    while (most is None or level < most) and (enough is None or n < enough):
+        level += 1
+        front = written(step(front).distinct().join(seen, "vec_id", "left_anti").select("vec_id", F.lit(level).alias("level")))
+        new = front.count()
+        if not new:
             break
-        seen = seen.unionByName(front)
+        seen, parts, n = seen.unionByName(front), parts + 1, n + new
+        if parts > MOST_PARTS:
+            seen, parts = written(seen), 1
     return seen
 
 

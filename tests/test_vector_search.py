@@ -572,3 +572,20 @@ def test_exact_edges_are_worked_out_once(spark):
     from nearfield.plans import core
 
     assert "MapInArrow" not in core._edges(spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_levels_of_a_long_chain(spark, oracle, tmp_path):
+    """A chain of 38 nodes, none of which is left out and which is beyond any plan's tables; and the query with its SQL, on
+    points along a curve, most of them more than twelve steps from the first."""
+    from nearfield.operators import graph
+    from nearfield.plans import core
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(37)] + [(i, i - 1) for i in range(1, 38)], "src bigint, dst bigint")
+    found = graph.levels(edges, spark.createDataFrame([(0,)], "vec_id bigint"))
+    assert sorted((r.vec_id, r.level) for r in found.collect()) == [(i, i) for i in range(38)]
+    rows = [(i, [float(i), float(i * i) / 400] + [0.0] * 62, i % 10) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.level, r.n) for r in core.QUERIES["bfs_levels"](spark, str(tmp_path)).collect())
+    assert got == sorted((int(r.level), int(r.n)) for r in oracle(core.SQL["bfs_levels"], str(tmp_path)).itertuples())
+    assert got[-1][0] > 12 and sum(n for _, n in got) == 120
+
