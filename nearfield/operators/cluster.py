@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2sq
-from ..shipping import map_arrow, ship
-from .knn import _vectors, gather, nearest_centers, scores
+from ..shipping import map_arrow
+from .knn import BLOCK_NUMBERS, _vectors, block_pairs, gather, nearest_centers, scores
 from .quantize import plus_plus
 
+#: Blocks on each side of all pairs of points at least, where there are points enough: their pairs are what tasks share.
+AT_LEAST_BLOCKS = 6
+
 
 def centroid(points: DataFrame, *keys: str) -> DataFrame:
     """The mean of each dimension, as an array, by the keys (at most one, a whole number): each task adds up its rows'
@@ -44,26 +47,57 @@ def medoid(points: DataFrame) -> DataFrame:
     return near.agg(F.min(F.struct("distance", "vec_id")).alias("m")).select("m.vec_id")
 
 
-def distance_sums(points: DataFrame, rows: int = 4096) -> DataFrame:
-    """vec_id and total: the sum of a point's distances to all points. Blocks of points meet blocks of points, each
-    pair of blocks in one task, which gives a number a point."""
-    ship(points.sparkSession)
-    parts = max(1, -(-points.count() // rows))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    own = points.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("v"))
-    left, right = own.select(block.alias("a"), every.alias("b"), "vec_id", "v"), own.select(every.alias("a"), block.alias("b"), "vec_id", "v")
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, totals = left.column("vec_id").to_numpy(), np.zeros(len(left))
-        for at, x in _vectors(left.column("v").combine_chunks()) if len(left) else []:
-            for _, y in _vectors(right.column("v").combine_chunks()) if len(right) else []:
-                if x.shape[1] == y.shape[1]:
-                    totals[at] += np.sqrt(scores("l2", x, y)).sum(1)
-        return pa.table({"vec_id": names, "part": totals})
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(pair, "vec_id bigint, part double")
-    return found.groupBy("vec_id").agg(F.sum("part").alias("total"))
+def distance_sums(points: DataFrame, numbers: int = BLOCK_NUMBERS) -> DataFrame:
+    """vec_id and total: the sum of a point's distances to all points of its length. Blocks of points, of so many numbers,
+    meet blocks of points, each pair of blocks a partition of its own, which gives a number a point."""
+    n, d = points.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    own = points.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
+    most = min(numbers, max(1, n * (d or 0) // AT_LEAST_BLOCKS))
+    left, right, parts = block_pairs(own, own.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), n, max(1, n * (d or 0)), most)
+
+    def pair(it):
+        sides: dict[tuple, list] = {}
+        for batch in it:
+            p, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+            names = batch.column(1).to_numpy(zero_copy_only=False)
+            for at, matrix in _vectors(batch.column(2)):
+                for number in np.unique(p[at]).tolist():
+                    for side in (True, False):
+                        rows = (p[at] == number) & (asks[at].astype(bool) == side)
+                        sides.setdefault((number, matrix.shape[1], side), []).append((names[at[rows]], matrix[rows]))
+        for (number, d, side), rows in sides.items():
+            if side and (number, d, False) in sides:
+                others = np.concatenate([x[1] for x in sides[number, d, False]])
+                for ids, x in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_summed(x, others))], ["vec_id", "part"])
+
+    both = left.withColumn("asks", F.lit(True)).unionByName(right.withColumn("asks", F.lit(False))).repartitionById(parts, "p")
+    return map_arrow(both, pair, "vec_id bigint, part double").groupBy("vec_id").agg(F.sum("part").alias("total"))
+
+
+def _summed(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Each row's sum of distances to the others. Squares come from a matrix product; where its rounding would show in
+    the root, as between near points, they are worked out from the differences."""
+    out, middle = np.zeros(len(x)), others.mean(0) if len(others) else 0.0
+    with np.errstate(over="ignore", invalid="ignore"):
+        x, others = x - middle, others - middle
+        nx, no = np.einsum("nd,nd->n", x, x), np.einsum("nd,nd->n", others, others)
+        left = np.concatenate([-2 * x, np.ones((len(x), 1)), nx[:, None]], 1)
+        right = np.concatenate([others, no[:, None], np.ones((len(others), 1))], 1)
+        if not np.isfinite(left).all() or not np.isfinite(right).all():
+            return np.sqrt(scores("l2", x, others)).sum(1)
+        for j in range(0, len(others), 2048):
+            for i in range(0, len(x), 128):
+                s = left[i : i + 128] @ right[j : j + 2048].T
+                least = 1e-3 * (nx[i : i + 128].max(initial=0.0) + no[j : j + 2048].max(initial=0.0))
+                close = np.flatnonzero(s.ravel() < least)
+                if len(close):
+                    a, b = close // s.shape[1], close % s.shape[1]
+                    for c in range(0, len(a), 4096):
+                        diff = x[i + a[c : c + 4096]] - others[j + b[c : c + 4096]]
+                        s[a[c : c + 4096], b[c : c + 4096]] = np.einsum("nd,nd->n", diff, diff)
+                out[i : i + 128] += np.sqrt(s, out=s).sum(1)
+    return out
 
 
 def medoid_by_sum(points: DataFrame, digits: int = 6) -> DataFrame:

@@ -589,3 +589,19 @@ def test_levels_of_a_long_chain(spark, oracle, tmp_path):
     assert got == sorted((int(r.level), int(r.n)) for r in oracle(core.SQL["bfs_levels"], str(tmp_path)).itertuples())
     assert got[-1][0] > 12 and sum(n for _, n in got) == 120
 
+
+
+def test_sums_of_distances_without_a_matrix_of_scores(spark, monkeypatch):
+    """Equal and near points, points far from the origin, points of two lengths in several blocks."""
+    rng = np.random.default_rng(6)
+    for scale, shift in ((1.0, 0.0), (1.0, 1e4), (1e-5, 3.0)):
+        x = rng.normal(size=(300, 6)) * scale + shift
+        x[7] = x[8]
+        plain = np.sqrt(((x[:, None] - x) ** 2).sum(-1)).sum(1)
+        with monkeypatch.context() as m:
+            m.setattr(cluster, "scores", None)
+            assert np.allclose(cluster._summed(x, x), plain, rtol=1e-12)
+    x = [r.tolist() for r in rng.normal(size=(60, 6))] + [r.tolist() for r in rng.normal(size=(20, 4))]
+    far = lambda a, b: float(np.sqrt(((np.array(a, np.float32).astype(float) - np.array(b, np.float32).astype(float)) ** 2).sum()))
+    got = {r.vec_id: r.total for r in cluster.distance_sums(points(spark, x), 100).collect()}
+    assert got == pytest.approx({i: sum(far(a, b) for b in x if len(a) == len(b)) for i, a in enumerate(x)})
