@@ -605,3 +605,48 @@ def test_sums_of_distances_without_a_matrix_of_scores(spark, monkeypatch):
     far = lambda a, b: float(np.sqrt(((np.array(a, np.float32).astype(float) - np.array(b, np.float32).astype(float)) ** 2).sum()))
     got = {r.vec_id: r.total for r in cluster.distance_sums(points(spark, x), 100).collect()}
     assert got == pytest.approx({i: sum(far(a, b) for b in x if len(a) == len(b)) for i, a in enumerate(x)})
+
+
+def test_distances_of_odd_vectors_and_without_columns(spark):
+    """Every kind of value is that of its column, also for vectors that are null, of other lengths, with nulls, or not
+    finite; sound vectors need no join."""
+    from nearfield.plans import core
+
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(40)] + [(40, None), (41, [1.0, 2.0]), (42, [1.0, None, 2.0, 1.0, 0.5, 3.0]), (43, [0.0] * 6), (44, [float("inf"), float("nan"), 0.0, 1.0, 1.0, 1.0]), (45, [])]
+    base = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    asked = base.where("vec_id % 4 = 0 OR vec_id > 39").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    for values, value, _ in core._PAIRS.values():
+        want = {(r.qid, r.vec_id): r.distance for r in knn.against(base, asked).select("qid", "vec_id", value(F.col("q"), F.col("embedding")).alias("distance")).collect()}
+        got = {(r.qid, r.vec_id): r.distance for r in knn.distances(base, asked, values, value).collect()}
+        assert got.keys() == want.keys() and len(got) == 46 * 16
+        for at, x in want.items():
+            assert got[at] == x or x != x and got[at] != got[at] or values == "minkowski3" and got[at] == pytest.approx(x, rel=1e-14), (values, at)
+    sound = base.where("vec_id < 40")
+    plan = knn.distances(sound, sound.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "l2sq", V.l2sq)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_nearest_of_labels(spark):
+    """Labels that come twice, several lengths, and more labels than a task keeps; no pair of all is shuffled."""
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.normal(size=3 + (i % 9 == 0)).round(1).tolist(), [str(i % 7), str(i % 5), "x"]) for i in range(400)] + [(400, None, ["x"])]
+    base = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, labels array<string>")
+    asked = base.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    value = knn.against(base.select("vec_id", "embedding", F.explode(F.array_distinct("labels")).alias("label")), asked).select("qid", "vec_id", "label", V.l2sq(F.col("q"), F.col("embedding")).alias("distance"))
+    from pyspark.sql import Window
+
+    want = value.where("distance < double('infinity')").withColumn("rank", F.row_number().over(Window.partitionBy("qid", "label").orderBy("distance", "vec_id"))).where("rank <= 5")
+    found = knn.nearest_of_labels(base, asked, 5)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    plain = lambda df: sorted((r.qid, r.label, r["rank"], r.vec_id, r.distance) for r in df.collect())
+    assert plain(found) == plain(want)
+
+
+def test_both_distances_by_code_in_one_pass(spark):
+    from conftest import DATA
+
+    from nearfield.plans import core, more  # noqa: F401  more adds to core's tables
+
+    plan = core.QUERIES["pq_distance_by_code"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
+    assert "Join" not in plan
