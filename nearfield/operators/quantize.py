@@ -18,6 +18,8 @@ from ..shipping import map_arrow, ship
 from .knn import Best, _vectors, best_of, gather, scores
 
 MOST_TRAINING_ROWS, MOST_ROTATION_ROWS, MOST_CHUNKS = 256_000, 32_768, 512
+#: Rows whose distances to centers, and numbers of a matrix of distances by code, that are worked out at once.
+ROWS, AT_ONCE = 1 << 14, 1 << 20
 
 
 def chunk_sizes(dim: int, chunks: int) -> list[int]:
@@ -98,8 +100,8 @@ def lloyd(x: np.ndarray, centers: np.ndarray, rounds: int, gain: float = 1e-5) -
     """Until the summed distance falls by less than the gain; a center without rows becomes zero."""
     before = None
     for _ in range(rounds):
-        d = (centers * centers).sum(1) - 2 * x @ centers.T
-        own = d.argmin(1)
+        norms, turned = (centers * centers).sum(1), -2 * centers.T
+        own = np.concatenate([np.zeros(0, np.int64), *((norms + x[i : i + ROWS] @ turned).argmin(1) for i in range(0, len(x), ROWS))])
         n = np.bincount(own, minlength=len(centers))
         sums = np.stack([np.bincount(own, x[:, j], len(centers)) for j in range(x.shape[1])], 1)
         centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], 0.0)
@@ -264,9 +266,9 @@ def search(points: DataFrame, codes: DataFrame, queries: DataFrame, quantizer: Q
         for batch in it:
             error = batch.column(2).to_numpy(zero_copy_only=False)
             for at, matrix in _vectors(batch.column(1)):
-                if len(ids):
-                    own = np.sqrt(_looked_up(table, matrix.astype(np.int64))) + error[at]
-                    far = np.sort(np.concatenate([far, own], 1), 1)[:, :k]
+                for i in range(0, len(at) if len(ids) else 0, step := max(1, AT_ONCE // max(1, len(ids)))):
+                    own = np.sqrt(_looked_up(table, matrix[i : i + step].astype(np.int64))) + error[at[i : i + step]]
+                    far = np.partition(np.concatenate([far, own], 1), k - 1, axis=1)[:, :k]
         if len(ids):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(far.ravel())], ["qid", "far"])
 
@@ -282,7 +284,9 @@ def search(points: DataFrame, codes: DataFrame, queries: DataFrame, quantizer: Q
             for at, matrix in _vectors(batch.column(1)):
                 if len(ids) and matrix.shape[1] == q.shape[1]:
                     own = np.stack(batch.column(2).take(pa.array(at)).to_numpy(zero_copy_only=False)).astype(np.int64)
-                    near = ((np.sqrt(_looked_up(table, own)) - error[at]) <= limit[:, None]).any(0)
+                    near = np.zeros(len(at), bool)
+                    for i in range(0, len(at), step := max(1, AT_ONCE // max(1, len(ids)))):
+                        near[i : i + step] = ((np.sqrt(_looked_up(table, own[i : i + step])) - error[at[i : i + step]]) <= limit[:, None]).any(0)
                     if near.any():
                         best.offer(names[at[near]], matrix[near])
         if best.names.shape[1]:

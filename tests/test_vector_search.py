@@ -650,3 +650,28 @@ def test_both_distances_by_code_in_one_pass(spark):
 
     plan = core.QUERIES["pq_distance_by_code"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
     assert "Join" not in plan
+
+
+def test_code_search_works_in_blocks(spark, monkeypatch):
+    """No task looks up all queries and a whole batch at once; the rows are those of the exact search."""
+    from conftest import DATA
+
+    from nearfield.plans import core
+
+    folder, plain = f"{DATA}/sf0.001", quantize._looked_up
+    e, q = core._e(spark, folder), core._q(spark, folder)
+    quantizer = quantize.train(e, 16, 64)
+
+    monkeypatch.setattr(quantize, "AT_ONCE", 1000, raising=False)
+    found, want = quantize.search(e, quantize.encode(e, quantizer), q, quantizer, 10), knn.nearest(e, q, 10)
+    key = lambda r: (r.qid, r["rank"], r.vec_id, r.distance)
+    assert sorted(map(key, found.collect())) == sorted(map(key, want.collect()))
+    x = np.random.default_rng(2).normal(size=(500, 4))
+    monkeypatch.setattr(quantize, "ROWS", 64)
+    blocks = quantize.lloyd(x, x[:8], 6)
+    monkeypatch.setattr(quantize, "ROWS", 10_000)
+    assert np.allclose(blocks, quantize.lloyd(x, x[:8], 6))
+    sizes = []
+    monkeypatch.setattr(quantize, "_looked_up", lambda table, codes: sizes.append(table.shape[0] * len(codes)) or plain(table, codes))
+    monkeypatch.setattr(quantize, "map_arrow", lambda df, function, schema: spark.createDataFrame([b for x in function(iter(df.toArrow().to_batches())) for b in x.to_pylist()], schema))
+    assert quantize.search(e, quantize.encode(e, quantizer), q, quantizer, 10).count() == want.count() and max(sizes) <= 1000
