@@ -14,8 +14,8 @@ import numpy as np
 ALPHAS = (1.0, 1.2)
 #: A node may have so many times its degree before it is pruned again.
 SLACK = 1.3
-#: Queries that are walked together; numbers that a batch's distances may take.
-TOGETHER, MOST_NUMBERS = 256, 1 << 24
+#: Queries that are walked together; marks that a batch may take, and distances within the pools that are pruned together.
+TOGETHER, MOST_NUMBERS, MOST_BETWEEN = 256, 1 << 24, 1 << 22
 
 
 def prepared(metric: str, vectors: np.ndarray) -> np.ndarray:
@@ -114,6 +114,16 @@ class Found:
     expanded: list[np.ndarray] = field(default_factory=list)
 
 
+def _ordered(distances: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """np.lexsort((positions, distances), axis=1); both keys are sorted only where finite distances tie."""
+    order = np.argsort(distances, axis=1)
+    d = np.take_along_axis(distances, order, 1)
+    tied = ((d[:, 1:] == d[:, :-1]) & np.isfinite(d[:, 1:])).any(1)
+    if tied.any():
+        order[tied] = np.lexsort((positions[tied], distances[tied]), axis=1)
+    return order
+
+
 def walk(graph: np.ndarray, vectors: np.ndarray, queries: np.ndarray, starts: np.ndarray, width: int, metric: str = "l2", beam: int = 1, allowed: np.ndarray | None = None, score=None, most_hops: int | None = None, keep: bool = False) -> Found:
     """Best-first search to a fixed point, all queries side by side: each round expands every query's beam nearest
     candidates that are not expanded yet. starts: positions by query (-1 for none). allowed: which points each
@@ -149,7 +159,7 @@ def walk(graph: np.ndarray, vectors: np.ndarray, queries: np.ndarray, starts: np
         both = np.concatenate([best[q], np.where(new, place, -1)], 1)
         all_d = np.concatenate([near[q], d], 1)
         all_done = np.concatenate([done[q], ~new], 1)
-        order = np.lexsort((both, all_d), axis=1)[:, :width]
+        order = _ordered(all_d, both)[:, :width]
         best[q], near[q], done[q] = (np.take_along_axis(x, order, 1) for x in (both, all_d, all_done))
 
     offer(every, starts)
@@ -191,11 +201,15 @@ def medoid(vectors: np.ndarray) -> int:
 
 def _pooled(metric: str, node: np.ndarray, pools: list[np.ndarray], vectors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pools without their node and repeats, in order of distance, as a matrix; and the distances."""
-    pools = [np.unique(p[p != i]) for i, p in zip(node.tolist(), pools)]
-    width = max((len(p) for p in pools), default=0)
-    table = np.full((len(pools), width), -1, np.int64)
-    for i, p in enumerate(pools):
-        table[i, : len(p)] = p
+    row, flat = np.repeat(np.arange(len(pools)), [len(p) for p in pools]), np.concatenate([np.zeros(0, np.int64), *pools])
+    order = np.lexsort((flat, row))
+    row, flat = row[order], flat[order]
+    keep = flat != node[row] if len(row) else np.zeros(0, bool)
+    keep[1:] &= (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
+    row, flat = row[keep], flat[keep]
+    sizes = np.bincount(row, minlength=len(pools))
+    table = np.full((len(pools), int(sizes.max(initial=0))), -1, np.int64)
+    table[np.arange(table.shape[1]) < sizes[:, None]] = flat
     d = np.where(table >= 0, distance(metric, vectors[node][:, None], vectors[np.maximum(table, 0)]), np.inf)
     order = np.lexsort((table, d), axis=1)[:, :most]
     return np.take_along_axis(table, order, 1), np.take_along_axis(d, order, 1)
@@ -229,7 +243,7 @@ class Graph:
 
     def pruned(self, node: np.ndarray, pools: list[np.ndarray]) -> np.ndarray:
         out = np.full((len(node), self.degree), -1, np.int32)
-        size = max(1, MOST_NUMBERS // max(1, max((len(p) for p in pools), default=1)) ** 2)
+        size = max(1, MOST_BETWEEN // max(1, max((len(p) for p in pools), default=1)) ** 2)
         for i in range(0, len(node), size):
             table, d = _pooled(self.metric, node[i : i + size], pools[i : i + size], self.vectors, self.most_pool)
             out[i : i + size] = prune(table, d, self.vectors, self.degree, self.metric, self.alphas, self.fill, self._covers(table))
@@ -273,17 +287,19 @@ class Graph:
     def _add_back(self, src: np.ndarray, dst: np.ndarray) -> None:
         """An edge from each dst to src; a node that gets too many is pruned."""
         keep = dst >= 0
+        keep[keep] = ~(self.table[dst[keep]] == src[keep][:, None]).any(1)
         order = np.argsort(dst[keep], kind="stable")
         src, dst = src[keep][order], dst[keep][order]
-        full, pools = [], []
-        for node, own in zip(*self._grouped(dst, src)):
-            now = self.table[node][self.table[node] >= 0]
-            new = own[~np.isin(own, now)]
-            if len(now) + len(new) <= self.wide:
-                self.table[node, len(now) : len(now) + len(new)] = new
-            else:
-                full.append(node)
-                pools.append(np.concatenate([now, new]).astype(np.int64))
+        if not len(dst):
+            return
+        node, first, new = np.unique(dst, return_index=True, return_counts=True)
+        now = (self.table[node] >= 0).sum(1)
+        fits = now + new <= self.wide
+        some = np.repeat(fits, new)
+        place = np.repeat(now - first, new) + np.arange(len(dst))
+        self.table[dst[some], place[some]] = src[some]
+        full = node[~fits].tolist()
+        pools = [np.concatenate([self.table[i][self.table[i] >= 0], src[a : a + n]]).astype(np.int64) for i, a, n in zip(full, first[~fits], new[~fits])]
         self._put(full, pools)
 
     def _put(self, nodes: list[int], pools: list[np.ndarray]) -> None:
@@ -293,14 +309,6 @@ class Graph:
             self.table[nodes] = -1
             self.table[nodes, : self.degree] = chosen
 
-    @staticmethod
-    def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-        """values by key; keys are in order."""
-        if not len(keys):
-            return [], []
-        first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
-        return keys[first].tolist(), np.split(values, first[1:])
-
     def prune_all(self) -> None:
         """Prunes every node that has more than its degree."""
         over = np.flatnonzero((self.table >= 0).sum(1) > self.degree)

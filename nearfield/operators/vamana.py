@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS
 from ..shipping import map_arrow, ship
+from ..storage import written
 from .knn import best_of, gather
 from .proximity import ALPHAS, Graph, batches, distance, prepared, prune, walk
 
 SHARD_ROWS, MOST_CENTERS = 20_000, 1024
+#: Partitions that shards are dealt to in turn, so that no task has two before there are more shards than these.
+SHARD_PARTS = 128
 NODES = "shard bigint, vec_id bigint, embedding array<float>, labels array<string>, neighbours array<bigint>, distances array<double>, start boolean, start_of array<string>, hidden boolean"
 
 
@@ -73,6 +76,11 @@ def sphere(n: int, dim: int, radius: float = 1.0, seed: int = 42) -> np.ndarray:
     return radius * x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def by_shard(rows: DataFrame):
+    """rows by shard, each shard a task of its own as long as there are no more than SHARD_PARTS."""
+    return rows.withColumn("__part", F.pmod("shard", F.lit(SHARD_PARTS)).cast("int")).repartitionById(SHARD_PARTS, "__part").groupBy("__part", "shard")
+
+
 class Shard:
     """A shard's rows as a Graph, and back."""
 
@@ -158,7 +166,26 @@ def built(dealt: DataFrame, degree: int = 32, width: int = 64, metric: str = "l2
         own.graph.build(np.random.default_rng(seed).permutation(len(own.ids)))
         return own.rows()
 
-    return dealt.select("shard", "vec_id", "embedding", "labels").groupBy("shard").applyInPandas(shard, NODES)
+    return by_shard(dealt.select("shard", "vec_id", "embedding", "labels")).applyInPandas(shard, NODES)
+
+
+def joined(nodes: DataFrame, degree: int = 32) -> DataFrame:
+    """One index of all shards, of the same columns: each point once, with its nearest neighbours of all shards, and one
+    start, the point nearest the mean, and one for each label. No task holds it whole."""
+    from .cluster import medoid
+
+    lists = edges(nodes, degree).groupBy(F.col("src").alias("vec_id")).agg(F.sort_array(F.collect_list(F.struct("distance", "dst"))).alias("x"))
+    points = nodes.where("NOT hidden").select("vec_id", "embedding", "labels").dropDuplicates(["vec_id"])
+    first = F.broadcast(medoid(points).withColumn("start", F.lit(True)))
+    of = nodes.where("NOT hidden").select("vec_id", F.explode("start_of").alias("label")).groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    of = of.groupBy("vec_id").agg(F.sort_array(F.collect_list("label")).alias("start_of"))
+    every = points.join(lists, "vec_id", "left").join(first, "vec_id", "left").join(of, "vec_id", "left")
+    listed = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    return every.select(
+        F.lit(0).cast("bigint").alias("shard"), "vec_id", "embedding", "labels",
+        listed(F.transform("x", lambda r: r["dst"]), "bigint").alias("neighbours"), listed(F.transform("x", lambda r: r["distance"]), "double").alias("distances"),
+        F.coalesce("start", F.lit(False)).alias("start"), listed(F.col("start_of"), "string").alias("start_of"), F.lit(False).alias("hidden"),
+    )
 
 
 def edges(nodes: DataFrame, degree: int | None = None) -> DataFrame:
@@ -236,7 +263,7 @@ def answers(nodes: DataFrame, queries: DataFrame, look, metric: str, universal:
                     marks[i, at[universal]] = True
         return _answers(ids, own, *look(own, q, marks, rows))
 
-    return nodes.select(*[c.split()[0] for c in NODES.split(", ")], *columns).groupBy("shard").applyInPandas(shard, _ANSWERS)
+    return by_shard(nodes.select(*[c.split()[0] for c in NODES.split(", ")], *columns)).applyInPandas(shard, _ANSWERS)
 
 
 def merged(found: DataFrame, k: int, metric: str) -> DataFrame:
@@ -356,7 +383,7 @@ def sweep(nodes: DataFrame, queries: DataFrame, truth: DataFrame, k: int, widths
 
     rows = None
     for width in widths:
-        found = walked(nodes, queries, k, width, beam, metric)
+        found = written(walked(nodes, queries, k, width, beam, metric))  # read twice
         cost = found.groupBy("qid").agg(F.sum("hops").alias("hops"), F.sum("compared").alias("compared")).agg(F.count("*").alias("queries"), F.avg("hops").alias("mean_hops"), F.avg("compared").alias("mean_compared"))
         share = recall(truth, merged(found, k, metric), k, descending=metric == "ip").agg(F.avg("recall").alias("recall"))
         row = cost.join(share).select(F.lit(width).alias("width"), "queries", "mean_hops", "mean_compared", "recall")
@@ -387,7 +414,7 @@ def visits(nodes: DataFrame, queries: DataFrame, width: int, most: int, metric:
         at, n = np.unique(seen, return_counts=True)
         return pd.DataFrame({"vec_id": own.ids[at], "n": n.astype(np.int64)})
 
-    found = nodes.groupBy("shard").applyInPandas(shard, "vec_id bigint, n bigint").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    found = by_shard(nodes).applyInPandas(shard, "vec_id bigint, n bigint").groupBy("vec_id").agg(F.sum("n").alias("n"))
     return found.orderBy(F.desc("n"), "vec_id").limit(most)
 
 
@@ -441,7 +468,7 @@ def remove(nodes: DataFrame, deletes: DataFrame, degree: int = 32, metric: str =
         return own.rows(~gone)
 
     columns = [c.split()[0] for c in NODES.split(", ")]
-    return marked.select(*columns, "gone").groupBy("shard").applyInPandas(shard, NODES)
+    return by_shard(marked.select(*columns, "gone")).applyInPandas(shard, NODES)
 
 
 def prune_edges(pairs: DataFrame, points: DataFrame, degree: int, metric: str = "l2", alphas: tuple[float, ...] = ALPHAS, fill: bool = False) -> DataFrame:
@@ -484,7 +511,7 @@ def per_label(points: DataFrame, degree: int = 32, width: int = 64, rows: int =
 
 def stitched(points: DataFrame, degree: int = 32, width: int = 64, stitched_degree: int = 64, rows: int = SHARD_ROWS, metric: str = "l2") -> DataFrame:
     """src, dst: the edges of all labels' graphs, each once, pruned to the stitched degree."""
-    return prune_edges(edges(per_label(points, degree, width, rows, metric)), usable(points), stitched_degree, metric)
+    return prune_edges(edges(written(per_label(points, degree, width, rows, metric))), usable(points), stitched_degree, metric)
 
 
 def status(nodes: DataFrame, deletes: DataFrame) -> DataFrame:

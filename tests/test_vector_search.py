@@ -675,3 +675,55 @@ def test_code_search_works_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(quantize, "_looked_up", lambda table, codes: sizes.append(table.shape[0] * len(codes)) or plain(table, codes))
     monkeypatch.setattr(quantize, "map_arrow", lambda df, function, schema: spark.createDataFrame([b for x in function(iter(df.toArrow().to_batches())) for b in x.to_pylist()], schema))
     assert quantize.search(e, quantize.encode(e, quantizer), q, quantizer, 10).count() == want.count() and max(sizes) <= 1000
+
+
+def test_one_index_of_several_shards(spark):
+    """Its status has one shard and one start; it knows each point once, and searches of it are as good."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, 8))
+    p = points(spark, x).withColumn("labels", F.array((F.col("vec_id") % 3).cast("string")))
+    nodes = vamana.build(p, 12, 24, shard_rows=150, labelled=True).cache()
+    one = vamana.joined(nodes, 12).cache()
+    assert nodes.select("shard").distinct().count() > 1 and one.columns == nodes.columns and one.dtypes == nodes.dtypes
+    said = vamana.status(one, spark.createDataFrame([(3,), (999,)], "vec_id bigint")).first()
+    assert (said.points, said.deleted, said.live, said.shards, said.starts, said.frozen) == (500, 1, 499, 1, 1, 0)
+    assert sorted(sum((r.start_of for r in one.collect()), [])) == ["0", "1", "2"] and one.agg(F.max(F.size("neighbours"))).first()[0] <= 12
+    q = queries(spark, x[::25])
+    truth = {(r.qid, r.vec_id) for r in knn.nearest(p, q, 5).collect()}
+    assert len({(r.qid, r.vec_id) for r in vamana.search(one, q, 5, 60).collect()} & truth) >= 0.9 * len(truth)
+
+
+def test_shards_are_tasks_of_their_own(spark):
+    """However their numbers hash."""
+    from pyspark import TaskContext
+    from pyspark.sql.types import LongType
+
+    task = F.udf(lambda: TaskContext.get().partitionId(), LongType()).asNondeterministic()
+    nodes = vamana.build(points(spark, np.random.default_rng(1).normal(size=(200, 4))), 4, 8, shard_rows=20)
+    found = nodes.select("shard", task().alias("task")).distinct().collect()
+    assert len(found) == len({r.task for r in found}) > 10
+
+
+def test_indexes_are_built_once(spark):
+    """Queries that read an index several times read a table."""
+    from conftest import DATA
+
+    from nearfield.plans import core, more  # noqa: F401  more adds to core's tables
+
+    for name in ("vamana_build", "index_status", "vamana_width_sweep"):
+        assert core.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString().count("FlatMapGroupsInPandas") == 0, name
+
+
+def test_few_numbers_are_pruned_together(monkeypatch):
+    """Pools' distances stay within their bound, and a walk's order is that of both keys."""
+    rng = np.random.default_rng(5)
+    x, seen = rng.normal(size=(400, 4)), []
+    among = proximity._among
+    monkeypatch.setattr(proximity, "_among", lambda metric, v: seen.append(v.shape[0] * v.shape[1] ** 2) or among(metric, v))
+    monkeypatch.setattr(proximity, "MOST_BETWEEN", 5000, raising=False)
+    proximity.Graph(x, degree=6, width=12).build()
+    assert max(seen) <= max(5000, 400 * 4)
+    d = np.where(rng.random((50, 30)) < 0.2, np.inf, rng.integers(0, 20, (50, 30)) / 4.0)
+    p = np.where(np.isinf(d), -1, rng.permuted(np.tile(np.arange(30), (50, 1)), axis=1))
+    order, want = proximity._ordered(d, p), np.lexsort((p, d), axis=1)
+    assert np.array_equal(np.take_along_axis(d, order, 1), np.take_along_axis(d, want, 1)) and np.array_equal(np.take_along_axis(p, order, 1), np.take_along_axis(p, want, 1))
