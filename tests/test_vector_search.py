@@ -727,3 +727,17 @@ def test_few_numbers_are_pruned_together(monkeypatch):
     p = np.where(np.isinf(d), -1, rng.permuted(np.tile(np.arange(30), (50, 1)), axis=1))
     order, want = proximity._ordered(d, p), np.lexsort((p, d), axis=1)
     assert np.array_equal(np.take_along_axis(d, order, 1), np.take_along_axis(d, want, 1)) and np.array_equal(np.take_along_axis(p, order, 1), np.take_along_axis(p, want, 1))
+
+
+def test_recall_gates_work_out_each_truth_once(spark, monkeypatch):
+    """Of all points, the live ones, those in range and those with a label; and the index that grows is built before."""
+    from conftest import DATA
+
+    from nearfield.plans import core, more
+
+    asked, grown = [], []
+    nearest, insert = knn.nearest, vamana.insert
+    monkeypatch.setattr(more.knn, "nearest", lambda *a, **b: asked.append(a) or nearest(*a, **b))
+    monkeypatch.setattr(more.vamana, "insert", lambda nodes, new: grown.append(nodes._jdf.queryExecution().toString()) or insert(nodes, new))
+    core.QUERIES["search_recall_gates"](spark, f"{DATA}/sf0.001")
+    assert len(asked) == 4 and "FlatMapGroups" not in grown[0]
