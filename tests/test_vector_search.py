@@ -741,3 +741,14 @@ def test_recall_gates_work_out_each_truth_once(spark, monkeypatch):
     monkeypatch.setattr(more.vamana, "insert", lambda nodes, new: grown.append(nodes._jdf.queryExecution().toString()) or insert(nodes, new))
     core.QUERIES["search_recall_gates"](spark, f"{DATA}/sf0.001")
     assert len(asked) == 4 and "FlatMapGroups" not in grown[0]
+
+
+def test_filtered_search_of_a_sparse_label(spark):
+    """A tenth of the points match, and a node has few neighbours among them."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 24))
+    p = points(spark, x).withColumn("labels", F.array((F.col("vec_id") * 7 % 10).cast("string")))
+    q = queries(spark, rng.normal(size=(60, 24))).withColumn("wanted", F.lit("3"))
+    found = vamana.search(vamana.build(p, 12, 24, labelled=True), q, 10, 20)
+    truth = {(r.qid, r.vec_id) for r in knn.nearest(p.where(F.array_contains("labels", "3")), q, 10).collect()}
+    assert {(r.qid, r.vec_id) for r in found.collect()} == truth
